@@ -80,7 +80,7 @@ SELECT doc_id, count(*) AS n_deleted, string_agg(CAST(line AS VARCHAR), ',' ORDE
 
 _OP3 = """
 WITH q AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
 ), scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
   FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
