@@ -92,7 +92,7 @@ def ordinary_traffic(spark: SparkSession, seed: int = 42, noise: float = 1.0, pe
 class _Ring:
     def __init__(self, seed: int, per_bank: int) -> None:
         self.rng, self.rows, self.n, self.per_bank = Random(seed), [], 0, per_bank
-        self.free = [f"{b}_{k + 1:04d}" for b in Settings().banks for k in range(43, per_bank)]
+        self.free = [f"{b}_{k + 1:04d}" for b in Settings().banks for k in range(per_bank, per_bank + 200)]  # accounts of their own, without ordinary traffic
         self.rng.shuffle(self.free)
 
     def take(self, n: int) -> list[str]:
