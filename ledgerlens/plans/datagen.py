@@ -130,7 +130,7 @@ class _Ring:
     def smurf(self, i: int) -> dict:
         n, t0 = self.rng.randint(15, 40), self.moment()
         collector, *exits = self.take(3)
-        payers = self.take(min(n, 14))
+        payers = self.take(n)
         ids = [self.pay(payers[k % len(payers)], collector, t0 + timedelta(hours=self.rng.uniform(0, 140)), 10_000 * self.rng.uniform(0.85, 0.995), "cash") for k in range(n)]
         total = sum(r[4] for r in self.rows[-n:])
         for k, x in enumerate(exits):
