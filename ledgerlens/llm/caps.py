@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,16 @@ def code(dim: int, parts: int, words: int, seed: int = SEED) -> tuple[np.ndarray
 def alpha(dim: int, parts: int, words: int, caps: float) -> float:
     """Such that a random unit vector is in about ``caps`` of the words**parts caps."""
     share = min(0.5, caps / words**parts)
-    return -NormalDist().inv_cdf(share) / math.sqrt(dim)
+    if dim == 1 or share == 0.5:
+        return 0.0
+    x = (np.arange(1 << 18) + 0.5) / (1 << 18)  # inner products from 0 to 1; their density is (1 - x^2)^((dim - 3) / 2)
+    above = np.cumsum(((1 - x * x) ** ((dim - 3) / 2))[::-1])
+    return float(x[::-1][np.searchsorted(above, 2 * share * above[-1])])
+
+
+def parts_of(dim: int, parts: int) -> int:
+    """Blocks of fewer than 8 components would leave too few directions."""
+    return max(1, min(parts, dim // 8))
 
 
 def decode(unit: np.ndarray, parts: int, words: int, threshold: float) -> list[np.ndarray]:
@@ -170,7 +178,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.98, caps: int = CAPS, pa
                 mat = np.array([vs[k] for k in idx])
                 unit = mat / np.abs(mat).max(axis=1, keepdims=True)
                 unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                n = min(parts, dim)
+                n = parts_of(dim, parts)
                 for k, row, found in zip(idx, mat, decode(unit, n, words, alpha(dim, n, words, caps))):
                     listed = found.tolist()
                     where += [k] * len(listed)

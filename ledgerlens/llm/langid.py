@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Features are the 1- to 3-grams of the code points of the lower-cased text, padded
-with two NULs at its end and hashed into ``buckets``. Training counts (language,
+Features are the 1- to 3-grams of the code points of the lower-cased text, with
+two NULs before and after it, hashed into ``buckets``. Training counts (language,
 bucket) over all labelled training rows: each task adds up dense counts and emits
 what is not zero, Spark adds the tasks up. The smoothed log-probability matrix has
 buckets x languages float64 cells; its size is checked before it is sent out.
@@ -42,7 +42,7 @@ def _hashed(codes: np.ndarray, bits: int) -> list[np.ndarray]:
 def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of code points (two more at the end), with the rows that have some in it and where these start."""
     lengths = np.array([len(t) + 2 for t in texts], dtype=np.int64)
-    joined = _PAD.join(texts) + _PAD + _PAD
+    joined = _PAD + _PAD.join(texts) + _PAD  # n-grams never reach from one text into another
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     starts = np.concatenate([[0], np.cumsum(lengths)])
     total = int(starts[-1])
