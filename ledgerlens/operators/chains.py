@@ -13,7 +13,7 @@ from .graph import induced
 
 
 def detect_chains(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = (), max_frontier: int | None = None) -> DataFrame:
-    """One row per set of accounts of a chain of at least ``chain_min_length`` hops (ties: earliest start, then transaction ids).
+    """One row per set of accounts (a self-loop adds none) of a chain of at least ``chain_min_length`` hops (ties: earliest start, then transaction ids).
 
     Every payment is a seed (a self-loop too); each next hop leaves the last account
     within the delay, to an account not yet on the path, with at least the forwarded
@@ -40,7 +40,7 @@ def detect_chains(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
             found = paths if found is None else found.unionByName(paths)
     hits = found if found is not None else paths.where("false")
     best = F.row_number().over(W.partitionBy(*part_, "members").orderBy(F.desc(F.size("path")), F.col("times")[0], "txns"))
-    ranked = hits.withColumn("members", F.array_sort("path")).withColumn("best", best).where("best = 1")
+    ranked = hits.withColumn("members", F.array_sort(F.array_distinct("path"))).withColumn("best", best).where("best = 1")
     t0, t1, a0, a1 = F.col("times")[0], F.element_at("times", -1), F.col("amounts")[0], F.element_at("amounts", -1)
     gaps = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.round((F.col("times")[i] - F.col("times")[i - 1]) / MINUTE, 1))
     return ranked.select(

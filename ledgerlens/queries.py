@@ -155,7 +155,7 @@ _CHAINS = """, chain_paths(path, tail, t0, t, a0, a, txns) AS (
   UNION ALL
   SELECT list_append(path, e.dst), e.dst, t0, e.us, a0, e.amount, list_append(txns, e.txn_id) FROM chain_paths JOIN edges e ON e.src = tail
   WHERE e.us BETWEEN t AND t + 7200000000 AND e.amount >= a * 0.85 AND NOT list_contains(path, e.dst)
-), chains AS (SELECT * FROM chain_paths WHERE len(txns) >= 3 QUALIFY row_number() OVER (PARTITION BY list_sort(path) ORDER BY len(path) DESC, t0, txns) = 1)"""
+), chains AS (SELECT * FROM chain_paths WHERE len(txns) >= 3 QUALIFY row_number() OVER (PARTITION BY list_sort(list_distinct(path)) ORDER BY len(path) DESC, t0, txns) = 1)"""
 
 
 @query(_CHAINS + " SELECT array_to_string(path, ',') AS accounts, array_to_string(txns, ',') AS txn_ids, CAST(len(txns) AS INTEGER) AS length, round((t - t0) / 60000000, 1) AS total_delay_min, CASE WHEN a0 <> 0 THEN round(a / a0, 4) ELSE 0.0 END AS retention FROM chains", recursive=True)
