@@ -147,5 +147,7 @@ def keep_identified(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     The rejected ids are few and are joined back on doc_id: rows that share a
     doc_id go together, rows without one stay.
     """
-    gone = identify(docs, buckets).where(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
+    rejected = identify(docs, buckets).where(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
+    # Written first: its size is then known, and where it is small the texts need no exchange to meet it.
+    gone = Scratch(docs.sparkSession, "langid-gone").write(rejected)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
