@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
 from ..session import Staging
@@ -63,6 +64,29 @@ def jaccard(a, b):
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def similar_sets(items: DataFrame, least: float) -> DataFrame:
+    """``a, b, members_a, members_b, jaccard`` of ``items(account, item)``: pairs of different item sets that are at least that similar.
+
+    Accounts with the same set are one class, named by the smallest. Sets that similar
+    share an item among the rarest ``n - ceil(least * n) + 1`` of each, so classes meet
+    only at those, and only if their sizes allow it; whole sets are compared once a pair.
+    """
+    sets = items.distinct().groupBy("account").agg(F.array_sort(F.collect_list("item")).alias("s"))
+    classes = Staging(items.sparkSession, "sets").write(sets.groupBy("s").agg(F.min("account").alias("c"), F.count("*").alias("members")).withColumn("n", F.size("s")))
+    flat = classes.select("c", "n", F.explode("s").alias("item"))
+    often = flat.groupBy("item").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(W.partitionBy("c").orderBy("often", "item"))
+    # The product is lowered a little: a prefix one longer does no harm, one shorter would.
+    prefix = flat.join(often, "item").withColumn("k", rare).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("c", "n", "item")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    fits = (F.col("x.n") >= F.col("y.n") * least) & (F.col("y.n") >= F.col("x.n") * least)
+    met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") < F.col("y.c")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    side = lambda name: classes.select(F.col("c").alias(name), F.col("s").alias(f"s_{name}"), F.col("members").alias(f"members_{name}"))
+    j = F.size(F.array_intersect("s_a", "s_b"))
+    j = j / (F.size("s_a") + F.size("s_b") - j)
+    return met.join(side("a"), "a").join(side("b"), "b").where(j >= least).select("a", "b", "members_a", "members_b", F.round(j, 6).alias("jaccard"))
+
+
 def candidate_matches(detected: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """``t, d, weight`` of pairs that overlap enough, or whose detected accounts (two at least) all lie in the truth's; pairs come from shared accounts."""
     t = truth.select("type", F.col("ring_id").alias("t"), F.col("truth_accounts").alias("ta"))

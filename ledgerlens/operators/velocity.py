@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import HOUR, MINUTE, money
+from ..session import Staging
 from .graph import endpoints
 
+#: Pairs of an inflow and an outflow of one account that are compared without a search by time.
+DIRECT_PAIRS = 1 << 22
+
 
 def txns_per_hour(e: DataFrame) -> DataFrame:
     span = (F.max("us") - F.min("us")) / HOUR
@@ -22,15 +26,53 @@ def peak_burst_rate(e: DataFrame, window_min: int = 60) -> DataFrame:
     return endpoints(e).select("account", F.count("*").over(w).alias("c")).groupBy("account").agg(F.max("c").alias("peak_burst_rate"))
 
 
-def median_hold(e: DataFrame, band: float = 0.25) -> DataFrame:
-    """``account, median_hold_min``: for each inflow the first strictly later outflow within the band of its amount; accounts with none are absent."""
+def median_hold(e: DataFrame, band: float = 0.25, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+    """``account, median_hold_min``: for each inflow the first strictly later outflow within the band of its amount; accounts with none are absent.
+
+    An account's inflows meet all its outflows while these are at most ``direct_pairs``
+    pairs. Those of busier accounts are searched nearest first (``_nearest_first``).
+    """
     into = e.select(F.col("dst").alias("account"), "txn_id", F.col("us").alias("t"), F.col("amount").alias("a"))
     out = e.select(F.col("src").alias("account"), F.col("us").alias("u"), F.col("amount").alias("b"))
-    near = (F.col("b") >= F.col("a") * (1 - band)) & (F.col("b") <= F.col("a") * (1 + band))
-    held = into.join(out, "account").where((F.col("u") > F.col("t")) & near).groupBy("account", "txn_id").agg((F.min("u") - F.first("t")).alias("h"))
+    met = F.count_if(F.col("direction") == "in") * F.count_if(F.col("direction") == "out")
+    staging = Staging(e.sparkSession, "hold")
+    busy = staging.write(endpoints(e).groupBy("account").agg(met.alias("pairs")).where(F.col("pairs") > direct_pairs).select("account"))
+    if busy.limit(1).count():
+        searched = _nearest_first(into.join(busy, "account", "left_semi"), out.join(busy, "account", "left_semi"), band, staging)
+        held = _first_match(into.join(busy, "account", "left_anti").join(out, "account"), band).unionByName(searched)
+    else:
+        held = _first_match(into.join(out, "account"), band)
     return held.groupBy("account").agg(F.median(F.col("h") / MINUTE).alias("median_hold_min"))
 
 
+def _first_match(pairs: DataFrame, band: float) -> DataFrame:
+    near = (F.col("b") >= F.col("a") * (1 - band)) & (F.col("b") <= F.col("a") * (1 + band))
+    return pairs.where((F.col("u") > F.col("t")) & near).groupBy("account", "txn_id").agg((F.min("u") - F.first("t")).alias("h"))
+
+
+def _nearest_first(into: DataFrame, out: DataFrame, band: float, staging: Staging) -> DataFrame:
+    """First matches ``account, txn_id, h``, looked for within a minute and then in horizons 16 times as long.
+
+    A match within a horizon is the first of all, so only inflows without one go on:
+    a busy account's inflows meet the few outflows around them, not all. Joins are on
+    (account, slot of the horizon's length), which also deals one account out.
+    """
+    left, right = staging.write(into), staging.write(out)
+    ends = left.agg(F.min("t")).first()[0], right.agg(F.max("u")).first()[0]
+    found, horizon = left.select("account", "txn_id", F.col("t").alias("h")).limit(0), MINUTE
+    while ends[0] is not None and ends[1] is not None:
+        slot = lambda c, n=horizon: F.expr(f"{c} div {n}")
+        probes = left.withColumn("slot", F.explode(F.array(slot("t"), slot("t") + 1)))
+        pairs = probes.join(right.withColumn("slot", slot("u")), ["account", "slot"]).where(F.col("u") - F.col("t") <= horizon)
+        hit = staging.write(_first_match(pairs, band))
+        found = found.unionByName(hit)
+        left = staging.write(left.join(hit, ["account", "txn_id"], "left_anti"))
+        if horizon > ends[1] - ends[0] or not left.limit(1).count():
+            break
+        horizon *= 16
+    return found
+
+
 def flows(e: DataFrame) -> DataFrame:
     """Inflow mean and maximum, and the ratio of what goes out to what comes in."""
     act = endpoints(e).withColumn("m", money(F.col("amount")))
