@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .config import DEFAULTS
-from .functions.scalars import amount_bucket, hashed_account
+from .functions.scalars import amount_bucket, hashed_account, risk_band
 from .operators import adversary, evidence, federation, fingerprint, graph, hits, iforest, scoring, taint, velocity
 from .operators.chains import detect_chains
 from .operators.cycles import detect_cycles
@@ -243,17 +243,15 @@ def summary(spark, d):
     return views.summary(_detection(spark, d))
 
 
-_SETS = """, sets AS (SELECT src, list_distinct(list(dst)) AS s FROM edges GROUP BY 1),
-flat AS (SELECT src, unnest(s) AS x FROM sets), sizes AS (SELECT src, len(s) AS n FROM sets)"""
+_SETS = """, one AS (SELECT src, list_sort(list_distinct(list(dst))) AS s FROM edges GROUP BY 1),
+sets AS (SELECT min(src) AS src, count(*) AS members, s FROM one GROUP BY s),
+flat AS (SELECT src, unnest(s) AS x FROM sets), sizes AS (SELECT src, members, len(s) AS n FROM sets)"""
 
 
-@query(_SETS + " SELECT a.src AS a, b.src AS b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM flat a JOIN flat b ON a.x = b.x AND a.src < b.src JOIN sizes p ON p.src = a.src JOIN sizes q ON q.src = b.src GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.25")
+@query(_SETS + " SELECT a.src AS a, b.src AS b, any_value(p.members) AS members_a, any_value(q.members) AS members_b, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM flat a JOIN flat b ON a.x = b.x AND a.src < b.src JOIN sizes p ON p.src = a.src JOIN sizes q ON q.src = b.src GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.25")
 def jaccard_pairs(spark, d):
-    """Accounts whose receivers overlap: the set-similarity join behind ring matching."""
-    s = events_ledger(spark, d).groupBy("src").agg(F.collect_set("dst").alias("s")).select("src", F.size("s").alias("n"), F.explode("s").alias("x"))
-    pairs = s.alias("a").join(s.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.src") < F.col("b.src"))).groupBy(F.col("a.src").alias("a"), F.col("b.src").alias("b")).agg(F.count("*").alias("k"), F.first("a.n").alias("p"), F.first("b.n").alias("q"))
-    j = F.col("k") / (F.col("p") + F.col("q") - F.col("k"))
-    return pairs.where(j >= 0.25).select("a", "b", F.round(j, 6).alias("jaccard"))
+    """Classes of accounts with the same receivers, paired where these overlap: the set-similarity join behind ring matching."""
+    return hits.similar_sets(events_ledger(spark, d).select(F.col("src").alias("account"), F.col("dst").alias("item")), 0.25)
 
 
 def _seed(spark, d) -> int:
@@ -397,3 +395,149 @@ def generated_ring_quality(spark, d):
 @query()
 def generated_ledger(spark, d):
     return datagen.generate(spark, 7, 0.3, 60, 1)[0].groupBy("bank_src", "channel").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
+
+
+@query(_VEL + " SELECT account, round(CASE WHEN i > 0 THEN coalesce(o, 0) / i END, 4) AS pass_through_ratio FROM flow")
+def pass_through(spark, d):
+    return velocity.flows(events_ledger(spark, d)).select("account", F.round("pass_through_ratio", 4).alias("pass_through_ratio"))
+
+
+@query(" SELECT txn_id, src, dst, amount FROM edges WHERE txn_id = 42")
+def edge_lookup(spark, d):
+    return graph.edge(events_ledger(spark, d), 42).select("txn_id", "src", "dst", "amount")
+
+
+@query(" SELECT channel, count(*) AS n FROM edges WHERE src % 2 = 0 AND dst % 2 = 0 GROUP BY 1")
+def induced_edges(spark, d):
+    """Payments between accounts of even number, by channel."""
+    e = events_ledger(spark, d)
+    return graph.induced(e, graph.endpoints(e).select("account").where("account % 2 = 0")).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT max(c) > 8 AS fan FROM (SELECT account, count(*) AS c FROM act WHERE txn_id < 100 GROUP BY 1)")
+def fan_shape(spark, d):
+    return views.is_fan(events_ledger(spark, d).where("txn_id < 100"))
+
+
+def _probes(spark) -> DataFrame:
+    """Twenty accounts as known look-alikes, and one that has no payment."""
+    return spark.range(20).unionByName(spark.range(10**9, 10**9 + 1)).select(F.col("id").alias("account"), F.lit("probe").alias("label"))
+
+
+_PROBES = ", probes AS (SELECT unnest(range(20)) AS account UNION ALL SELECT 1000000000)"
+
+
+@query(_FP + _PROBES + " SELECT p.account, 'probe' AS label, coalesce(rule = 'steady', FALSE) AS benign FROM probes p LEFT JOIN verdict v USING (account)")
+def decoy_check(spark, d):
+    return fingerprint.decoy_check(_probes(spark), fingerprint.verdicts(fingerprint.fingerprints(events_ledger(spark, d)))).select("account", "label", "benign")
+
+
+_MEMBERS = """, members AS (
+  SELECT 'cycle' AS type, t0 AS start_us, t1 AS end_us, path AS accounts, 100 * (1 - round(ratio, 4)) AS bonus FROM cycles
+  UNION ALL SELECT 'mule_chain', t0, t, path, 10 * least(1.0, CASE WHEN a0 <> 0 THEN round(a / a0, 4) ELSE 0.0 END) FROM chains
+  UNION ALL SELECT 'smurfing', b.start_us, b.us, list_distinct(list(x.account)), 10 * any_value(round(b.score, 3)) FROM best b
+    JOIN (SELECT b.dst AS collector, a.src AS account FROM best b JOIN dep a ON a.dst = b.dst AND a.us BETWEEN b.start_us AND b.us UNION SELECT dst, dst FROM best UNION SELECT collector, receiver FROM cons) x ON x.collector = b.dst GROUP BY b.dst, b.start_us, b.us
+)"""
+
+
+@query(_EVIDENCE + _MEMBERS + _PROBES + ", inside AS (SELECT account, count(*) AS n FROM (SELECT unnest(list_distinct(accounts)) AS account FROM members) GROUP BY 1) SELECT account, 'probe' AS label, coalesce(n, 0) AS n_hits, n IS NOT NULL AS flagged FROM probes LEFT JOIN inside USING (account)", recursive=True)
+def decoy_alarms(spark, d):
+    return hits.decoy_alarms(_probes(spark), hits.all_hits(events_ledger(spark, d), None, TH))
+
+
+@query(_EVIDENCE + ", f AS (SELECT account FROM points GROUP BY 1 HAVING least(100, sum(p)) >= 50), t AS (SELECT DISTINCT account FROM act WHERE account % 3 = 0), n AS (SELECT (SELECT count(*) FROM f SEMI JOIN t USING (account)) AS tp, (SELECT count(*) FROM f) AS nf, (SELECT count(*) FROM t) AS nt) SELECT round(CASE WHEN nf > 0 THEN tp / nf ELSE 0.0 END, 6) AS precision, round(CASE WHEN nt > 0 THEN tp / nt ELSE 0.0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (nf + nt) ELSE 0.0 END, 6) AS f1 FROM n", recursive=True)
+def account_quality(spark, d):
+    """Set precision, recall and F1: accounts of 50 points or more against those whose number divides by 3."""
+    e = events_ledger(spark, d)
+    flagged = scoring.pattern_scores(hits.all_hits(e, None, TH)).where("pattern_score >= 50")
+    q = hits.account_prf(flagged, graph.endpoints(e).select("account").where("account % 3 = 0"))
+    return q.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_SCORES = (
+    _EVIDENCE
+    + """, rnk AS (SELECT account, 100.0 * (row_number() OVER (ORDER BY v, account) - 1) / greatest(count(*) OVER () - 1, 1) AS ano FROM (SELECT account, max(amount) AS v FROM act GROUP BY 1)),
+scored AS (SELECT account, round(CAST(least(100.0, 0.6 * coalesce(ps, 0) + 0.4 * ano) AS DOUBLE), 1) AS score, round(CAST(ano AS DOUBLE), 1) AS anomaly_score FROM rnk LEFT JOIN (SELECT account, CAST(least(100.0, sum(p)) AS DOUBLE) AS ps FROM points GROUP BY 1) USING (account))"""
+)
+
+
+def _scored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All hits, and all accounts' scores with the percentile of the largest payment as anomaly."""
+    e = events_ledger(spark, d)
+    found = hits.all_hits(e, None, TH)
+    largest = graph.endpoints(e).groupBy("account").agg(F.max("amount").alias("raw"))
+    return found, scoring.account_scores(graph.degrees(e), scoring.pattern_scores(found), iforest.percentile_rank(largest), velocity.velocity_features(e))
+
+
+@query(_SCORES + " SELECT account, score, anomaly_score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS band FROM scored", recursive=True)
+def scores_by_largest_payment(spark, d):
+    """Account scores and bands, the percentile of the largest payment as anomaly."""
+    return _scored(spark, d)[1].select("account", "score", "anomaly_score", risk_band(F.col("score")).alias("band"))
+
+
+@query(_SCORES + _MEMBERS + ", m AS (SELECT type, start_us, end_us, accounts, bonus, unnest(accounts) AS account FROM members) SELECT type, start_us, end_us, CAST(len(accounts) AS INTEGER) AS n_accounts, round(CAST(least(100.0, 0.5 * max(score) + 0.3 * avg(anomaly_score) + 20 + bonus) AS DOUBLE), 1) AS score FROM m JOIN scored USING (account) GROUP BY type, start_us, end_us, accounts, bonus", recursive=True)
+def ring_scores(spark, d):
+    """Scores of all hits from those account scores."""
+    found, scores = _scored(spark, d)
+    return scoring.ring_scores(found, scores).select("type", "start_us", "end_us", F.size("accounts").alias("n_accounts"), "score")
+
+
+@query(_CHAINS + ", mem AS (SELECT array_to_string(path, ',') AS chain_id, unnest(path) AS account FROM chains), del AS (SELECT chain_id, (u - t) / 60000000 AS x FROM mem JOIN (SELECT dst AS account, min(us) AS t FROM edges GROUP BY 1) USING (account) JOIN (SELECT src AS account, min(us) AS u FROM edges GROUP BY 1) USING (account) WHERE u >= t) SELECT chain_id, round(median(x), 3) AS median_delay_min, round(sum(x), 3) AS total_delay_min, count(*) AS n FROM del GROUP BY 1", recursive=True)
+def chain_velocity(spark, d):
+    e = events_ledger(spark, d)
+    v = velocity.chain_velocity(e, detect_chains(e, None, TH).select(path_text(F.col("accounts")).alias("chain_id"), "accounts"))
+    return v.select("chain_id", F.round("median_delay_min", 3).alias("median_delay_min"), F.round("total_delay_min", 3).alias("total_delay_min"), "n")
+
+
+@query(" SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1, 0), (1, 0.0, 2, 0), (2, 24.0, 1, 0), (3, 24.0, 2, 0)) AS t(scheme_id, hop_delay_hours, n_splits, n_decoys)")
+def lever_grid(spark, d):
+    """Four levers off or on, crossed and thinned to four schemes."""
+    return adversary.scheme_grid_table(spark, adversary.lever_grid(24, 2, 5, 2)).select("scheme_id", "hop_delay_hours", "n_splits", "n_decoys")
+
+
+@query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act WHERE account < 5) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
+def sparkline(spark, d):
+    a = graph.endpoints(events_ledger(spark, d)).where("account < 5").groupBy("account").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id", "direction", "amount"))), lambda s: s["amount"]).alias("sparkline"))
+    return views.sparkline(a).select("account", F.posexplode("scaled").alias("pos", "scaled")).withColumn("scaled", F.round("scaled", 6))
+
+
+_LOCAL = """, pb AS (SELECT bank_src AS bank, * FROM edges UNION ALL SELECT bank_dst, * FROM edges WHERE bank_dst <> bank_src),
+lc(bank, path, tail, t, a, txns, t0) AS (
+  SELECT bank, [src, dst], dst, us, amount, [txn_id], us FROM pb
+  UNION ALL
+  SELECT lc.bank, list_append(path, e.dst), e.dst, e.us, e.amount, list_append(txns, e.txn_id), t0 FROM lc JOIN pb e ON e.bank = lc.bank AND e.src = tail
+  WHERE e.us BETWEEN t AND t + 7200000000 AND e.amount >= a * 0.85 AND NOT list_contains(path, e.dst)
+), local_chains AS (SELECT * FROM lc WHERE len(txns) >= 3 QUALIFY row_number() OVER (PARTITION BY bank, list_sort(list_distinct(path)) ORDER BY len(path) DESC, t0, txns) = 1)"""
+
+
+@query(_LOCAL + " SELECT bank, array_to_string(path, ',') AS accounts FROM local_chains", recursive=True)
+def local_chains(spark, d):
+    """Chains that each bank finds in the payments it sees."""
+    c = detect_chains(per_bank(events_ledger(spark, d)), None, TH, ("bank",))
+    return c.select("bank", path_text(F.col("accounts")).alias("accounts"))
+
+
+@query()
+def federated_summary(spark, d):
+    return federation.summary(federation.build_signals(federation.local_hits(events_ledger(spark, d), TH)))
+
+
+@query()
+def evidence_verify(spark, d):
+    det = _detection(spark, d)
+    return evidence.verify(evidence.chain(evidence.records(det.rings, det.edges)))
+
+
+@query()
+def case_stories(spark, d):
+    return evidence.case_story(_detection(spark, d).rings)
+
+
+@query()
+def taint_links(spark, d):
+    return taint.flow_links(taint.trace(events_ledger(spark, d), txn_id=_seed(spark, d), max_depth=4, min_taint=5.0))
+
+
+@query()
+def taint_totals(spark, d):
+    return taint.totals(taint.trace(events_ledger(spark, d), txn_id=_seed(spark, d), max_depth=4, min_taint=5.0))
