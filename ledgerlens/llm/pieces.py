@@ -303,6 +303,10 @@ class PieceModel:
         return text[1:] if self.dummy_prefix and starts else text
 
     # -- whole slices of rows ------------------------------------------------
+    def forget(self) -> None:
+        """Lets go of the kept cuts."""
+        self._young, self._old = {}, {}
+
     def known(self, cuts: list[str], with_ids: bool) -> dict[str, tuple]:
         """For each cut: its ids as text, what they decode to, and (if asked for) its ids as little-endian int32.
 
@@ -369,35 +373,41 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = True) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # strings and tuples only, none in cycles; the collector would walk the kept cuts again and again
         m = _model(model)
         end_text, end_raw = str(m.eos), struct.pack("<i", m.eos)
         prefix = 1 if m.dummy_prefix else 0
         sha = hashlib.sha256
-        for whole in batches:
-            for start in range(0, max(1, whole.num_rows), SLICE_ROWS):
-                b = whole.slice(start, SLICE_ROWS)
-                texts = [m.cuts(t or "") for t in b.column(1).to_pylist()]
-                table = m.known([c for cuts in texts for c in cuts], with_ids)
-                counts, ids, ids_sha, text_sha = [], [], [], []
-                for cuts in texts:
-                    found = [table[c] for c in cuts]
-                    parts = [x[0] for x in found]
-                    parts.append(end_text)
-                    joined = " ".join(parts)
-                    counts.append(joined.count(" ") + 1)
-                    ids_sha.append(sha(joined.encode()).hexdigest())
-                    decoded = "".join([x[1] for x in found])
-                    text_sha.append(sha(decoded[prefix:].encode("utf-8", "surrogatepass")).hexdigest())
+        collecting = gc.isenabled()
+        gc.disable()  # strings and tuples only, none in cycles; the collector would walk the kept cuts again and again
+        try:
+            for whole in batches:
+                for start in range(0, max(1, whole.num_rows), SLICE_ROWS):
+                    b = whole.slice(start, SLICE_ROWS)
+                    texts = [m.cuts(t or "") for t in b.column(1).to_pylist()]
+                    table = m.known([c for cuts in texts for c in cuts], with_ids)
+                    counts, ids, ids_sha, text_sha = [], [], [], []
+                    for cuts in texts:
+                        found = [table[c] for c in cuts]
+                        parts = [x[0] for x in found]
+                        parts.append(end_text)
+                        joined = " ".join(parts)
+                        counts.append(joined.count(" ") + 1)
+                        ids_sha.append(sha(joined.encode()).hexdigest())
+                        decoded = "".join([x[1] for x in found])
+                        text_sha.append(sha(decoded[prefix:].encode("utf-8", "surrogatepass")).hexdigest())
+                        if with_ids:
+                            ids.append(b"".join([x[2] for x in found]) + end_raw)
+                    columns = [b.column(0), pa.array(counts, pa.int64())]
+                    names = ["doc_id", "n_tokens"]
                     if with_ids:
-                        ids.append(b"".join([x[2] for x in found]) + end_raw)
-                columns = [b.column(0), pa.array(counts, pa.int64())]
-                names = ["doc_id", "n_tokens"]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
+                        offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
+        finally:  # the worker goes on to other tasks
+            m.forget()
+            if collecting:
+                gc.enable()
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(columns, run, f"doc_id long, n_tokens long, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
