@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near import near_groups
 from .shared import Scratch, arrow_map, components
 
 SEED = 42
@@ -149,8 +150,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     return fps.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a component other than that of its smallest doc_id."""
-    found = near_duplicates(docs, words, radius)
-    gone = Scratch(docs.sparkSession, "simhash-gone").write(found.where("doc_id <> component_id").select("doc_id").distinct())
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but for all documents of a near-duplicate group (``near``) other than that of its smallest doc_id."""
+    found = near_groups(docs, words, similarity)
+    gone = Scratch(docs.sparkSession, "near-gone").write(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
