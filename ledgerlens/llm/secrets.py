@@ -4,8 +4,9 @@ Every text is scanned by the base patterns. What may be encoded is then unwrappe
 percent escapes, \\u, \\x and &#...; escapes in place, base64 runs as layers of their
 own, decompressed if they hold gzip or zlib data. Each new layer joins the worklist
 and is scanned and unwrapped in turn until none is new; a layer that was seen before
-is not taken again, so cycles end. Each layer's characters know the range of the
-whole text they come from, and a finding's span is that of its first to its last.
+with the same ranges is not taken again, so cycles end, while each copy of an encoded
+run is. Each layer's characters know the range of the whole text they come from, and
+a finding's span is that of its first to its last.
 """
 
 from __future__ import annotations
@@ -74,6 +75,15 @@ class _Layer:
             at = b
         return _Layer("".join([*text, self.text[at:]]), np.concatenate([*s, start[at:]]), np.concatenate([*e, end[at:]]))
 
+    def key(self) -> tuple[bytes, bytes]:
+        """Of the text and the ranges it comes from."""
+        text = hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
+        if self.start is None:
+            return text, b""
+        if self.start.strides == (0,):  # one range
+            return text, b"%d %d" % (self.start[0], self.end[0])
+        return text, hashlib.sha256(self.start.astype("<i8").tobytes() + self.end.astype("<i8").tobytes()).digest()
+
 
 def _percent(layer: _Layer) -> _Layer | None:
     if "%" not in layer.text:
@@ -117,7 +127,7 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
         unfolded = _unfold(raw)
         if unfolded is not None:
             a, b = layer.span(at, m.end())
-            yield _Layer(unfolded, np.full(len(unfolded), a), np.full(len(unfolded), b))
+            yield _Layer(unfolded, np.broadcast_to(np.int64(a), len(unfolded)), np.broadcast_to(np.int64(b), len(unfolded)))
             continue
         text = _readable(raw)
         if not text:
@@ -149,15 +159,24 @@ def _unfold(raw: bytes) -> str | None:
 
 
 def unwrapped(text: str) -> Iterator[_Layer]:
-    """All layers below the text itself."""
-    seen, work = {text}, [_Layer(text)]
+    """All layers below the text itself; one copy's layers are done before the next copy is unfolded."""
+    top = _Layer(text)
+    seen, work = {top.key()}, [_below(top)]
     while work:
-        layer = work.pop()
-        for new in (_percent(layer), _escapes(layer), *_base64(layer)):
-            if new is not None and new.text not in seen:
-                seen.add(new.text)
-                work.append(new)
-                yield new
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif (key := new.key()) not in seen:
+            seen.add(key)
+            work.append(_below(new))
+            yield new
+
+
+def _below(layer: _Layer) -> Iterator[_Layer]:
+    for f in (_percent, _escapes):
+        if (new := f(layer)) is not None:
+            yield new
+    yield from _base64(layer)
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
