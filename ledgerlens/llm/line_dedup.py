@@ -12,6 +12,10 @@ lines of later repeated runs are deleted; longer runs are unions of these.
 So: a line is deleted if and only if it lies in ``window`` consecutive lines that
 also occur, line for line, at an earlier place. Nothing gathers the occurrences of
 a fingerprint or a run: counts and first places are partial aggregates.
+
+With ``long_words``, as ``deduplicate`` has it, shorter runs count too: one line or two
+consecutive ones of more words than that, and the whole of a text that has fewer than
+``window`` lines (against other whole texts). These are fingerprints of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, arrow_map
 
 WINDOW = 3
+LONG_WORDS = 50
 
 
 def line_hashes(text: str) -> tuple[list[int], np.ndarray]:
@@ -47,10 +52,23 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1))
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def short_runs(text: str, numbers: list[int], hashes: np.ndarray, window: int, long_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """``(first place, end, content)`` of the runs below ``window`` lines that count: long ones, and a whole text."""
+    n = len(numbers)
+    if 0 < n < window:
+        yield 0, n, b"whole" + hashes.tobytes()
+    lines = text.split("\n")
+    words = [len(lines[i].split()) for i in numbers]
+    for size in range(1, min(window, 3)):
+        for s in range(n - size + 1):
+            if sum(words[s : s + size]) > long_words:
+                yield s, s + size, hashes[s : s + size].tobytes()
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """``doc_id, lines``: sorted numbers (from 0) of the lines to delete, for documents that have some.
 
-    Null, empty and short texts have no window; rows without a doc_id take no part;
+    Null and empty texts have no window, short ones neither without ``long_words``; rows without a doc_id take no part;
     rows that share a doc_id hold the same places, so equal ones are not repeats
     of each other. An empty table gives no rows.
     """
@@ -69,6 +87,10 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     at.append(p)
                     around = range(max(0, p - window + 1), min(p, len(hashes) - window) + 1)
                     digests.append([{"s": s, "d": xxhash.xxh3_128_digest(hashes[s : s + window].tobytes()), "l": numbers[s : s + window]} for s in around])
+                for s, e, content in short_runs(t, numbers, hashes, window, long_words) if long_words is not None else ():
+                    doc.append(i)
+                    fp.append(int(np.uint64(xxhash.xxh3_64_intdigest(content)).astype(np.int64)))
+                    digests.append([{"s": s, "d": xxhash.xxh3_128_digest(content), "l": numbers[s:e]}])
             kind = pa.list_(pa.struct([("s", pa.int32()), ("d", pa.binary()), ("l", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(fp, pa.int64()), pa.array(digests, kind)], ["doc_id", "fp", "runs"])
 
@@ -82,9 +104,9 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """The rows of ``docs`` without the deleted lines; those left without a word are dropped if lines were deleted."""
-    gone = repeated_lines(docs, window).withColumnRenamed("lines", "_gone")
+    gone = repeated_lines(docs, window, long_words).withColumnRenamed("lines", "_gone")
     joined = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, n: ~F.array_contains("_gone", n)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
