@@ -304,12 +304,12 @@ def scheme_grid(spark, d):
 
 @query()
 def friction_frontier(spark, d):
-    """Four schemes over the events ledger with text accounts: the naive route of two quiet accounts."""
+    """All 32 schemes of the default grid over the events ledger with text accounts: the naive route of two quiet accounts."""
     e = events_ledger(spark, d)
     e = e.withColumn("txn_id", F.col("txn_id").cast("string")).withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
     v = fingerprint.verdicts(fingerprint.fingerprints(e))
     ends = [r.account for r in fingerprint.suspects(v).orderBy("account").limit(2).collect()] or ["0", "1"]
-    r = adversary.run(e, fingerprint.suspects(v), ends[0], ends[-1], most=4, th=TH)
+    r = adversary.run(e, fingerprint.suspects(v), ends[0], ends[-1], th=TH)
     return r.frontier.select("scheme_id", "hop_delay_hours", "n_splits", "friction", "detected", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
