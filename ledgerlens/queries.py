@@ -541,3 +541,19 @@ def taint_links(spark, d):
 @query()
 def taint_totals(spark, d):
     return taint.totals(taint.trace(events_ledger(spark, d), txn_id=_seed(spark, d), max_depth=4, min_taint=5.0))
+
+
+@query(_CHAINS + ", pay AS (SELECT array_to_string(path, ',') AS accounts, unnest(txns) AS txn_id FROM chains), deg AS (SELECT p.accounts, a.account, count(*) AS c FROM pay p JOIN act a USING (txn_id) GROUP BY 1, 2) SELECT accounts, max(c) > 8 AS fan FROM deg GROUP BY 1", recursive=True)
+def chain_fans(spark, d):
+    """The fan test over the payments of each chain, without a choice of ids."""
+    e = events_ledger(spark, d)
+    c = detect_chains(e, None, TH).select(path_text(F.col("accounts")).alias("accounts"), F.explode("txn_ids").alias("txn_id"))
+    pays = c.join(e, "txn_id").select("accounts", F.explode(F.array("src", "dst")).alias("account"))
+    return pays.groupBy("accounts", "account").agg(F.count("*").alias("degree")).groupBy("accounts").agg((F.max("degree") > 8).alias("fan"))
+
+
+@query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
+def account_sparklines(spark, d):
+    """The scaled series of every account."""
+    a = graph.endpoints(events_ledger(spark, d)).groupBy("account").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id", "direction", "amount"))), lambda s: s["amount"]).alias("sparkline"))
+    return views.sparkline(a).select("account", F.posexplode("scaled").alias("pos", "scaled")).withColumn("scaled", F.round("scaled", 6))

@@ -16,3 +16,14 @@ def test_friction_frontier_searches_the_whole_grid(spark, monkeypatch):
 
     monkeypatch.setattr(adversary, "run", run)
     assert queries.friction_frontier(spark, D).count() == 32
+
+
+@pytest.mark.parametrize("name", ["chain_fans", "account_sparklines"])
+def test_fans_and_series_cover_the_whole_ledger(spark, name):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{D}/events.parquet')")
+    want = con.execute(queries.ORACLES[name]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES[name](spark, D).collect()]
+    assert want and len(got) == len(want) and sorted(r[:-1] for r in got) == sorted(r[:-1] for r in want)
+    assert [x[-1] for x in sorted(got)] == pytest.approx([x[-1] for x in sorted(want)], abs=2e-6)
