@@ -1,21 +1,30 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned by the base patterns. What may be encoded is then unwrapped:
-percent escapes, \\u, \\x and &#...; escapes in place, base64 runs as layers of their
-own, decompressed if they hold gzip or zlib data. Each new layer joins the worklist
-and is scanned and unwrapped in turn until none is new; a layer that was seen before
-with the same ranges is not taken again, so cycles end, while each copy of an encoded
-run is. Each layer's characters know the range of the whole text they come from, and
-a finding's span is that of its first to its last.
+percent escapes, \\u, \\x and &#...; escapes in place, base64 runs (also those wrapped
+over lines) as layers of their own, compressed data in these as streams. Each new
+layer joins the worklist and is scanned and unwrapped in turn until none is new. A
+layer is known by its content and the range of the whole text it stands for: each
+copy of an encoded run is taken, and a layer that unwraps to itself ends there.
+
+A layer maps a finding to a range of the layer it comes from, and so on up to the
+whole text; no map of characters is stored. All that a compressed run unfolds to
+stands for that run, so of a stream only the kinds of findings in it matter. It is
+read in pieces of PIECE bytes, cut at line ends that no encoded block crosses, as long
+as it is, and no further once all kinds were found.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import arrow_map
 
 KINDS = ("assign", "access", "hex")
-#: A compressed layer that unfolds to more bytes than this is a bomb: what is beyond is not unwrapped.
-LAYER_BYTES = 64 << 20
+#: Bytes that a stream yields at once; a stream of at most this many is held whole.
+PIECE = 1 << 20
+#: Characters of a stream without a place to cut after which it is cut anyway.
+UNBROKEN = 16 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,9 +45,13 @@ _HEX = re.compile(r"[0-9a-f]+")
 _IS_HEX = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _HEX_RUN = b"\1" * 24
 _WORDS = (b"passw", b"secret", b"token", b"api")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_OPENS = frozenset(b"%\\&")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}(?=[\x20\t]*(?:\r?\n|\Z))")
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff\ufffe\uffff]+")
+_URL_SAFE = str.maketrans("-_", "+/")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -53,138 +68,267 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
+# -- layers ------------------------------------------------------------------
 class _Layer:
-    """A text whose characters come from ranges [start[i], end[i]) of the whole text; None: its own characters."""
+    """A text; ``up`` maps a range of it to one of its parent. ``place``: the one range of the whole text that all of it stands for."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None) -> None:
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, parent: _Layer | None = None, up: Callable[[int, int], tuple[int, int]] | None = None, place: tuple[int, int] | None = None) -> None:
+        self.text, self.parent, self.up, self.place = text, parent, up, place
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
-
-    def replaced(self, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> _Layer:
-        """Parts ``(start, end, new text, range within the old text of each new character)`` in order."""
-        n = len(self.text)
-        start = np.arange(n) if self.start is None else self.start
-        end = np.arange(1, n + 1) if self.end is None else self.end
-        text, s, e, at = [], [], [], 0
-        for a, b, new, ranges in parts:
-            text += [self.text[at:a], new]
-            s += [start[at:a], np.array([start[x] for x, _ in ranges], dtype=np.int64)]
-            e += [end[at:a], np.array([end[y - 1] for _, y in ranges], dtype=np.int64)]
-            at = b
-        return _Layer("".join([*text, self.text[at:]]), np.concatenate([*s, start[at:]]), np.concatenate([*e, end[at:]]))
-
-    def key(self) -> tuple[bytes, bytes]:
-        """Of the text and the ranges it comes from."""
-        text = hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
-        if self.start is None:
-            return text, b""
-        if self.start.strides == (0,):  # one range
-            return text, b"%d %d" % (self.start[0], self.end[0])
-        return text, hashlib.sha256(self.start.astype("<i8").tobytes() + self.end.astype("<i8").tobytes()).digest()
-
-
-def _percent(layer: _Layer) -> _Layer | None:
-    if "%" not in layer.text:
+        layer = self
+        while layer.place is None and layer.parent is not None:
+            a, b = layer.up(a, b)
+            layer = layer.parent
+        return layer.place or (a, b)
+
+    def key(self) -> tuple:
+        return (hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), *self.span(0, len(self.text)))
+
+    def below(self) -> Iterator[_Layer | _Stream]:
+        if (plain := _unescaped(self)) is not None:
+            yield plain
+        for pieces in _runs(self.text):
+            yield from _decoded(self, pieces)
+
+
+class _Stream:
+    """Bytes that stand for one range of the whole text; more than PIECE of them are unfolded anew by each reader."""
+
+    def __init__(self, pieces: Callable[[], Iterator[bytes]], place: tuple[int, int]) -> None:
+        self.pieces, self.place = pieces, place
+        digest, held, n = hashlib.sha256(), [], 0
+        for p in pieces():
+            digest.update(p)
+            n += len(p)
+            if n <= PIECE:
+                held.append(p)
+        self.digest = digest.digest()
+        if n <= PIECE:
+            whole = b"".join(held)
+            self.pieces = lambda: iter((whole,) if whole else ())
+
+    def key(self) -> tuple:
+        return self.digest, "bytes", *self.place
+
+    def below(self) -> Iterator[_Layer | _Stream]:
+        if _packed(next(self.pieces(), b"")):
+            inner = _Stream(lambda: _inflate(self.pieces()), self.place)
+            if next(inner.pieces(), None) is not None:
+                yield inner
+                return
+        for text in _texts(self.pieces()):
+            yield _Layer(text, place=self.place)
+
+
+def _byte_offsets(text: str) -> np.ndarray | None:
+    """Where each character starts in UTF-8, and the end; None if that is the same number. Escaped bytes are one each."""
+    if text.isascii():
         return None
-    parts = []
-    for m in _PERCENT.finditer(layer.text):
-        try:
-            new = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
-            continue
-        at, ranges = m.start(), []
-        for c in new:
-            width = 3 * len(c.encode())
-            ranges.append((at, at + width))
-            at += width
-        parts.append((m.start(), m.end(), new, ranges))
-    return layer.replaced(parts) if parts else None
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    widths = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    widths[(c >= 0xDC80) & (c < 0xDD00)] = 1
+    return np.concatenate([[0], np.cumsum(widths)])
 
 
-def _escapes(layer: _Layer) -> _Layer | None:
-    if "\\" not in layer.text and "&#" not in layer.text:
+def _unescaped(layer: _Layer) -> _Layer | None:
+    """Every escape undone; if that gives the start of a further escape, that one too. Bytes that are no UTF-8 stay apart."""
+    text = layer.text
+    if "%" not in text and "\\" not in text and "&#" not in text:
         return None
-    parts = []
-    for m in _ESCAPE.finditer(layer.text):
-        code = int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)
-        if code < 0x110000 and not 0xD800 <= code < 0xE000:
-            parts.append((m.start(), m.end(), chr(code), [(m.start(), m.end())]))
-    return layer.replaced(parts) if parts else None
-
-
-def _base64(layer: _Layer) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except ValueError:
-            continue
-        at = m.start()
-        unfolded = _unfold(raw)
-        if unfolded is not None:
-            a, b = layer.span(at, m.end())
-            yield _Layer(unfolded, np.broadcast_to(np.int64(a), len(unfolded)), np.broadcast_to(np.int64(b), len(unfolded)))
-            continue
-        text = _readable(raw)
-        if not text:
-            continue
-        # Byte k lies in characters 4k/3 to 4k/3 + 2 of the run.
-        widths = np.array([len(c.encode()) for c in text])
-        first = np.cumsum(widths) - widths
-        a = at + first * 4 // 3
-        b = np.minimum(at + ((first + widths - 1) * 4 // 3) + 2, m.end())
-        yield _Layer(text, a, b) if layer.start is None else _Layer(text, layer.start[a], layer.end[b - 1])
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+    out: list[str] = []
+    new_at, starts, ends = array("q"), array("q"), array("q")  # each undone character, and the range it comes from
+    at = pos = n = 0
+    raw: list[tuple[int, int, int]] = []
+
+    def emit(char: str, start: int, end: int) -> None:
+        nonlocal at, n
+        if start > at:
+            out.append(text[at:start])
+            n += start - at
+        out.append(char)
+        new_at.append(n)
+        starts.append(start)
+        ends.append(end)
+        at, n = end, n + 1
+
+    def flush() -> None:
+        """The bytes of percent escapes without anything between them."""
+        if not raw:
+            return
+        k = 0
+        for c in bytes(v for v, _, _ in raw).decode("utf-8", "surrogateescape"):
+            width = 1 if "\udc80" <= c < "\udd00" else len(c.encode("utf-8"))
+            emit(c, raw[k][1], raw[k + width - 1][2])
+            k += width
+        raw.clear()
+
+    while (m := _ESCAPE.search(text, pos)) is not None:
+        start, end = m.start(), m.end()
+        while True:
+            code, is_byte = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16), m[1] is not None
+            if code not in _OPENS or (more := _ESCAPE.match(chr(code) + text[end : end + 10])) is None:
+                break
+            m, end = more, end + more.end() - 1
+        pos = end
+        if raw and (not is_byte or raw[-1][2] != start):
+            flush()
+        if is_byte:
+            raw.append((code, start, end))
+        elif code < 0xD800 or 0xE000 <= code < 0x110000:
+            emit(chr(code), start, end)
+    flush()
+    if not new_at:
         return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    out.append(text[at:])
 
+    def up(a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(new_at, a) - 1, bisect_right(new_at, b - 1) - 1
+        first = a if i < 0 else starts[i] if new_at[i] == a else ends[i] + a - new_at[i] - 1
+        last = b if j < 0 else ends[j] if new_at[j] == b - 1 else ends[j] + b - new_at[j] - 1
+        return first, last
 
-def _unfold(raw: bytes) -> str | None:
-    """The text of gzip or zlib data."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(raw, LAYER_BYTES).decode("utf-8", "replace") or None
-    except zlib.error:
-        return None
+    return _Layer("".join(out), layer, up)
 
 
-def unwrapped(text: str) -> Iterator[_Layer]:
-    """All layers below the text itself; one copy's layers are done before the next copy is unfolded."""
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 runs as ranges of the text: each alone, and blocks of lines of one length with the shorter line after them."""
+    done = 0
+    for m in _BASE64.finditer(text):
+        yield [m.span()]
+        if m.start() < done or m[0].endswith("="):
+            continue
+        block, width, shorter = [m.span()], 0, False
+        while not shorter and (gap := _BREAK.match(text, block[-1][1])) and (line := _LINE.match(text, gap.end())):
+            n = len(line[0])
+            if not width:
+                width = n if m.start() and text[m.start() - 1] not in "\n\t " else len(m[0])
+            if n > width:
+                break
+            shorter = n < width or line[0].endswith("=")
+            block.append(line.span())
+        if len(block) > 1:
+            done = block[-1][1]
+            yield block
+            if shorter and len(block) > 2:  # the shorter line may be no part of it
+                yield block[:-1]
+
+
+def _decoded(layer: _Layer, pieces: list[tuple[int, int]]) -> Iterator[_Layer | _Stream]:
+    run = "".join(layer.text[a:b] for a, b in pieces).rstrip("=")
+    if len(run) % 4 == 1:
+        return
+    raw = base64.b64decode(run.translate(_URL_SAFE) + "=" * (-len(run) % 4))
+    if _packed(raw):
+        unfolded = _Stream(lambda: _inflate(iter((raw,))), layer.span(pieces[0][0], pieces[-1][1]))
+        if next(unfolded.pieces(), None) is not None:
+            yield unfolded
+            return
+    text = raw.decode("utf-8", "surrogateescape")
+    if not _readable(text):
+        return
+    offsets = _byte_offsets(text)
+    before = [0]
+    for a, b in pieces:
+        before.append(before[-1] + b - a)
+
+    def place(k: int) -> int:
+        """Where the run's character k stands."""
+        p = bisect_right(before, k, 0, len(pieces)) - 1
+        return pieces[p][0] + k - before[p]
+
+    def up(a: int, b: int) -> tuple[int, int]:
+        # Byte k lies in characters 4k/3 to 4k/3 + 1 of the run.
+        i, j = (a, b) if offsets is None else (int(offsets[a]), int(offsets[b]))
+        return place(i * 4 // 3), place(min((j - 1) * 4 // 3 + 1, len(run) - 1)) + 1
+
+    yield _Layer(text, layer, up)
+
+
+def _readable(text: str) -> bool:
+    """At most one in ten characters is a control or no UTF-8."""
+    return bool(text) and (text.isprintable() or sum(map(len, _ODD.findall(text))) * 10 <= len(text))
+
+
+# -- compressed data ---------------------------------------------------------
+def _packed(raw: bytes) -> bool:
+    """Starts like gzip or zlib data."""
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """All members, one after another; broken data end there."""
+    rest = b""
+    while True:
+        while len(rest) < 3 and (more := next(pieces, b"")):
+            rest += more
+        if not _packed(rest):
+            return
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            try:
+                out = member.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            rest = member.unconsumed_tail
+            if out:
+                yield out
+            elif not rest and not member.eof and not (rest := next(pieces, b"")):
+                return
+        rest = member.unused_data
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The text of a stream in parts, cut after lines that aren't lines of a base64 block."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held: list[str] = []
+    size = 0
+    for text in chain(map(decoder.decode, pieces), (decoder.decode(b"", True),)):
+        held.append(text)
+        size += len(text)
+        if "\n" not in text and size < UNBROKEN:
+            continue
+        whole = "".join(held)
+        at = _cut(whole)
+        if not at and size >= UNBROKEN:
+            at = size // 4 * 4
+        if at:
+            yield whole[:at]
+        held, size = [whole[at:]], size - at
+    if size:
+        yield "".join(held)
+
+
+def _cut(text: str) -> int:
+    """The last line end with a line before it that is not base64 alone."""
+    end = text.rfind("\n")
+    while end >= 0:
+        start = text.rfind("\n", 0, end)
+        line = text[start + 1 : end].strip()
+        if not line or not _LINE.fullmatch(line):
+            return end + 1
+        end = start
+    return 0
+
+
+# -- the worklist ------------------------------------------------------------
+def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base findings, and all findings with those of the layers, by start, kind, end."""
+    base = scan(text)
+    spans = set(base)
     top = _Layer(text)
-    seen, work = {top.key()}, [_below(top)]
+    seen, work = {top.key()}, [(top.below(), None)]
     while work:
-        new = next(work[-1], None)
+        below, place = work[-1]
+        complete = place is not None and all((kind, *place) in spans for kind in KINDS)
+        new = None if complete else next(below, None)
         if new is None:
             work.pop()
         elif (key := new.key()) not in seen:
             seen.add(key)
-            work.append(_below(new))
-            yield new
-
-
-def _below(layer: _Layer) -> Iterator[_Layer]:
-    for f in (_percent, _escapes):
-        if (new := f(layer)) is not None:
-            yield new
-    yield from _base64(layer)
-
-
-def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base findings, and all findings with those of the layers."""
-    base = scan(text)
-    spans = set(base)
-    for layer in unwrapped(text):
-        spans.update((kind, *layer.span(a, b)) for kind, a, b in scan(layer.text))
+            work.append((new.below(), new.place))
+            if isinstance(new, _Layer):
+                spans.update((kind, *new.span(a, b)) for kind, a, b in scan(new.text))
     return base, sorted(spans, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
@@ -195,7 +339,9 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per row: ``doc_id, n_assign, n_access, n_hex`` (base findings), ``base_sha256, spans`` (base and unwrapped).
 
-    A null text is an empty one. Offsets are code points, end exclusive. Only doc_id and text are read.
+    A null text is an empty one; a null doc_id stays null; equal rows give equal rows; an
+    empty table gives none. Offsets are code points, end exclusive. Only doc_id and text
+    are read, so further columns of any name do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
