@@ -9,11 +9,14 @@ product, prefixes kept while the best the later blocks could add still reaches a
 No filter is left out, and none capped. alpha follows from the wanted number of caps
 a vector is in; recall against brute force is measured in the tests.
 
-Rows with the same label meet in the caps they share, and pairs are verified by
-cosine in double precision. A pair is counted in the first cap that it shares, so
-each link counts once; a cap emits its members' link counts and a spanning forest,
-not pairs. A cap with more members than ``block`` is dealt out as pairs of blocks:
-every task holds at most two blocks, however hot the cap.
+Vectors with the same label that are equal, up to a power of two, are one class with a
+count before any cap is dealt, so copies cost nothing. Classes of a label meet in the
+caps they share, and pairs are verified by cosine in double precision, components
+scaled by powers of two (exact), so neither large nor small ones overflow. A pair is
+counted in the first cap that it shares, so each link counts once; a cap emits its
+members' link counts and a spanning forest, not pairs. A cap with more members than
+``block`` is dealt out as pairs of blocks: every task holds at most two blocks, however
+hot the cap. A vector that few filters cover takes its LEAST best ones.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ SEED = 20240607
 #: Caps that a vector is in, on average; the code's blocks; members of a cap at which the number of words aims, and its least.
 CAPS, PARTS, MEMBERS, WORDS = 32, 2, 64, 64
 BLOCK = 1024
+#: Caps that every vector is in at least.
+LEAST = 8
 
 
 @lru_cache(maxsize=4)
@@ -62,8 +69,8 @@ def parts_of(dim: int, parts: int) -> int:
     return max(1, min(parts, dim // 8))
 
 
-def decode(unit: np.ndarray, parts: int, words: int, threshold: float) -> list[np.ndarray]:
-    """For each row of unit vectors the numbers of all filters above the threshold, ascending."""
+def decode(unit: np.ndarray, parts: int, words: int, threshold: float, least: int = 0) -> list[np.ndarray]:
+    """For each row of unit vectors the numbers of all filters above the threshold, ascending; its ``least`` best ones if these are fewer."""
     rotation, books = code(unit.shape[1], parts, words)
     turned = unit @ rotation.T
     at, products = 0, []
@@ -81,12 +88,22 @@ def decode(unit: np.ndarray, parts: int, words: int, threshold: float) -> list[n
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             sums = np.repeat(sums, n) - falling[k][r, at]
             number = np.repeat(number, n) * words + order[k][r, at]
-        out.append(np.sort(number))
+        out.append(np.sort(number if len(number) >= least else _best([f[r, :least] for f in falling], [o[r, :least] for o in order], words, least)))
     return out
 
 
+def _best(falling: list[np.ndarray], order: list[np.ndarray], words: int, least: int) -> np.ndarray:
+    """The filters with the highest sums: only the best of the blocks so far can be among them."""
+    sums, number = np.zeros(1), np.zeros(1, dtype=np.int64)
+    for f, o in zip(falling, order):
+        sums, number = (sums[:, None] - f).ravel(), (number[:, None] * words + o).ravel()
+        best = np.argsort(-sums, kind="stable")[:least]
+        sums, number = sums[best], number[best]
+    return number
+
+
 def _linked(rows: list[tuple], others: list[tuple] | None, cap: int, cosine: float):
-    """Link counts and forest edges of pairs within rows, or between rows and others, whose first common cap this is."""
+    """Link counts (in vectors) and forest edges of pairs of classes within rows, or between rows and others, whose first common cap this is."""
     x = np.array([r[1] for r in rows])
     y = x if others is None else np.array([r[1] for r in others])
     near = (x @ y.T) / np.outer(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))) >= cosine
@@ -112,11 +129,10 @@ def _linked(rows: list[tuple], others: list[tuple] | None, cap: int, cosine: flo
             (b if side else a)[k, c] = 1
         fresh = fresh & (a @ b.T == 0)
     ids_i, ids_j = [rows[a][0] for a in ri.tolist()], [(others or rows)[b][0] for b in rj.tolist()]
-    if others is None:
-        yield from zip(ids_i, fresh.sum(axis=1).tolist())
-    else:
-        yield from zip(ids_i, fresh.sum(axis=1).tolist())
-        yield from zip(ids_j, fresh.sum(axis=0).tolist())
+    counts_i, counts_j = np.array([rows[a][4] for a in ri.tolist()], dtype=np.int64), np.array([(others or rows)[b][4] for b in rj.tolist()], dtype=np.int64)
+    yield from zip(ids_i, (fresh @ counts_j).tolist())
+    if others is not None:
+        yield from zip(ids_j, (counts_i @ fresh).tolist())
     # Each row to one partner of its component: star edges to the smallest id reached within the block.
     label_i, label_j = np.array(ids_i, dtype=np.int64), np.array(ids_j, dtype=np.int64)
     near = near[np.ix_(ri, rj)]
@@ -150,73 +166,116 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """``vec_id, label, raw, unit, v``: digests of the components as they are and scaled, and these; no unit for what links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            lists = b.column(1)
+            lengths = np.array([-1 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], dtype=np.int64)
+            flat = lists.flatten()
+            gaps = flat.is_null().to_numpy(zero_copy_only=False)
+            values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # one zero
+            ends = np.cumsum(np.maximum(lengths, 0))
+            raw: list[bytes] = [b""] * len(lengths)
+            unit: list[bytes | None] = [None] * len(lengths)
+            scaled: list[bytes | None] = [None] * len(lengths)
+            for dim in np.unique(lengths).tolist():
+                idx = np.flatnonzero(lengths == dim)
+                if dim < 0:
+                    continue
+                cells = (ends[idx] - dim)[:, None] + np.arange(dim)
+                mat, gap = values[cells], gaps[cells]
+                top = np.abs(mat).max(axis=1, initial=0.0)
+                fine = np.isfinite(mat).all(axis=1) & ~gap.any(axis=1) & (top > 0)
+                small = np.ldexp(mat, -np.frexp(np.where(fine, top, 1.0))[1][:, None])
+                for k, row, holes, ok, s in zip(idx.tolist(), mat, gap, fine.tolist(), small):
+                    raw[k] = digest(row.tobytes() + (holes.tobytes() if holes.any() else b"")) + dim.to_bytes(4, "little")
+                    if ok:
+                        scaled[k] = s.astype("<f8").tobytes()
+                        unit[k] = digest(scaled[k])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(raw, pa.binary()), pa.array(unit, pa.binary()), pa.array(scaled, pa.binary())], ["vec_id", "label", "raw", "unit", "v"])
+
+    return arrow_map(rows, run, f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, raw binary, unit binary, v binary")
+
+
 def near_duplicates(table: DataFrame, cosine: float = 0.98, caps: int = CAPS, parts: int = PARTS, words: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per vec_id of ``table(vec_id, embedding, label)``: ``vec_id, n_links, component_id, kept``.
+    """One row per vector of ``table(vec_id, embedding, label)``: ``vec_id, n_links, component_id, kept``.
 
-    Rows that share a vec_id are one vector, the smallest by (label, embedding).
-    Vectors that are null, empty, zero, or hold null or non-finite components, and
-    rows with a null label or vec_id, link with nothing; so do vectors of unequal
-    dimension. An empty table gives no rows. Only the three columns are read.
-    ``words``: by the number of vectors, so that a cap has some MEMBERS members.
+    A vector is a distinct row of these three columns: rows that repeat all of them are
+    one, rows that share a vec_id but differ otherwise are vectors each. Vectors that are
+    null, empty, zero, or hold null or non-finite components, and those with a null
+    label, link with nothing; so do vectors of unequal dimension. A null vec_id takes
+    part, but never names a component that has another id; without one it is null, and
+    such a vector is kept. An empty table gives no rows. Only the three columns are
+    read, so further ones of any name do no harm. ``words``: by the number of classes,
+    so that a cap has some MEMBERS members.
     """
     scratch = Scratch(table.sparkSession, "caps")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.struct(F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v")).alias("r"))
-    vectors = scratch.write(rows.groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.*"))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("label"))
+    prepared = scratch.write(_prepared(rows))
+    vectors = scratch.write(prepared.select("vec_id", "label", "raw", F.when(F.col("label").isNotNull(), F.col("unit")).alias("unit")).distinct())
+    counted = vectors.where("unit is not null").groupBy("label", "unit").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
+    contents = prepared.where("unit is not null and label is not null").groupBy("label", "unit").agg(F.any_value("v").alias("v"))
+    # The number of a class is fixed by being written.
+    classes = scratch.write(contents.join(counted, ["label", "unit"]).withColumn("c", F.monotonically_increasing_id()))
+    scratch.drop(prepared)
 
     if words is None:
-        words = max(WORDS, 1 << math.ceil(math.log2(max(1, vectors.count() * caps / MEMBERS)) / parts))
+        words = max(WORDS, 1 << math.ceil(math.log2(max(1, classes.count() * caps / MEMBERS)) / parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by_dim: dict[int, list[int]] = {}
             vs = b.column(1).to_pylist()
             for k, v in enumerate(vs):
-                if v and None not in v and np.isfinite(v).all() and any(v):
-                    by_dim.setdefault(len(v), []).append(k)
-            where, cap, dim_of, all_caps, mats = [], [], [], [], []
+                by_dim.setdefault(len(v) // 8, []).append(k)
+            where, cap, dim_of, all_caps = [], [], [], []
             for dim, idx in by_dim.items():
-                mat = np.array([vs[k] for k in idx])
-                unit = mat / np.abs(mat).max(axis=1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                unit = np.frombuffer(b"".join([vs[k] for k in idx]), "<f8").reshape(-1, dim)
+                unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
                 n = parts_of(dim, parts)
-                for k, row, found in zip(idx, mat, decode(unit, n, words, alpha(dim, n, words, caps))):
+                for k, found in zip(idx, decode(unit, n, words, alpha(dim, n, words, caps), LEAST)):
                     listed = found.tolist()
                     where += [k] * len(listed)
                     cap += listed
                     dim_of += [dim] * len(listed)
                     all_caps += [found.astype("<i4").tobytes()] * len(listed)
-                    mats += [row.astype("<f8").tobytes()] * len(listed)
             take = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(dim_of, pa.int32()), pa.array(cap, pa.int64()), pa.array(all_caps, pa.binary()), pa.array(mats, pa.binary())], ["vec_id", "label", "dim", "cap", "caps", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(dim_of, pa.int32()), pa.array(cap, pa.int64()), pa.array(all_caps, pa.binary()), b.column(1).take(take)], ["c", "label", "n", "dim", "cap", "caps", "v"])
 
-    label_type = vectors.schema["label"].dataType.simpleString()
-    dealt = arrow_map(vectors.where("vec_id is not null and label is not null").select("vec_id", "v", "label"), deal, f"vec_id long, label {label_type}, dim int, cap long, caps binary, v binary")
+    label_type = classes.schema["label"].dataType.simpleString()
+    dealt = arrow_map(classes.select("c", "v", "label", "n"), deal, f"c long, label {label_type}, n long, dim int, cap long, caps binary, v binary")
     key = ["label", "dim", "cap"]
-    sizes = scratch.write(dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    sizes = scratch.write(dealt.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1").select(*key, F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     # Block i of a cap meets blocks j >= i: its rows go to the cells (min, max) of all of them. One cell if the cap is not large.
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    placed = dealt.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(cells)).select(*key, "cell.i", "cell.j", "own", "vec_id", "caps", "v")
+    placed = dealt.join(sizes, key).withColumn("own", own).withColumn("cell", F.explode(cells)).select(*key, "cell.i", "cell.j", "own", "c", "caps", "v", "n")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _cells(batches, 5):
             cap, i, j = (t.column(c)[0].as_py() for c in (2, 3, 4))
             vectors = np.frombuffer(b"".join(t.column(7).to_pylist()), "<f8").reshape(t.num_rows, -1)
-            rows = sorted(zip(t.column(6).to_pylist(), vectors, t.column(8).to_pylist(), t.column(5).to_pylist()), key=lambda r: r[0])
+            rows = sorted(zip(t.column(6).to_pylist(), vectors, t.column(8).to_pylist(), t.column(5).to_pylist(), t.column(9).to_pylist()), key=lambda r: r[0])
             left = [r for r in rows if r[3] == i]
             right = None if i == j else [r for r in rows if r[3] == j]
             found = list(_linked(left, right, cap, cosine)) if left and (i == j or right) else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] if len(f) == 2 else 0 for f in found], pa.int64()), pa.array([f[2] if len(f) == 3 else None for f in found], pa.int64())], ["vec_id", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] if len(f) == 2 else 0 for f in found], pa.int64()), pa.array([f[2] if len(f) == 3 else None for f in found], pa.int64())], ["c", "links", "other"])
 
     cell = [*key, "i", "j"]
-    met = placed.select(*cell, "own", "vec_id", "v", "caps").repartition(*cell).sortWithinPartitions(*cell)
-    found = scratch.write(arrow_map(met, verify, "vec_id long, links long, other long"))
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    roots = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch)
-    return (
-        vectors.select("vec_id")
-        .join(links, "vec_id", "left")
-        .join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
-        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), F.coalesce(F.coalesce("root", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    met = placed.select(*cell, "own", "c", "v", "caps", "n").repartition(*cell).sortWithinPartitions(*cell)
+    found = scratch.write(arrow_map(met, verify, "c long, links long, other long"))
+    links = found.groupBy("c").agg(F.sum("links").alias("links"))
+    roots = components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")), scratch)
+    roots = scratch.write(roots.join(classes.select(F.col("c").alias("node"), "low"), "node"))
+    named = roots.join(roots.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(F.col("node").alias("c"), "component_id")
+    of_class = scratch.write(
+        classes.join(links, "c", "left").join(named, "c", "left").select("label", "unit", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     )
+    scratch.drop(found, roots, sizes)
+    known = vectors.where("unit is not null").join(of_class, ["label", "unit"]).select("vec_id", "n_links", "component_id")
+    alone = vectors.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return known.unionByName(alone).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -187,3 +187,45 @@ def test_pipeline(spark):
     assert last.count() == before.count()
     whole = sorted((r.doc_id, r.ids_sha256) for r in p.run(spark, d).collect())
     assert whole == sorted((r.doc_id, r.ids_sha256) for r in last.collect())
+
+
+# -- scale, ids and copies ---------------------------------------------------
+def near_rows(spark, rows, **settings):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, c int, unit string") if rows and len(rows[0]) == 5 else spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, c int, unit string")
+    return sorted([tuple(r) for r in caps.near_duplicates(table, **settings).collect()], key=str)
+
+
+def test_cap_filters_of_any_scale(spark):
+    v = [0.3, -0.4, 0.5, 0.1, 0.2, 0.9, -0.7, 0.6]
+    near = [x + 0.001 for x in v]
+    for scale in (1e200, 1e-200, 1e300, 5e-324 / 0.1 * 100, 1.0):
+        a, b = [x * scale for x in v], [x * scale for x in near]
+        got = near_rows(spark, [(1, a, 3), (2, a, 3), (3, b, 3), (4, [x * 0.37 for x in v], 3), (5, a, 4)])
+        assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)], scale
+
+
+def test_cap_filters_ids_that_repeat_or_lack(spark):
+    v, w = [1.0, 2.0], [2.0, -1.0]
+    assert near_rows(spark, [(1, v, None), (1, v, 3), (2, v, 3)]) == sorted([(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)
+    assert near_rows(spark, [(None, v, 3), (2, v, 3), (None, w, 3), (None, [-1.0, -2.0], 3), (None, [-1.0, -2.0], 3)]) == sorted([(None, 1, 2, False), (2, 1, 2, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_cap_filters_count_many_copies(spark):
+    rng = np.random.default_rng(9)
+    hot, near = rng.standard_normal(32), None
+    near = hot + rng.standard_normal(32) * 0.01
+    rows = spark.range(10_000).selectExpr("id as vec_id", f"array({','.join(map(str, hot.tolist()))}) as embedding", "1 as label")
+    rows = rows.unionByName(spark.range(10_000, 10_050).selectExpr("id as vec_id", f"array({','.join(map(str, near.tolist()))}) as embedding", "1 as label"))
+    got = caps.near_duplicates(rows).groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(10_049, 0, 10_050)]
+
+
+def test_every_vector_has_its_best_caps():
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((50, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rotation, books = caps.code(16, 2, 16)
+    for u, got in zip(unit, caps.decode(unit, 2, 16, 0.99, 5)):
+        turned = rotation @ u
+        score = (books[0] @ turned[:8])[:, None] + (books[1] @ turned[8:])[None, :]
+        assert sorted(np.argsort(-score.ravel())[:5].tolist()) == got.tolist()
