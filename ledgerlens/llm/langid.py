@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, arrow_map
+from .shared import KEY, Scratch, arrow_map, key_of_text, whole_rows
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
@@ -96,8 +96,8 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, smoothing: float = 0.5) -
     return [lang for lang, _ in found], np.log(matrix / matrix.sum(axis=0)) if found else matrix
 
 
-def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row: the most probable language of the whole text and its posterior.
+def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: list[Column] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` and ``carry`` for every row: the most probable language of the whole text and its posterior.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned. Ties go to the language that sorts first.
@@ -121,10 +121,10 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFr
             posterior = 1 / np.exp(total - top[:, None]).sum(axis=1)
             und = [none or not has_letter(t) for t in texts]
             names = [UNDETERMINED if u else languages[k] for u, k in zip(und, best.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(und, 0.0, posterior), pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(und, 0.0, posterior), pa.float64()), *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, score, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
+    return arrow_map(rows, score, ", ".join(["doc_id long, lang_pred string, score double", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))
 
 
 def fold() -> Column:
@@ -142,12 +142,13 @@ def identify(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and so a language; the others go.
+    """The rows of ``docs`` whose text has a letter and so a language; the others, null and empty texts among them, go.
 
-    The rejected ids are few and are joined back on doc_id: rows that share a
-    doc_id go together, rows without one stay.
+    Each row is judged by its own text: what else shares its doc_id doesn't matter, and
+    neither do further columns of any name.
     """
-    rejected = identify(docs, buckets).where(F.col("lang_pred") == UNDETERMINED).select("doc_id").distinct()
+    languages, matrix = train(docs.where(fold() != 1).select("text", "lang"), buckets)
+    rejected = predict(docs, languages, matrix, key_of_text()).where(F.col("lang_pred") == UNDETERMINED).select(*KEY).distinct()
     # Written first: its size is then known, and where it is small the texts need no exchange to meet it.
     gone = Scratch(docs.sparkSession, "langid-gone").write(rejected)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(gone, KEY, "left_anti").select("k_row.*")

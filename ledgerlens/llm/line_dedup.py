@@ -6,7 +6,7 @@ rightmost on ties) as a fingerprint, so equal runs of that many lines have a
 fingerprint in common, at the same place. Fingerprints that occur once in the corpus
 are dropped there: the rest are the positions where repeated runs can be. Each such
 position is extended both ways to every run of ``window`` lines around it; runs are
-joined by 128-bit digest, and all but the first (by doc_id, line) are repeats. The
+joined by 128-bit digest, and all but the first (by doc_id, text, line) are repeats. The
 lines of later repeated runs are deleted; longer runs are unions of these.
 
 So: a line is deleted if and only if it lies in ``window`` consecutive lines that
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, arrow_map
+from .shared import KEY, Scratch, arrow_map, key_of_text, whole_rows
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -66,25 +66,25 @@ def short_runs(text: str, numbers: list[int], hashes: np.ndarray, window: int, l
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """``doc_id, lines``: sorted numbers (from 0) of the lines to delete, for documents that have some.
+    """``doc_id, lines`` and KEY: sorted numbers (from 0) of the lines to delete, for texts that have some.
 
-    Null and empty texts have no window, short ones neither without ``long_words``; rows without a doc_id take no part;
-    rows that share a doc_id hold the same places, so equal ones are not repeats
-    of each other. An empty table gives no rows.
+    Null and empty texts have no window, short ones neither without ``long_words``.
+    Rows that share doc_id and text hold the same places, so they are not repeats of
+    each other; other texts under one doc_id are texts of their own, in the order of
+    their hashes. Rows without a doc_id come last. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = docs.select(F.col("text").cast("string").alias("text"), *key_of_text()).where("text <> ''")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a fingerprint: its hash, place, and the digests of the windows around it."""
         for b in batches:
-            doc, fp, at, digests = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            doc, fp, digests = [], [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
                 numbers, hashes = line_hashes(t)
                 for p in winnow(hashes, window).tolist():
                     doc.append(i)
                     fp.append(int(hashes[p].astype(np.int64)))
-                    at.append(p)
                     around = range(max(0, p - window + 1), min(p, len(hashes) - window) + 1)
                     digests.append([{"s": s, "d": xxhash.xxh3_128_digest(hashes[s : s + window].tobytes()), "l": numbers[s : s + window]} for s in around])
                 for s, e, content in short_runs(t, numbers, hashes, window, long_words) if long_words is not None else ():
@@ -92,22 +92,29 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None
                     fp.append(int(np.uint64(xxhash.xxh3_64_intdigest(content)).astype(np.int64)))
                     digests.append([{"s": s, "d": xxhash.xxh3_128_digest(content), "l": numbers[s:e]}])
             kind = pa.list_(pa.struct([("s", pa.int32()), ("d", pa.binary()), ("l", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(fp, pa.int64()), pa.array(digests, kind)], ["doc_id", "fp", "runs"])
+            take = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in (1, 2, 3)), pa.array(fp, pa.int64()), pa.array(digests, kind)], [*KEY, "fp", "runs"])
 
-    selected = scratch.write(arrow_map(rows, select, "doc_id long, fp long, runs array<struct<s:int,d:binary,l:array<int>>>"))
+    selected = scratch.write(arrow_map(rows, select, "k_none boolean, k_id long, k_text long, fp long, runs array<struct<s:int,d:binary,l:array<int>>>"))
     repeated = scratch.write(selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    runs = selected.join(repeated, "fp").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").distinct()
-    runs = scratch.write(runs.select("doc_id", "s", F.col("l").alias("lines"), F.hex("d").alias("d")))
-    place = F.struct("doc_id", "s")
-    first = scratch.write(runs.groupBy("d").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d", F.col("first.doc_id").alias("fd"), F.col("first.s").alias("fs")))
-    later = runs.join(first, "d").where("doc_id <> fd or s <> fs").select("doc_id", F.explode("lines").alias("line")).distinct()
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    runs = selected.join(repeated, "fp").select(*KEY, F.explode("runs").alias("r")).select(*KEY, "r.*").distinct()
+    runs = scratch.write(runs.select(*KEY, "s", F.col("l").alias("lines"), F.hex("d").alias("d")))
+    scratch.drop(selected, repeated)
+    place = F.struct(*KEY, "s")
+    first = scratch.write(runs.groupBy("d").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d", "first"))
+    later = runs.join(first, "d").where(place != F.col("first")).select(*KEY, F.explode("lines").alias("line")).distinct()
+    return later.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("lines")).select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "lines", *KEY)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """The rows of ``docs`` without the deleted lines; those left without a word are dropped if lines were deleted."""
-    gone = repeated_lines(docs, window, long_words).withColumnRenamed("lines", "_gone")
-    joined = docs.join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, n: ~F.array_contains("_gone", n)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    """The rows of ``docs`` without the deleted lines; those left without a word are dropped if lines were deleted.
+
+    Lines are deleted from the very text they were found in, whatever else shares its
+    doc_id. Null texts stay as they are. Further columns may have any name.
+    """
+    gone = Scratch(docs.sparkSession, "lines-gone").write(repeated_lines(docs, window, long_words).select(*KEY, "lines"))
+    joined = whole_rows(docs).join(gone, KEY, "left")
+    text = F.col("k_row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, n: ~F.array_contains("lines", n)), "\n")
+    out = joined.withColumn("k_kept", F.when(F.col("lines").isNull(), text).otherwise(kept)).where(F.col("lines").isNull() | F.col("k_kept").rlike(r"\S"))
+    return out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])

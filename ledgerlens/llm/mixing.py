@@ -10,8 +10,8 @@ l_s = infinity: all rates are the cap.
 
 Rates become copies by cumulative rounding over a source's sizes, then a few greedy
 corrections bring its tokens to the target as near as single documents allow; equal
-sizes of a source share out their copies by hash. All sums that decide are of
-integers, and l_s is cut to 1e-9, so reruns agree.
+sizes of a source share out their copies by hash. All sums are of integers (a
+Newton step's in units of 2^-30), so they don't depend on the order of rows and reruns agree.
 
 Bounds: sources are names of a mix, at most MAX_SOURCES (checked), and only their
 sums reach the driver. A hot source or size is never gathered in one task: counts
@@ -35,6 +35,7 @@ SHARE, CAP = 1.5, 2
 MAX_SOURCES = 10_000
 #: Rounds of corrections at most, and the share of its target that a source may be off without one.
 CORRECTIONS, NEAR = 8, 1e-4
+RESULTS = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
 _UNIT = 1 << 24  # rates are counted in units of 1 / _UNIT
 
 
@@ -95,7 +96,8 @@ def solve(cells: DataFrame, sums: dict[int, tuple[int, int, float]], cap: float
         x = F.col("size") / F.col("mean")
         r = _tilted(F.col("lam"), x, cap)
         weight = F.col("n") * F.col("size")
-        got = cells.join(at, "sid").groupBy("sid").agg(F.sum(weight * r).alias("f"), F.sum(weight * x * r * (1 - r / cap)).alias("d")).collect()
+        fixed = lambda c: (F.sum(F.round(c * (1 << 30)).cast("decimal(38,0)")).cast("double") / (1 << 30))
+        got = cells.join(at, "sid").groupBy("sid").agg(fixed(weight * r).alias("f"), fixed(weight * x * r * (1 - r / cap)).alias("d")).collect()
         for row in got:
             s, target = row.sid, sums[row.sid][2]
             gap = row.f - target
@@ -116,16 +118,22 @@ def solve(cells: DataFrame, sums: dict[int, tuple[int, int, float]], cap: float
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """All rows and columns of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies, mix_taken``.
+    """All rows and columns of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies, mix_taken``, which replace columns of these names.
 
     Sources go by code point, null (a source like any other) last. Null texts and
     texts without words have size 0 and one copy; they weigh nothing. Equal rows may get different
     copies; which of them gets more is not told apart. An empty table gives no rows.
     """
+    own = [c for c in docs.columns if c not in RESULTS]
+    return _mixed(docs, share, cap, weights).select(*[F.col("mix_row").getField(c).alias(c) for c in own], *RESULTS)
+
+
+def _mixed(docs: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
+    """``mix_row``, the rows of ``docs`` as structs so that their columns may have any name, and RESULTS."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = docs.withColumn("mix_size", word_count(F.col("text").cast("string")))
-    narrow = scratch.write(sized.select(F.col("source").cast("string").alias("source"), F.col("mix_size").alias("size"), F.xxhash64("doc_id").alias("h")))
+    sized = docs.select(F.struct("*").alias("mix_row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("doc_id"), word_count(F.col("text").cast("string")).alias("mix_size"))
+    narrow = scratch.write(sized.select("source", F.col("mix_size").alias("size"), F.xxhash64("doc_id").alias("h")))
     per_cell = scratch.write(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = per_cell.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("tokens"))
     rows = per_source.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
@@ -158,12 +166,12 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple[in
     )
     rows_ = (
         sized.withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-        .join(by_name.select(F.col("sid").alias("mix_sid"), F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), F.col("source").cast("string").eqNullSafe(F.col("mix_name")))
+        .join(by_name.select(F.col("sid").alias("mix_sid"), F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), F.col("source").eqNullSafe(F.col("mix_name")))
         .join(shares.select(F.col("sid").alias("mix_sid"), "mix_size", F.col("bucket").alias("mix_bucket"), F.col("base").alias("mix_base"), F.col("more").alias("mix_more")), ["mix_sid", "mix_size", "mix_bucket"])
     )
     rank = F.row_number().over(W.partitionBy("mix_sid", "mix_size", "mix_bucket").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id"))
     copies = F.col("mix_base") + (rank <= F.col("mix_more")).cast("int")
-    return rows_.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size")).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
+    return rows_.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size")).select("mix_row", *RESULTS)
 
 
 def _round(cells: DataFrame, lam: dict[int, float], sums: dict[int, tuple[int, int, float]], cap: int) -> DataFrame:
@@ -193,5 +201,5 @@ def _corrections(copied: DataFrame, sums: dict[int, tuple[int, int, float]], cap
 
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it has copies."""
-    return mix(docs, share, cap, weights).where("mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it has copies; columns of any name."""
+    return _mixed(docs, share, cap, weights).where("mix_copies > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_row.*")

@@ -14,12 +14,12 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, start, end, chunks, first_doc_id``: each run that repeats an earlier passage, in code points."""
-    return substring_dedup.repeats(documents(spark, sf_dir))
+    return substring_dedup.repeats(documents(spark, sf_dir)).select("doc_id", "start", "end", "chunks", "first_doc_id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_deleted, lines``: for each document that has some, its deleted lines."""
-    found = line_dedup.repeated_lines(documents(spark, sf_dir))
+    found = line_dedup.repeated_lines(documents(spark, sf_dir).where("doc_id is not null"))  # as its SQL has it
     return found.select("doc_id", F.size("lines").cast("long").alias("n_deleted"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 

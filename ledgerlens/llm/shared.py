@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that the JVM packs into one Arrow batch at most; texts may be long.
@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: What tells a row's text from all others: whether it has no id, the id, and a 64-bit hash of the text.
+KEY = ["k_none", "k_id", "k_text"]
+
+
+def key_of_text() -> list[Column]:
+    """The columns KEY of a row of documents; rows without an id sort last, equal texts under one id are one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").isNull().alias("k_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), F.xxhash64(text).alias("k_text")]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``k_row``, the rows of ``docs`` as structs, and KEY: columns of any name stay inside the struct."""
+    return docs.select(F.struct("*").alias("k_row"), *key_of_text())
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

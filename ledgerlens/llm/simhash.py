@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near import near_groups
-from .shared import Scratch, arrow_map, components
+from .shared import KEY, Scratch, arrow_map, components, whole_rows
 
 SEED = 42
 BITS = 64
@@ -151,7 +151,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a near-duplicate group (``near``) other than that of its smallest doc_id."""
-    found = near_groups(docs, words, similarity)
-    gone = Scratch(docs.sparkSession, "near-gone").write(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group (``near``) of ``docs``: that of its smallest doc_id, then of its smallest text hash.
+
+    Of rows that share doc_id and text one stays, the first by a hash of all its columns.
+    Rows without a doc_id take part and come last. Further columns may have any name.
+    """
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    texts = scratch.write(near_groups(docs, words, similarity))
+    gone = scratch.write(texts.where(F.struct(*KEY) != F.col("first")).select(*KEY))
+    repeated = scratch.write(texts.where((F.struct(*KEY) == F.col("first")) & (F.col("rows") > 1)).select(*KEY))
+    rows = whole_rows(docs).join(gone, KEY, "left_anti")
+    hashed = F.xxhash64(*[F.col("k_row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    once = rows.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min_by("k_row", hashed).alias("k_row"))
+    return rows.join(repeated, KEY, "left_anti").select("k_row.*").unionByName(once.select("k_row.*"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, arrow_map
+from .shared import KEY, Scratch, arrow_map, key_of_text, whole_rows
 
 MASK_BITS, LEAST, MOST = 5, 24, 512
 RUN_CHARS = 100
@@ -76,12 +76,12 @@ def chunk_ends(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST, most
 
 
 def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """``doc_id, seq, start, chars, hi, lo``: chunks of all texts, positions in code points."""
+    """KEY and ``seq, start, chars, hi, lo``: chunks of all texts, positions in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, seq, start, chars, digests = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(0).to_pylist()):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 ends = chunk_ends(data, mask_bits, least, most)
                 if not ends:
@@ -101,37 +101,43 @@ def chunks(docs: DataFrame, mask_bits: int = MASK_BITS, least: int = LEAST, most
                 doc += [i] * len(ends)
             halves = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(start, pa.int32()), pa.array(chars, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "seq", "start", "chars", "hi", "lo"]
+                [*(b.column(c).take(pa.array(doc, pa.int64())) for c in (1, 2, 3)), pa.array(seq, pa.int32()), pa.array(start, pa.int32()), pa.array(chars, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                [*KEY, "seq", "start", "chars", "hi", "lo"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    return arrow_map(rows, run, "doc_id long, seq int, start int, chars int, hi long, lo long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), *key_of_text()).where("text <> ''")
+    return arrow_map(rows, run, "k_none boolean, k_id long, k_text long, seq int, start int, chars int, hi long, lo long")
 
 
 def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, mask_bits: int = MASK_BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """``doc_id, start, end, chunks, first_doc_id``: the runs to remove, end exclusive; first_doc_id holds the first copy of the run's first chunk.
+    """``doc_id, start, end, chunks, first_doc_id`` and KEY: the runs to remove, end exclusive; first_doc_id holds the first copy of the run's first chunk.
 
-    Null and empty texts have no chunks; rows without a doc_id take no part. Of rows
-    that share a doc_id, chunks at the same position are one occurrence, so
-    equal rows are not repeats of each other. An empty table gives no rows.
+    Null and empty texts have no chunks. Rows that share doc_id and text hold the same
+    places, so they are not repeats of each other; other texts under one doc_id are
+    texts of their own, in the order of their hashes. Rows without a doc_id come last.
+    An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     found = scratch.write(chunks(docs, mask_bits, least, most))
-    place = F.struct("doc_id", "start")
-    repeated = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hi", "lo", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    place = F.struct(*KEY, "start")
+    repeated = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hi", "lo", "first")
     repeated = scratch.write(repeated)
-    later = found.join(repeated, ["hi", "lo"]).where("doc_id <> first_doc_id or start <> first_start").select("doc_id", "seq", "start", "chars", "first_doc_id")
-    # A document's repeats, in order: seq less the rank is the same along a run.
-    per_doc = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("seq", "start", "chars", "first_doc_id"))).alias("c"))
-    one = per_doc.select("doc_id", F.posexplode("c").alias("k", "c")).select("doc_id", (F.col("c.seq") - F.col("k")).alias("run"), "c.*")
-    runs = one.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "seq").alias("first_doc_id"))
-    return runs.where(F.col("end") - F.col("start") >= run_chars).drop("run")
+    first_id = F.when(~F.col("first.k_none"), F.col("first.k_id")).alias("first_doc_id")
+    later = found.join(repeated, ["hi", "lo"]).where(place != F.col("first")).select(*KEY, "seq", "start", "chars", first_id)
+    # A text's repeats, in order: seq less the rank is the same along a run.
+    per_text = later.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("seq", "start", "chars", "first_doc_id"))).alias("c"))
+    one = per_text.select(*KEY, F.posexplode("c").alias("k", "c")).select(*KEY, (F.col("c.seq") - F.col("k")).alias("run"), "c.*")
+    runs = one.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "seq").alias("first_doc_id"))
+    runs = runs.where(F.col("end") - F.col("start") >= run_chars)
+    return runs.select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "start", "end", "chunks", "first_doc_id", *KEY)
 
 
 def deduplicate(docs: DataFrame, **settings: int) -> DataFrame:
-    """The rows of ``docs`` with the repeated runs cut out of their texts."""
-    spans = repeats(docs, **settings).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
+    """The rows of ``docs`` with the repeated runs cut out of the very texts they were found in; further columns may have any name."""
+    spans = repeats(docs, **settings).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = whole_rows(docs).join(Scratch(docs.sparkSession, "substring-spans").write(spans), KEY, "left")
+    text = F.col("k_row.text")
     # What lies between the spans, and after the last.
-    kept = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])).alias("out"), s["end"].cast("int").alias("at")), lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    kept = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("out"), s["end"].cast("int").alias("at")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    out = joined.withColumn("k_kept", F.when(F.col("spans").isNull(), text).otherwise(kept))
+    return out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])

@@ -65,11 +65,11 @@ def _pack(rows: DataFrame, size: int, scale: int) -> DataFrame:
     return arrow_map(rows, run, "n int, dim int, ids binary, mat binary")
 
 
-def _scores(mat: bytes, qmat: bytes, dim: int) -> np.ndarray:
-    """queries x vectors, exact integers."""
-    x, q = np.frombuffer(mat, "<f8").reshape(-1, dim), np.frombuffer(qmat, "<f8").reshape(-1, dim)
+def _scores(ids: np.ndarray, mat: bytes, qids: np.ndarray, qmat: bytes, dim: int) -> np.ndarray:
+    """queries x vectors, exact integers; 0 where there are no components."""
     if dim == 0:
-        return np.zeros((1, 1))
+        return np.zeros((len(qids), len(ids)), np.int64)
+    x, q = np.frombuffer(mat, "<f8").reshape(-1, dim), np.frombuffer(qmat, "<f8").reshape(-1, dim)
     if dim * max(1.0, np.abs(x).max()) * max(1.0, np.abs(q).max()) < _EXACT:
         return (q @ x.T).astype(np.int64)
     exact = np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for s in x] for r in q], dtype=object)
@@ -83,14 +83,16 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, bl
 
     ``table(vec_id, embedding)``. Vectors that are null, or hold null or non-finite
     components, and rows without an id take no part; a query meets only vectors of its
-    own dimension; of rows that repeat a query's id one is the query. Rows other than the query's own are those with another vec_id;
+    own dimension, an empty one those that are empty too (score 0); of rows that repeat a
+    query's id the one with the smallest embedding is the query. Rows other than the query's own are those with another vec_id;
     repeated rows are candidates each. No query or no candidate: no rows.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q"))
     data = scratch.write(_pack(rows.select("vec_id", "embedding"), block, scale))
-    queries = scratch.write(_pack(rows.where("q").select("vec_id", "embedding").dropDuplicates(["vec_id"]).coalesce(4), QUERY_BLOCK, scale))
+    whole = F.forall("embedding", lambda x: F.coalesce(F.abs(x * scale) < float("inf"), F.lit(False)))
+    queries = scratch.write(_pack(rows.where(F.col("q") & whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), QUERY_BLOCK, scale))
     edge = data.agg(F.max("n")).first()[0]
     if not edge or not queries.limit(1).count():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -157,7 +159,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if dim != qdim:
                 continue
             ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-            yield ids, qids, _scores(mat, qmat, dim), np.array(pos), np.array(low, dtype=np.int64), np.array(above)
+            yield ids, qids, _scores(ids, mat, qids, qmat, dim), np.array(pos), np.array(low, dtype=np.int64), np.array(above)
 
 
 def _histogram(k: int, width: int, span: int):
