@@ -8,9 +8,10 @@ ties, is merged until none is left; what is no piece then falls back to bytes.
 
 No piece has other characters before U+2581 and no multi-character piece holds a
 line feed, which is checked on loading; merges therefore never cross such places
-and a text is cut there. Distinct cuts of a slice of rows run their agendas
+and a text is cut there. Rows are taken in slices of about SLICE characters, long
+texts over several slices. Distinct cuts of a slice run their agendas
 in lockstep in numpy, one pop each a step; very long cuts have a heap. Results of
-recent cuts are kept in a bounded table; dropping it costs time, not results.
+recent short cuts are kept in a bounded table; dropping it costs time, not results.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Cuts of more symbols than this have a heap of their own.
 LOCKSTEP = 48
-#: Cuts kept between slices of rows, and rows of a slice.
-KEPT_CUTS, SLICE_ROWS = 300_000, 512
+#: Cuts, and bytes as estimated, of the results kept between slices in each of two generations, and characters of a slice.
+KEPT_CUTS, KEPT_BYTES, SLICE = 300_000, 64 << 20, 1 << 19
 _NONE = np.int64(1 << 40)
 _UNSEEN = 1 << 22
 
@@ -129,8 +130,8 @@ class PieceModel:
         self._fill(keys, np.array([pairs[k][0] << 20 | pairs[k][1] for k in keys.tolist()], dtype=np.int64))
         self._cuts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self._with_ids = False
-        self._young: dict[str, tuple] = {}
-        self._old: dict[str, tuple] = {}
+        self._edge = re.compile(f"(?<!{SPACE}){SPACE}|\n")
+        self.forget()
 
     # -- open-addressing table of pairs, for whole arrays of keys ------------
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -174,6 +175,14 @@ class PieceModel:
     def cuts(self, text: str) -> list[str]:
         return self._cuts.findall(self.normalized(text))
 
+    def segments(self, text: str, least: int) -> Iterator[list[str]]:
+        """The cuts of a text in parts of ``least`` characters or more."""
+        text, at = self.normalized(text), 0
+        while len(text) - at > least and (edge := self._edge.search(text, at + least)):
+            yield self._cuts.findall(text, at, edge.start())
+            at = edge.start()
+        yield self._cuts.findall(text, at)
+
     def _symbols_of(self, text: str) -> np.ndarray:
         """Symbol ids of single characters; one that is in no piece never merges and is its code point above _UNSEEN."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
@@ -305,25 +314,35 @@ class PieceModel:
     # -- whole slices of rows ------------------------------------------------
     def forget(self) -> None:
         """Lets go of the kept cuts."""
-        self._young, self._old = {}, {}
+        self._young: dict[str, tuple] = {}
+        self._old: dict[str, tuple] = {}
+        self._bytes = 0
+        self._passing: list[str] = []
 
     def known(self, cuts: list[str], with_ids: bool) -> dict[str, tuple]:
         """For each cut: its ids as text, what they decode to, and (if asked for) its ids as little-endian int32.
 
-        Two generations of at most KEPT_CUTS each: what is used moves to the young one, the old one is dropped when that is full.
+        Two generations of at most KEPT_CUTS and KEPT_BYTES each: what is used moves to the young one, the old one is dropped when that is full.
+        Cuts of more than LOCKSTEP symbols are in the table until the next call only.
         """
         if with_ids != self._with_ids:
-            self._young, self._old, self._with_ids = {}, {}, with_ids
+            self.forget()
+            self._with_ids = with_ids
+        for c in self._passing:
+            del self._young[c]
         wanted = set(cuts)
+        self._passing = [c for c in wanted if len(c) > LOCKSTEP]
         new = list(wanted.difference(self._young))
-        if len(self._young) + len(new) > KEPT_CUTS:
-            self._old, self._young = self._young, {}
+        if self._bytes > KEPT_BYTES or len(self._young) + len(new) > KEPT_CUTS:
+            self._old, self._young, self._bytes = self._young, {}, 0
             new = list(wanted)
         young, old = self._young, self._old
         seen = [c for c in new if c in old]
         young.update((c, old[c]) for c in seen)
         if seen:
             new = [c for c in new if c not in young]
+        # Strings and dictionary slots of an entry, and some twelve bytes a symbol.
+        self._bytes += sum(300 + 12 * len(c) for c in (*new, *seen) if len(c) <= LOCKSTEP)
         digits, shown, is_byte = self._digits, self._shown, self._is_byte
         for c, ids in zip(new, self.encode_cuts(new)):
             young[c] = (
@@ -368,42 +387,29 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = True) -> Da
     """One row per row: ``doc_id, n_tokens, ids`` (if asked for)``, ids_sha256, decoded_sha256``.
 
     ids are those of the whole text and the end id; decoded_sha256 is of the text
-    that they decode to. A null text is an empty one: the end id alone. ``model``
-    is the file's bytes (half a MB for 32,000 pieces), sent with the function.
+    that they decode to. A null or empty text has the end id alone; a null doc_id stays
+    null; equal rows give equal rows; an empty table gives none. Only doc_id and text are
+    read, so further columns of any name do no harm. ``model`` is the file's bytes (half
+    a MB for 32,000 pieces), sent with the function.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
-        end_text, end_raw = str(m.eos), struct.pack("<i", m.eos)
-        prefix = 1 if m.dummy_prefix else 0
-        sha = hashlib.sha256
         collecting = gc.isenabled()
         gc.disable()  # strings and tuples only, none in cycles; the collector would walk the kept cuts again and again
         try:
             for whole in batches:
-                for start in range(0, max(1, whole.num_rows), SLICE_ROWS):
-                    b = whole.slice(start, SLICE_ROWS)
-                    texts = [m.cuts(t or "") for t in b.column(1).to_pylist()]
-                    table = m.known([c for cuts in texts for c in cuts], with_ids)
-                    counts, ids, ids_sha, text_sha = [], [], [], []
-                    for cuts in texts:
-                        found = [table[c] for c in cuts]
-                        parts = [x[0] for x in found]
-                        parts.append(end_text)
-                        joined = " ".join(parts)
-                        counts.append(joined.count(" ") + 1)
-                        ids_sha.append(sha(joined.encode()).hexdigest())
-                        decoded = "".join([x[1] for x in found])
-                        text_sha.append(sha(decoded[prefix:].encode("utf-8", "surrogatepass")).hexdigest())
-                        if with_ids:
-                            ids.append(b"".join([x[2] for x in found]) + end_raw)
-                    columns = [b.column(0), pa.array(counts, pa.int64())]
-                    names = ["doc_id", "n_tokens"]
-                    if with_ids:
-                        offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
-                        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())))
-                        names.append("ids")
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
+                row = _Row(m, with_ids)
+                for part in _slices(m, whole.column(1)):
+                    table = m.known([c for _, cuts, _ in part for c in cuts], with_ids)
+                    done = []
+                    for k, cuts, ends in part:
+                        row.add([table[c] for c in cuts])
+                        if ends:
+                            done.append((k, *row.end()))
+                            row = _Row(m, with_ids)
+                    if done:
+                        yield _encoded(whole.column(0), done, with_ids)
         finally:  # the worker goes on to other tasks
             m.forget()
             if collecting:
@@ -411,3 +417,58 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = True) -> Da
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(columns, run, f"doc_id long, n_tokens long, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string")
+
+
+def _slices(m: PieceModel, texts: pa.Array) -> Iterator[list[tuple[int, list[str], bool]]]:
+    """Parts of about SLICE characters: the row, cuts of its text, and whether these are its last."""
+    part, size = [], 0
+    for k, t in enumerate(texts):
+        text = t.as_py() or ""
+        segments = m.segments(text, SLICE)
+        cuts = next(segments)
+        while cuts is not None:
+            after = next(segments, None)
+            part.append((k, cuts, after is None))
+            size += min(len(text), SLICE) + 64
+            if size >= SLICE:
+                yield part
+                part, size = [], 0
+            cuts = after
+    if part:
+        yield part
+
+
+class _Row:
+    """The digests of one text, part by part."""
+
+    def __init__(self, m: PieceModel, with_ids: bool) -> None:
+        self.m, self.with_ids, self.n = m, with_ids, 0
+        self.ids, self.decoded, self.raw = hashlib.sha256(), hashlib.sha256(), []
+
+    def add(self, found: list[tuple]) -> None:
+        if not found:
+            return
+        joined = " ".join([x[0] for x in found]) + " "
+        decoded = "".join([x[1] for x in found])
+        if self.n == 0 and self.m.dummy_prefix:
+            decoded = decoded[1:]
+        self.n += joined.count(" ")
+        self.ids.update(joined.encode())
+        self.decoded.update(decoded.encode("utf-8", "surrogatepass"))
+        if self.with_ids:
+            self.raw += [x[2] for x in found]
+
+    def end(self) -> tuple[int, bytes | None, str, str]:
+        self.ids.update(str(self.m.eos).encode())
+        raw = b"".join([*self.raw, struct.pack("<i", self.m.eos)]) if self.with_ids else None
+        return self.n + 1, raw, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+def _encoded(doc_ids: pa.Array, rows: list[tuple[int, int, bytes | None, str, str]], with_ids: bool) -> pa.RecordBatch:
+    at, counts, raw, ids_sha, text_sha = zip(*rows)
+    columns, names = [doc_ids.take(pa.array(at, pa.int64())), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"]
+    if with_ids:
+        offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4"), pa.int32())))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays([*columns, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
