@@ -17,19 +17,21 @@ def detect_chains(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
 
     Every payment is a seed (a self-loop too); each next hop leaves the last account
     within the delay, to an account not yet on the path, with at least the forwarded
-    share. ``max_frontier``: stop, without that level, once a level is larger.
+    share. A path meets only payments in the two time slots, as long as the delay, that
+    can hold its next hop, so a busy account is dealt out over time. ``max_frontier``: stop, without that level, once a level is larger.
     """
     part_ = list(part)
     staging = Staging(e.sparkSession, "chains")
     delay = int(th.chain_max_delay_min * MINUTE)
     narrow = staging.write(induced(e, allowed, part_).select(*part_, "src", "dst", "us", "amount", "txn_id"))
-    step = narrow.select(*part_, F.col("src").alias("tail"), F.col("dst").alias("e_dst"), F.col("us").alias("e_us"), F.col("amount").alias("e_amount"), F.col("txn_id").alias("e_txn"))
+    step = narrow.select(*part_, F.col("src").alias("tail"), F.col("dst").alias("e_dst"), F.col("us").alias("e_us"), F.col("amount").alias("e_amount"), F.col("txn_id").alias("e_txn"), F.expr(f"us div {delay + 1}").alias("slot"))
     paths = narrow.select(*part_, F.array("src", "dst").alias("path"), F.col("dst").alias("tail"), F.array("us").alias("times"), F.array("amount").alias("amounts"), F.array("txn_id").alias("txns"))
     found: DataFrame | None = None
     hops = 1
     while True:
         last_t, last_a = F.element_at("times", -1), F.element_at("amounts", -1)
-        met = paths.join(step, [*part_, "tail"]).where((F.col("e_us") - last_t).between(0, delay) & (F.col("e_amount") >= last_a * th.chain_min_forward) & ~F.array_contains("path", F.col("e_dst")))
+        first = F.expr(f"element_at(times, -1) div {delay + 1}")
+        met = paths.withColumn("slot", F.explode(F.array(first, first + 1))).join(step, [*part_, "tail", "slot"]).where((F.col("e_us") - last_t).between(0, delay) & (F.col("e_amount") >= last_a * th.chain_min_forward) & ~F.array_contains("path", F.col("e_dst")))
         grown = met.select(*part_, F.concat("path", F.array("e_dst")).alias("path"), F.col("e_dst").alias("tail"), F.concat("times", F.array("e_us")).alias("times"), F.concat("amounts", F.array("e_amount")).alias("amounts"), F.concat("txns", F.array("e_txn")).alias("txns"))
         paths = staging.write(grown)
         hops += 1

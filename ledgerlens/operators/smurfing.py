@@ -1,4 +1,4 @@
-"""Sub-threshold fan-in (structuring): best trailing window of deposits per collector, in range frames."""
+"""Sub-threshold fan-in (structuring): best trailing window of deposits per collector, by running sums."""
 
 from __future__ import annotations
 
@@ -21,12 +21,24 @@ def deposits(e: DataFrame, allowed: DataFrame | None, th: Thresholds, part: list
 
 
 def windows(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = ()) -> DataFrame:
-    """Every closed trailing window that ends at a deposit and has enough deposits from enough contributors."""
+    """Every closed trailing window that ends at a deposit and has enough deposits from enough contributors.
+
+    Linear in the deposits: each adds to all windows that end from its time on and is taken off
+    once they begin after it; it stands for its payer until that payer's next one. So
+    sums and distinct payers are running sums over these events, without a frame per row.
+    """
     part_ = list(part)
-    w = W.partitionBy(*part_, "dst").orderBy("us").rangeBetween(-int(th.smurf_window_days * DAY), 0)
+    key, span = [*part_, "dst"], int(th.smurf_window_days * DAY)
     just = F.col("amount").between(th.reporting * th.smurf_just_below_min, th.reporting * th.smurf_just_below).cast("double")
-    d = deposits(e, allowed, th, part_).select(*part_, "dst", "us", "txn_id", F.count("*").over(w).alias("n"), F.size(F.collect_set("src").over(w)).alias("contributors"), F.avg(just).over(w).alias("score"), F.min("us").over(w).alias("start_us"), F.sum(money(F.col("amount"))).over(w).alias("total"))
-    return d.where((F.col("n") >= th.smurf_min_deposits) & (F.col("contributors") >= th.smurf_min_deposits))
+    following = F.lead("us").over(W.partitionBy(*key, "src").orderBy("us", "txn_id"))
+    d = deposits(e, allowed, th, part_).select(*key, "src", "us", "txn_id", just.alias("just"), money(F.col("amount")).alias("m")).withColumn("next", following)
+    gone = F.col("us") + span + 1
+    event = lambda at, n, payers, txn: F.struct(at.alias("at"), F.lit(n).alias("n"), F.lit(payers).alias("payers"), (F.col("just") * n).alias("just"), (F.col("m") * n).cast("decimal(38,2)").alias("m"), txn.alias("txn_id"))
+    none = F.lit(None).cast(d.schema["txn_id"].dataType)
+    events = d.select(*key, F.inline(F.array(event(F.col("us"), 1, 1, F.col("txn_id")), event(gone, -1, 0, none), event(F.least(F.coalesce("next", gone), gone), 0, -1, none))))
+    w = W.partitionBy(*key).orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    sums = events.select(*key, F.col("at").alias("us"), "txn_id", F.sum("n").over(w).alias("n"), F.sum("payers").over(w).alias("contributors"), F.sum("just").over(w).alias("just"), F.sum("m").over(w).cast("decimal(28,2)").alias("total"))
+    return sums.where(F.col("txn_id").isNotNull() & (F.col("n") >= th.smurf_min_deposits) & (F.col("contributors") >= th.smurf_min_deposits)).withColumn("score", F.col("just") / F.col("n")).drop("just")
 
 
 def detect_smurfing(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = ()) -> DataFrame:
@@ -39,9 +51,9 @@ def detect_smurfing(e: DataFrame, allowed: DataFrame | None = None, th: Threshol
     part_ = list(part)
     key = [*part_, "dst"]
     nth = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), F.desc("score"), "us", "txn_id"))
-    best = windows(e, allowed, th, part).withColumn("nth", nth).where("nth = 1").select(*key, F.col("us").alias("end_us"), "start_us", "n", "score", "total")
-    inside = deposits(e, allowed, th, part_).select(*key, "src", "us", "txn_id").join(best, key).where("us between start_us and end_us")
-    hit = inside.groupBy(*key).agg(F.array_sort(F.collect_set("src")).alias("depositors"), F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id"))), lambda s: s["txn_id"]).alias("txn_ids"), F.first("start_us").alias("start_us"), F.first("end_us").alias("end_us"), F.first("n").alias("n_deposits"), F.round(F.first("score"), 3).alias("structuring_score"), F.first("total").cast("double").alias("total_amount"))
+    best = windows(e, allowed, th, part).withColumn("nth", nth).where("nth = 1").select(*key, F.col("us").alias("end_us"), "n", "score", "total")
+    inside = deposits(e, allowed, th, part_).select(*key, "src", "us", "txn_id").join(best, key).where(f"us between end_us - {int(th.smurf_window_days * DAY)} and end_us")
+    hit = inside.groupBy(*key).agg(F.array_sort(F.collect_set("src")).alias("depositors"), F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id"))), lambda s: s["txn_id"]).alias("txn_ids"), F.min("us").alias("start_us"), F.first("end_us").alias("end_us"), F.first("n").alias("n_deposits"), F.round(F.first("score"), 3).alias("structuring_score"), F.first("total").cast("double").alias("total_amount"))
     out = e.select(*part_, F.col("src").alias("c"), F.col("dst").alias("to"), "us", "txn_id", "amount").withColumn("since", F.min(F.struct("us", "txn_id")).over(W.partitionBy(*part_, "c", "to")))
     paid = out.join(hit.select(*part_, F.col("dst").alias("c"), "start_us", "total_amount"), [*part_, "c"]).where((F.col("us") >= F.col("start_us")) & (F.col("amount") >= F.col("total_amount") * 0.3))
     first = paid.groupBy(*part_, F.col("c").alias("dst")).agg(F.min(F.struct("since", "us", "txn_id", "to", "amount")).alias("p"))
