@@ -35,17 +35,16 @@ def detect_cycles(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
     onward, closing = step.withColumn("slot", slot("e_us")), step.withColumnRenamed("e_dst", "origin")
     within = (F.col("e_us") >= F.col("t0")) & (F.col("e_us") - F.col("t0") <= window) & (F.col("e_amount") <= F.col("a") * th.cycle_growth)
     paths = narrow.where("amount <> 0").select(*part_, F.array("src", "dst").alias("path"), F.col("src").alias("origin"), F.col("dst").alias("tail"), F.col("us").alias("t0"), F.col("us").alias("t"), F.col("amount").alias("a0"), F.col("amount").alias("a"), F.array("txn_id").alias("txns"))
-    hits: DataFrame | None = None
-    for size in range(2, th.cycle_max_len + 1):
-        closed = paths.join(closing, [*part_, "tail", "origin"]).where(within & (F.col("e_amount") / F.col("a0") >= th.cycle_min_retention))
-        found = closed.select(*part_, F.col("path").alias("accounts"), F.concat("txns", F.array("e_txn")).alias("txn_ids"), F.col("t0").alias("start_us"), F.col("e_us").alias("end_us"), F.col("a0").alias("amount_start"), F.col("e_amount").alias("amount_end"))
-        hits = found if hits is None else hits.unionByName(found)
-        if size < th.cycle_max_len:
-            left = th.cycle_max_len - size  # hops that may follow, the closing one included; a shade less, for rounding
-            enough = F.col("e_amount") * max(1.0, th.cycle_growth) ** left >= F.col("a0") * th.cycle_min_retention * (1 - 1e-9)
-            met = paths.withColumn("slot", F.explode(F.array(slot("t0"), slot("t0") + 1))).join(onward, [*part_, "tail", "slot"]).where(within & enough)
-            grown = met.where((F.col("e_us") >= F.col("t")) & ~F.array_contains("path", F.col("e_dst")))
-            paths = staging.write(grown.select(*part_, F.concat("path", F.array("e_dst")).alias("path"), "origin", F.col("e_dst").alias("tail"), "t0", F.col("e_us").alias("t"), "a0", F.col("e_amount").alias("a"), F.concat("txns", F.array("e_txn")).alias("txns")))
+    open_ = paths
+    for size in range(2, th.cycle_max_len):
+        left = th.cycle_max_len - size  # hops that may follow, the closing one included; a shade less, for rounding
+        enough = F.col("e_amount") * max(1.0, th.cycle_growth) ** left >= F.col("a0") * th.cycle_min_retention * (1 - 1e-9)
+        met = paths.withColumn("slot", F.explode(F.array(slot("t0"), slot("t0") + 1))).join(onward, [*part_, "tail", "slot"]).where(within & enough)
+        grown = met.where((F.col("e_us") >= F.col("t")) & ~F.array_contains("path", F.col("e_dst")))
+        paths = staging.write(grown.select(*part_, F.concat("path", F.array("e_dst")).alias("path"), "origin", F.col("e_dst").alias("tail"), "t0", F.col("e_us").alias("t"), "a0", F.col("e_amount").alias("a"), F.concat("txns", F.array("e_txn")).alias("txns")))
+        open_ = open_.unionByName(paths)
+    closed = open_.join(closing, [*part_, "tail", "origin"]).where(within & (F.col("e_amount") / F.col("a0") >= th.cycle_min_retention))
+    hits = closed.select(*part_, F.col("path").alias("accounts"), F.concat("txns", F.array("e_txn")).alias("txn_ids"), F.col("t0").alias("start_us"), F.col("e_us").alias("end_us"), F.col("a0").alias("amount_start"), F.col("e_amount").alias("amount_end"))
     members = F.array_sort("accounts")
     ratio = F.col("amount_end") / F.col("amount_start")
     best = F.row_number().over(W.partitionBy(*part_, "members").orderBy(F.desc("ratio"), "start_us", "txn_ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
-from ..session import Staging
+from ..session import Staging, at_once
 from .chains import detect_chains
 from .cycles import detect_cycles
 from .smurfing import detect_smurfing
@@ -20,43 +20,45 @@ VARIANT = ["origin", "terminal", "collector", "depositors", "retention", "length
 
 def all_hits(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = ()) -> DataFrame:
     """Union of the detectors' hits, nullable variant columns, with ``hit_id``: a digest of type and transactions."""
-    found = [detect_cycles(e, allowed, th, part), detect_chains(e, allowed, th, part), detect_smurfing(e, allowed, th, part)]
+    staging = Staging(e.sparkSession, "hits")
+    found = at_once(*[lambda detect=detect: staging.write(detect(e, allowed, th, part)) for detect in (detect_cycles, detect_chains, detect_smurfing)])
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     ident = F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in part], "type", F.array_join(F.col("txn_ids").cast("array<string>"), ",")), 256)
-    return Staging(e.sparkSession, "hits").write(out.withColumn("hit_id", F.substring(ident, 1, 16)))
+    return staging.write(out.withColumn("hit_id", F.substring(ident, 1, 16)))
 
 
 def dedup_hits(hits: DataFrame, containment: float = 0.8) -> DataFrame:
     """Per type: hits by falling 10 x accounts + deposits (ties by accounts, start), each kept unless a kept one holds that share of its accounts.
 
-    Greedy by nature, so a type's hits meet in one pandas group; they are the
-    detectors' results, one row per account set, not rows of the ledger. Adds ``dedup_rank``.
+    Only earlier hits that hold so much of a hit can drop it; they share one of its
+    rarest accounts, so such pairs come from a join at these. Rounds then settle all
+    hits whose holders are settled: dropped if one is kept, kept if all are dropped.
+    Adds ``dedup_rank``.
     """
-    schema = T.StructType([*hits.schema.fields, T.StructField("dedup_rank", T.IntegerType())])
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [frozenset(a) for a in pdf["accounts"]]
-        size = [10 * len(s) + (0 if pd.isna(n) else int(n)) for s, n in zip(sets, pdf["n_deposits"])]
-        order = sorted(range(len(pdf)), key=lambda k: (-size[k], sorted(map(str, sets[k])), pdf["start_us"].iloc[k], pdf["hit_id"].iloc[k]))
-        kept: list[int] = []
-        holders: dict[object, set[int]] = {}
-        for k in order:
-            shared: dict[int, int] = {}
-            for a in sets[k]:
-                for h in holders.get(a, ()):
-                    shared[h] = shared.get(h, 0) + 1
-            if any(n >= containment * len(sets[k]) for n in shared.values()):
-                continue
-            for a in sets[k]:
-                holders.setdefault(a, set()).add(k)
-            kept.append(k)
-        out = pdf.iloc[kept].copy()
-        out["dedup_rank"] = range(1, len(kept) + 1)
-        return out
-
-    return hits.groupBy("type").applyInPandas(greedy, schema)
+    staging = Staging(hits.sparkSession, "dedup")
+    size = 10 * F.size(F.array_distinct("accounts")) + F.coalesce("n_deposits", F.lit(0))
+    order = F.struct((-size).alias("size"), F.array_sort(F.array_distinct(F.col("accounts").cast("array<string>"))).alias("names"), "start_us", "hit_id")
+    sets = staging.write(hits.select("type", "hit_id", F.array_distinct("accounts").alias("s"), order.alias("o")))
+    flat = sets.select("type", "hit_id", "o", F.size("s").alias("n"), F.explode("s").alias("account"))
+    often = flat.groupBy("type", "account").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(W.partitionBy("type", "hit_id").orderBy("often", "account"))
+    prefix = flat.join(often, ["type", "account"]).withColumn("k", rare).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * containment - 1e-9) + 1)
+    x, y = prefix.alias("x"), flat.alias("y")
+    met = x.join(y, (F.col("x.type") == F.col("y.type")) & (F.col("x.account") == F.col("y.account")) & (F.col("y.o") < F.col("x.o"))).select(F.col("x.hit_id").alias("hit"), F.col("y.hit_id").alias("holder")).distinct()
+    one, two = (sets.select(F.col("hit_id").alias(name), F.col("s").alias(f"s_{name}")) for name in ("hit", "holder"))
+    holds = met.join(one, "hit").join(two, "holder").where(F.size(F.array_intersect("s_hit", "s_holder")) >= containment * F.size("s_hit"))
+    open_ = staging.write(holds.select("hit", "holder"))
+    kept = sets.select("hit_id").join(open_.select(F.col("hit").alias("hit_id")), "hit_id", "left_anti")
+    while open_.limit(1).count():
+        kept = staging.write(kept)
+        gone = staging.write(open_.join(kept.select(F.col("hit_id").alias("holder")), "holder", "left_semi").select("hit").distinct())
+        after = staging.write(open_.join(gone, "hit", "left_anti").join(gone.select(F.col("hit").alias("holder")), "holder", "left_anti"))
+        settled = open_.select("hit").distinct().join(gone, "hit", "left_anti").join(after, "hit", "left_anti")
+        kept, open_ = kept.unionByName(settled.select(F.col("hit").alias("hit_id"))), after
+    ranked = sets.join(kept, "hit_id", "left_semi").select("hit_id", F.row_number().over(W.partitionBy("type").orderBy("o")).alias("dedup_rank"))
+    return hits.join(ranked, "hit_id").select(*hits.columns, "dedup_rank")
 
 
 def jaccard(a, b):

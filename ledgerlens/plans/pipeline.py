@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from ..operators import fingerprint, graph, hits, iforest, scoring, velocity
-from ..session import Staging
+from ..session import Staging, at_once
 
 
 @dataclass
@@ -31,11 +31,13 @@ def detect(edges: DataFrame, th: Thresholds = DEFAULTS, anomaly: DataFrame | Non
     e = staging.write(edges)
     verdicts = staging.write(fingerprint.verdicts(fingerprint.fingerprints(e), th))
     suspects = fingerprint.suspects(verdicts)
-    kept = staging.write(hits.dedup_hits(hits.all_hits(e, suspects, th)))
-    features = staging.write(velocity.velocity_features(e).join(suspects, "account", "left_semi"))
+    kept, features, accounts = at_once(
+        lambda: staging.write(hits.dedup_hits(hits.all_hits(e, suspects, th))),
+        lambda: staging.write(velocity.velocity_features(e).join(suspects, "account", "left_semi")),
+        lambda: staging.write(graph.accounts(e)),
+    )
     ranks = anomaly if anomaly is not None else iforest.percentile_rank(iforest.anomaly(features))
     scores = staging.write(scoring.account_scores(suspects, scoring.pattern_scores(kept), ranks, features))
-    accounts = staging.write(graph.accounts(e))
     rings = staging.write(scoring.rings(scoring.ring_scores(kept, scores), accounts))
     return Detection(e, accounts, verdicts, features, kept, scores, rings)
 
