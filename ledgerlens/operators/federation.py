@@ -72,10 +72,17 @@ def stitch(signals: DataFrame, min_banks: int = 2) -> DataFrame:
     rank = bucket_rank(F.col("amount_bucket"))
     groups = members.groupBy("label").agg(
         F.array_sort(F.collect_set("bank")).alias("banks"), F.array_sort(F.collect_set("pattern_type")).alias("pattern_types"), F.array_sort(F.collect_set("hashed_id")).alias("hashed_ids"),
-        F.min("start_us").alias("window_start_us"), F.max("end_us").alias("window_end_us"), F.max_by("amount_bucket", rank).alias("amount_bucket"), F.count("*").alias("n_signals"), F.min("signal_id").alias("first_signal"),
+        F.min("start_us").alias("window_start_us"), F.max("end_us").alias("window_end_us"), F.max_by("amount_bucket", rank).alias("amount_bucket"), F.count("*").alias("n_signals"), F.min("signal_id").alias("first_signal"), F.first("label").alias("component"),
     ).where(F.size("banks") >= min_banks)
     number = F.row_number().over(W.orderBy("first_signal"))  # cases are few
-    return groups.withColumn("case_id", F.format_string("FED-%02d", number)).withColumn("n_accounts", F.size("hashed_ids")).drop("label", "first_signal").orderBy(F.desc("n_signals"), "case_id")
+    cases = groups.withColumn("case_id", F.format_string("FED-%02d", number)).withColumn("n_accounts", F.size("hashed_ids")).drop("label", "first_signal").orderBy(F.desc("n_signals"), "case_id")
+    cases._members = members.select(F.col("label").alias("component"), "signal_id")
+    return cases
+
+
+def case_signals(cases: DataFrame) -> DataFrame:
+    """``case_id, signal_id``: the members of each case of ``stitch``, one row each, however large the case."""
+    return cases._members.join(cases.select("component", "case_id"), "component").select("case_id", "signal_id")
 
 
 def reveal(signals: DataFrame, hashed_id: str, requester: str) -> DataFrame:
