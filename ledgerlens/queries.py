@@ -273,7 +273,7 @@ def taint_terminals(spark, d):
 def clean_pool_asof(spark, d):
     """Balance of the receivers of the 50 largest payments just as they arrive: an as-of aggregate."""
     e = events_ledger(spark, d)
-    top = e.orderBy(F.desc("amount"), "txn_id").limit(50).select(F.col("txn_id").alias("bundle"), F.col("dst").alias("holder"), F.col("us").alias("at"), F.col("txn_id").alias("via"))
+    top = e.orderBy(F.desc("amount"), "txn_id").limit(50).select(F.col("txn_id").alias("bundle"), F.col("dst").alias("holder"), F.col("us").alias("at"), F.col("amount").alias("own"))
     return taint.clean_pool(e, top).join(top, "bundle").select(F.col("bundle").alias("txn_id"), "holder", F.round("clean", 2).alias("clean"))
 
 
