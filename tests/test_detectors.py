@@ -8,60 +8,82 @@ from ledgerlens.config import DEFAULTS
 from ledgerlens.operators.chains import detect_chains
 from ledgerlens.operators.cycles import detect_cycles
 from ledgerlens.operators.hits import all_hits, dedup_hits
-from ledgerlens.operators.smurfing import detect_smurfing
+from ledgerlens.operators.smurfing import detect_smurfing, windows
 
-LOOP = [("A", "B", "t1", 1000, at()), ("B", "C", "t2", 980, at(minutes=10)), ("C", "A", "t3", 950, at(minutes=40))]
-CHAIN = [("A", "B", "t1", 1000, at()), ("B", "C", "t2", 960, at(minutes=12)), ("C", "D", "t3", 930, at(minutes=31))]
+WHEEL = [("M", "N", "w1", 700, at(days=1)), ("N", "O", "w2", 690.2, at(days=1, hours=5)), ("O", "P", "w3", 660, at(days=2)), ("P", "M", "w4", 644, at(days=3, hours=6))]
+RELAY = [("K1", "K2", "r1", 5000, at(hours=1)), ("K2", "K3", "r2", 4400, at(hours=1, minutes=7)), ("K3", "K4", "r3", 4000, at(hours=1, minutes=126)), ("K4", "K5", "r4", 3999, at(hours=1, minutes=128))]
 
 
-def fan(n=12, amount=9500):
-    return [(f"P{k}", "COL", f"d{k:02d}", amount, at(hours=3 * k)) for k in range(n)]
+def payers(n, amount, gap_hours):
+    return [(f"Q{k}", "HUB", f"q{k:02d}", amount(k), at(hours=gap_hours * k)) for k in range(n)]
 
 
-def test_cycle(spark):
-    (h,) = detect_cycles(edges(spark, LOOP)).collect()
-    assert h.accounts == ["A", "B", "C"] and h.origin == "A" and h.retention == 0.95 and h.length == 2 and h.txn_ids == ["t1", "t2", "t3"]
+def test_a_wheel_of_four(spark):
+    (h,) = detect_cycles(edges(spark, WHEEL)).collect()
+    assert h.accounts == list("MNOP") and h.origin == "M" and h.retention == 0.92 and h.length == 3 and h.txn_ids == ["w1", "w2", "w3", "w4"] and h.window_hours == 54.0
 
 
-@pytest.mark.parametrize("last", [("C", "A", "t3", 950, at(hours=80)), ("C", "A", "t3", 600, at(minutes=40))])
-def test_no_cycle(spark, last):
-    assert detect_cycles(edges(spark, [*LOOP[:2], last])).count() == 0
+@pytest.mark.parametrize("change", [{3: (644, at(days=4, minutes=1))}, {3: (594.9, at(days=3))}, {2: (705, at(days=2)), 3: (700, at(days=3))}, {1: (690.2, at(hours=23))}])
+def test_wheels_that_do_not_count(spark, change):
+    """Closed after 72 hours, with less than 85 %, with a hop that grows over 2 %, or with a hop back in time."""
+    rows = [(s, d, k, *change.get(n, (a, t))) for n, (s, d, k, a, t) in enumerate(WHEEL)]
+    assert detect_cycles(edges(spark, rows)).count() == 0
 
 
-def test_cycle_closing_is_compared_with_the_first_hop(spark):
-    rows = [LOOP[0], ("B", "C", "t2", 980, at(minutes=50)), LOOP[2]]
-    assert [h.accounts for h in detect_cycles(edges(spark, rows)).collect()] == [["A", "B", "C"]]
+def test_only_the_first_hop_bounds_the_closing_one(spark):
+    early = [*WHEEL[:3], ("P", "M", "w4", 644, at(days=1, hours=4))]
+    assert [h.accounts for h in detect_cycles(edges(spark, early)).collect()] == [list("MNOP")]
 
 
-def test_chain(spark):
-    (h,) = detect_chains(edges(spark, CHAIN)).collect()
-    assert h.accounts == list("ABCD") and h.length == 3 and h.retention == 0.93 and h.total_delay_min == 31.0 and h.hop_delays_min == [12.0, 19.0]
+def test_a_relay_of_five(spark):
+    h, *parts = sorted(detect_chains(edges(spark, RELAY)).collect(), key=lambda h: -h.length)
+    assert sorted(p.accounts for p in parts) == [["K1", "K2", "K3", "K4"], ["K2", "K3", "K4", "K5"]]
+    assert h.accounts == ["K1", "K2", "K3", "K4", "K5"] and h.length == 4 and h.retention == 0.7998 and h.total_delay_min == 128.0 and h.hop_delays_min == [7.0, 119.0, 2.0] and h.terminal == "K5"
 
 
-@pytest.mark.parametrize("rows", [[CHAIN[0], ("B", "C", "t2", 960, at(hours=3)), ("C", "D", "t3", 930, at(hours=3.25))], [CHAIN[0], ("B", "C", "t2", 500, at(minutes=5)), ("C", "D", "t3", 480, at(minutes=20))]])
-def test_no_chain(spark, rows):
+@pytest.mark.parametrize("change", [{1: (4249, at(hours=1, minutes=7)), 3: (100, at(hours=4))}, {2: (4000, at(hours=3, minutes=8)), 3: (10, at(hours=9))}])
+def test_relays_that_break(spark, change):
+    """A hop that forwards under 85 %, and one that waits over two hours, with too few hops left."""
+    rows = [(s, d, k, *change.get(n, (a, t))) for n, (s, d, k, a, t) in enumerate(RELAY)]
     assert detect_chains(edges(spark, rows)).count() == 0
 
 
 def test_chain_frontier_limit(spark):
-    assert detect_chains(edges(spark, CHAIN), max_frontier=0).count() == 0
+    assert detect_chains(edges(spark, RELAY), max_frontier=0).count() == 0
 
 
-def test_smurfing(spark):
-    (h,) = detect_smurfing(edges(spark, [*fan(), ("COL", "EXIT", "out", 100_000, at(days=3))])).collect()
-    assert h.collector == "COL" and h.n_contributors == h.n_deposits == 12 and h.structuring_score == 1.0 and h.total_amount == 114_000 and h.consolidation_txn == "out" and "EXIT" in h.accounts
+def test_a_hub_of_fifteen(spark):
+    rows = [*payers(15, lambda k: 8200 + 120 * k, 7), ("HUB", "SINK", "all", 60_000, at(days=5))]
+    (h,) = detect_smurfing(edges(spark, rows)).collect()
+    assert h.collector == "HUB" and h.n_contributors == h.n_deposits == 15 and h.structuring_score == round(15 / 15, 3) and h.total_amount == 15 * 8200 + 120 * 105 and h.consolidation_txn == "all" and "SINK" in h.accounts and h.window_days == 4.08
 
 
-@pytest.mark.parametrize("rows", [fan(amount=12_000), fan(n=5)])
-def test_no_smurfing(spark, rows):
+@pytest.mark.parametrize("rows", [payers(14, lambda k: 10_000, 2), payers(9, lambda k: 9000, 2), payers(20, lambda k: 9000, 24), [(f"Q{k % 9}", "HUB", f"q{k:02d}", 9000, at(hours=k)) for k in range(30)]])
+def test_hubs_that_do_not_count(spark, rows):
+    """At the threshold, too few, too slow, and too few payers."""
     assert detect_smurfing(edges(spark, rows)).count() == 0
 
 
 def test_consolidation_follows_first_payment_order(spark):
-    rows = [("COL", "OLD", "z", 5, at(hours=-5)), *fan(), ("COL", "NEW", "n", 90_000, at(days=2)), ("COL", "OLD", "o", 90_000, at(days=3))]
+    rows = [("HUB", "KNOWN", "z", 7, at(days=-2)), *payers(12, lambda k: 9100, 4), ("HUB", "FRESH", "n", 70_000, at(days=2)), ("HUB", "KNOWN", "o", 70_000, at(days=4))]
     assert detect_smurfing(edges(spark, rows)).first().consolidation_txn == "o"
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_windows_match_a_plain_count(spark, seed):
+    r = random.Random(seed)
+    th = replace(DEFAULTS, smurf_min_deposits=3, smurf_window_days=1)
+    rows = [(r.choice("abcdef"), r.choice("XY"), f"t{k:03d}", r.choice([4000, 5000, 8000, 9000, 9960, 10_000]), at(hours=r.randint(0, 90))) for k in range(120)]
+    ok = [x for x in rows if 5000 <= x[3] < 10_000]
+    want = {}
+    for _, d, k, _, t in ok:
+        inside = [x for x in ok if x[1] == d and 0 <= (t - x[4]).total_seconds() <= 86400]
+        if len(inside) >= 3 and len({x[0] for x in inside}) >= 3:
+            want[k] = (len(inside), len({x[0] for x in inside}), float(sum(x[3] for x in inside)), round(sum(8000 <= x[3] <= 9950 for x in inside) / len(inside), 9))
+    got = {w.txn_id: (w.n, w.contributors, float(w.total), round(w.score, 9)) for w in windows(edges(spark, rows), None, th).collect()}
+    assert got == want and want
+
+
 def plain_cycles(rows, th=DEFAULTS):
     best = {}
     w = th.cycle_window_hours * 3600
@@ -111,11 +133,26 @@ def test_paths_match_a_plain_search(spark, seed):
 
 
 def test_dedup_containment(spark):
-    e = edges(spark, CHAIN + [("D", "E", "t4", 920, at(minutes=40)), ("X", "Y", "u1", 50, at()), ("Y", "Z", "u2", 50, at(minutes=1)), ("Z", "W", "u3", 50, at(minutes=2))])
+    e = edges(spark, RELAY + [("X", "Y", "u1", 50, at()), ("Y", "Z", "u2", 50, at(minutes=1)), ("Z", "W", "u3", 50, at(minutes=2))])
     kept = dedup_hits(all_hits(e)).collect()
-    assert sorted(sorted(h.accounts) for h in kept) == [list("ABCDE"), list("WXYZ")]
+    assert sorted(sorted(h.accounts) for h in kept) == [["K1", "K2", "K3", "K4", "K5"], list("WXYZ")]
     assert {h.dedup_rank for h in kept} == {1, 2}
 
 
+@pytest.mark.parametrize("pool", [9, 40])
+def test_dedup_matches_a_greedy_pass(spark, pool):
+    r = random.Random(pool)
+    rows = [(r.choice(["cycle", "smurfing"]), f"h{k:03d}", r.sample(range(pool), r.randint(2, 8)), r.randint(0, 4), r.choice([None, 10, 11])) for k in range(150)]
+    df = spark.createDataFrame(rows, "type string, hit_id string, accounts array<long>, start_us long, n_deposits int")
+    want = {}
+    for kind in ("cycle", "smurfing"):
+        kept = []
+        for _, h, acc, _, _ in sorted((x for x in rows if x[0] == kind), key=lambda x: (-10 * len(x[2]) - (x[4] or 0), sorted(map(str, x[2])), x[3], x[1])):
+            if not any(len(set(acc) & k) >= 0.8 * len(acc) for k in kept):
+                kept.append(set(acc))
+                want[h] = len(kept)
+    assert {x.hit_id: x.dedup_rank for x in dedup_hits(df).collect()} == want
+
+
 def test_thresholds_are_arguments(spark):
-    assert detect_chains(edges(spark, CHAIN), th=replace(DEFAULTS, chain_min_forward=0.99)).count() == 0
+    assert detect_chains(edges(spark, RELAY), th=replace(DEFAULTS, chain_min_forward=0.99)).count() == 0
