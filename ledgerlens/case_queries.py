@@ -130,6 +130,18 @@ def ranked_scores(spark, d) -> DataFrame:
     return _ranked(spark, d).scores.select("account", "score", "pattern_score", "anomaly_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query(_RINGS + " SELECT ring_id, score FROM rings ORDER BY score DESC, ring_id LIMIT 6", recursive=True)
+def ranked_top_rings(spark, d) -> DataFrame:
+    """The six highest-scoring rings."""
+    return views.top_rings(_ranked(spark, d)).select("ring_id", "score")
+
+
+@query(_RUN + " SELECT * FROM (SELECT 0 AS step, 'transactions' AS stage, count(*) AS n FROM edges UNION ALL SELECT 1, 'accounts', count(*) FROM fp UNION ALL SELECT 2, 'suspects', count(*) FROM suspects UNION ALL SELECT 3, 'flagged_accounts', count(*) FROM suspects UNION ALL SELECT 4, 'rings', count(*) FROM ring0)", recursive=True)
+def funnel(spark, d) -> DataFrame:
+    """From all payments to rings, stage by stage."""
+    return views.funnel(_ranked(spark, d))
+
+
 # -- evidence ----------------------------------------------------------------
 _NUMBER = "regexp_replace(printf('%.2f', {}), '0$', '')"
 _STAMP = "strftime(make_timestamp({}), '%Y-%m-%d %H:%M:%S')"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
 from itertools import product
 from random import Random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings, Thresholds
@@ -143,7 +144,7 @@ class Report:
     n_schemes: int
 
 
-def run(e: DataFrame, suspects: DataFrame, source: str, target: str, amount: float = 50_000.0, grid: list[Scheme] | None = None, most: int | None = None, seed: int = 7, th: Thresholds = DEFAULTS, base_time: datetime = BASE_TIME) -> Report:
+def run(e: DataFrame, suspects: DataFrame, source: str, target: str, amount: float = 100_000.0, grid: list[Scheme] | None = None, most: int | None = None, seed: int = 42, th: Thresholds = DEFAULTS, base_time: datetime = BASE_TIME) -> Report:
     """Baseline, frontier over the grid, cheapest evader, hardened thresholds and the friction after them. Account ids are strings."""
     grid = cap_grid(grid if grid is not None else default_grid(), most)
     everything = [Scheme(), *grid]
@@ -183,4 +184,21 @@ def default_route(accounts: DataFrame, suspects: DataFrame, ring_members: DataFr
 
 
 def report_rows(report: Report) -> list[dict]:
-    return [r.asDict() for r in report.frontier.collect()] + [{k: v for k, v in asdict(replace(report, frontier=None)).items() if k != "frontier"}]
+    return [r.asDict() for r in report.frontier.collect()] + [_head(report)]
+
+
+def _head(report: Report) -> dict:
+    return {k: v for k, v in asdict(replace(report, frontier=None)).items() if k != "frontier"}
+
+
+def save_report(report: Report, path: str) -> None:
+    """The report in two JSON tables below ``path``: its frontier and one row of the rest."""
+    report.frontier.write.mode("overwrite").json(f"{path}/frontier")
+    report.frontier.sparkSession.createDataFrame([(json.dumps(_head(report)),)], "head string").write.mode("overwrite").text(f"{path}/head")
+
+
+def load_report(spark: SparkSession, path: str) -> Report:
+    """A saved report, so that a search need not be run again."""
+    schema = "scheme_id int, hop_delay_hours double, n_splits int, jitter double, n_decoys int, n_banks int, fee_pct double, friction double, evidence string, detected boolean"
+    head = json.loads(spark.read.text(f"{path}/head").first()[0])
+    return Report(frontier=spark.read.schema(schema).json(f"{path}/frontier").orderBy("friction", "scheme_id"), **head)

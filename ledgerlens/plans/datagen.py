@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..sources.ledger import LEDGER_SCHEMA, edges
+from ..sources.ledger import LEDGER_SCHEMA, edges, write_bank_files
 
 START, DAYS, PER_BANK = datetime(2026, 1, 1), 90, 400
 #: First account numbers of a bank by role; the rest are persons.
@@ -179,5 +179,15 @@ def generate(spark: SparkSession, seed: int = 42, noise: float = 1.0, per_bank:
     return edges(ledger.withColumn("timestamp", F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))), truth
 
 
+def bootstrap(spark: SparkSession, path: str, seed: int = 42, noise: float = 1.0, per_bank: int = PER_BANK) -> str:
+    """Bank files and a truth document below ``path``, made if there are none yet; returns the files' pattern."""
+    files, done = f"{path}/banks/bank=*", spark._jvm.org.apache.hadoop.fs.Path(f"{path}/truth/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        made, truth = generate(spark, seed, noise, per_bank)
+        write_bank_files(made, f"{path}/banks")
+        spark.createDataFrame([(truth_json(truth),)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/truth")
+    return files
+
+
 def truth_json(truth: dict) -> str:
     return json.dumps(truth)

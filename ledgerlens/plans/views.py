@@ -17,14 +17,40 @@ def summary(d: Detection) -> DataFrame:
     return e.crossJoin(v).crossJoin(d.scores.agg(F.count("*").alias("flagged_accounts"))).crossJoin(d.rings.agg(F.count("*").alias("rings")))  # one row each
 
 
-def ring_list(d: Detection, kind: str | None = None, min_score: float = 0.0, order: str = "score", ascending: bool = False) -> DataFrame:
-    """Rings with band, size and their payments' amounts in time order."""
+def health(d: Detection) -> DataFrame:
+    """``status, transactions, rings``: one row; ``empty`` without a payment, else ``ok``."""
+    n = d.edges.agg(F.count("*").alias("transactions")).crossJoin(d.rings.agg(F.count("*").alias("rings")))  # one row each
+    return n.select(F.when(F.col("transactions") == 0, "empty").otherwise("ok").alias("status"), "transactions", "rings")
+
+
+def funnel(d: Detection) -> DataFrame:
+    """``step, stage, n``: payments, accounts, suspects, flagged accounts, rings."""
+    s = summary(d)
+    stages = ("transactions", "accounts", "suspects", "flagged_accounts", "rings")
+    return s.select(F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(c).alias("stage"), F.col(c).cast("long").alias("n")) for k, c in enumerate(stages)])))
+
+
+def top_rings(d: Detection, k: int = 6) -> DataFrame:
+    return ring_list(d).limit(k)
+
+
+def ring_list(d: Detection, kind: str | None = None, min_score: float = 0.0, order: str | list[str] = "score", ascending: bool | list[bool] = False, bank: str | None = None, text: str | None = None) -> DataFrame:
+    """Rings with band, size and their payments' amounts in time order; by one or several columns, then ring_id.
+
+    Filters: type, least score, a bank among the ring's, and a part of its id or of a member's.
+    """
     amounts = d.rings.select("ring_id", F.explode("txn_ids").alias("txn_id")).join(d.edges, "txn_id").groupBy("ring_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id", "amount"))), lambda s: s["amount"]).alias("sparkline"))
     out = d.rings.join(amounts, "ring_id", "left").where(F.col("score") >= min_score)
     if kind:
         out = out.where(F.col("type") == kind)
-    key = F.col(order)
-    return out.select("ring_id", "type", "score", risk_band(F.col("score")).alias("band"), F.size("accounts").alias("n_accounts"), "banks", "amount", "start_us", "end_us", "sparkline").orderBy(key.asc() if ascending else key.desc(), "ring_id")
+    if bank:
+        out = out.where(F.array_contains("banks", bank))
+    if text:
+        out = out.where(F.contains("ring_id", F.lit(text)) | F.exists(F.col("accounts").cast("array<string>"), lambda a: F.contains(a, F.lit(text))))
+    columns = [order] if isinstance(order, str) else order
+    up = [ascending] * len(columns) if isinstance(ascending, bool) else ascending
+    keys = [F.col(c).asc() if a else F.col(c).desc() for c, a in zip(columns, up, strict=True)]
+    return out.select("ring_id", "type", "score", risk_band(F.col("score")).alias("band"), F.size("accounts").alias("n_accounts"), "banks", "amount", "start_us", "end_us", "sparkline").orderBy(*keys, "ring_id")
 
 
 def _ring(d: Detection, ring_id: str) -> DataFrame:
@@ -51,6 +77,15 @@ def account_detail(d: Detection, account) -> DataFrame:
     return d.verdicts.where(F.col("account") == F.lit(account)).join(d.scores, "account", "left").crossJoin(in_rings)  # one row each
 
 
+def trace_payment(d: Detection, txn_id, max_depth: int = 6, min_taint: float = 1.0) -> taint.Trace:
+    """The trace of a payment of the ledger, 1 to 10 deep; an unknown payment is an error."""
+    if not 1 <= max_depth <= 10:
+        raise ValueError("max_depth must be from 1 to 10")
+    if not d.edges.where(F.col("txn_id") == F.lit(txn_id)).limit(1).count():
+        raise KeyError(f"no payment {txn_id}")
+    return taint.trace(d.edges, txn_id=txn_id, max_depth=max_depth, min_taint=min_taint)
+
+
 def account_timeline(d: Detection, account) -> DataFrame:
     return velocity.burst_timeline(d.edges, account=account).orderBy("bucket")
 
@@ -81,8 +116,8 @@ def dossier(d: Detection, ring_id: str) -> dict[str, DataFrame]:
 def dossier_markdown(d: Detection, ring_id: str) -> str:
     out = [f"# Case {ring_id}", ""]
     for name, df in dossier(d, ring_id).items():
-        rows = df.limit(50).collect()
-        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in rows), ""]
+        # Whole sections, a row at a time: a chain cut short couldn't be verified.
+        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(str(v) for v in r) + " |" for r in df.toLocalIterator()), ""]
     return "\n".join(out)
 
 

@@ -154,11 +154,14 @@ def test_friction_and_grid():
     assert len(adversary.lever_grid(24, 2, 5, 2)) == 4
 
 
-def test_adversary_search(spark):
+def test_adversary_search(spark, tmp_path):
     e = edges(spark, [("BankA_0001", "BankA_0002", "x", 10, at(), "BankA", "BankA"), ("BankC_0001", "BankC_0002", "y", 10, at(), "BankC", "BankC")])
     suspects = spark.createDataFrame([("BankA_0001",), ("BankC_0001",)], "account string")
     r = adversary.run(e, suspects, "BankA_0001", "BankC_0001", grid=[adversary.Scheme(), adversary.Scheme(hop_delay_hours=6), adversary.Scheme(hop_delay_hours=24)])
     assert r.baseline_detected and r.friction_before == 2.98 and r.friction_after == 8.93 and r.hardened == {"chain_max_delay_min": 480, "chain_min_forward": 0.9}
+    adversary.save_report(r, str(tmp_path / "report"))
+    back = adversary.load_report(spark, str(tmp_path / "report"))
+    assert [x.asDict() for x in back.frontier.collect()] == [x.asDict() for x in r.frontier.select(*back.frontier.columns).collect()] and adversary.report_rows(back)[-1] == adversary.report_rows(r)[-1]
     assert [x.detected for x in r.frontier.collect()] == [True, False, False] and views.cheapest_evaders(r.frontier).first().friction == 2.98
 
 
@@ -200,6 +203,38 @@ def test_views(run):
     assert views.sparkline(views.ring_list(d)).count() == d.rings.count()
 
 
+def test_lists_funnel_and_checked_traces(run):
+    d, _ = run
+    assert views.health(d).first().status == "ok"
+    steps = [x.n for x in views.funnel(d).orderBy("step").collect()]
+    assert steps == [d.edges.count(), d.accounts.count(), d.features.count(), d.scores.count(), d.rings.count()]
+    rows = views.ring_list(d, order=["type", "score"], ascending=[True, False]).collect()
+    assert [(x.type, -x.score, x.ring_id) for x in rows] == sorted((x.type, -x.score, x.ring_id) for x in rows) and len(rows) == d.rings.count()
+    one = rows[0]
+    assert one.ring_id in {x.ring_id for x in views.ring_list(d, bank=one.banks[0], text=one.ring_id[:4]).collect()}
+    assert [x.ring_id for x in views.top_rings(d, 2).collect()] == [x.ring_id for x in sorted(rows, key=lambda x: (-x.score, x.ring_id))[:2]]
+    payment = d.rings.first().txn_ids[0]
+    assert views.trace_payment(d, payment, 2).nodes.count() >= 1
+    for bad, error in (((payment, 0), ValueError), ((payment, 11), ValueError), (("none such", 3), KeyError)):
+        with pytest.raises(error):
+            views.trace_payment(d, *bad)
+
+
+def test_bootstrap_makes_files_once(spark, tmp_path):
+    path = str(tmp_path / "data")
+    files = datagen.bootstrap(spark, path, 5, 0.1, 50)
+    n = ledger.read_csv(spark, files).count()
+    before = sorted(p.stat().st_mtime_ns for p in (tmp_path / "data").rglob("part-*"))
+    assert datagen.bootstrap(spark, path, 6, 0.1, 50) == files and ledger.read_csv(spark, files).count() == n > 0
+    assert before == sorted(p.stat().st_mtime_ns for p in (tmp_path / "data").rglob("part-*"))
+
+
+def test_case_members(spark):
+    rows = [("A", "cycle", 0, 10, "h1"), ("B", "cycle", 5, 20, "h2"), ("C", "smurfing", 90, 95, "h9")]
+    df = spark.createDataFrame([(*x, "<1k", f"s{k}", 0.0) for k, x in enumerate(rows)], "bank string, pattern_type string, start_us long, end_us long, hashed_id string, amount_bucket string, signal_id string, pattern_score double")
+    assert sorted((x.case_id, x.signal_id) for x in federation.case_signals(federation.stitch(df)).collect()) == [("FED-01", "s0"), ("FED-01", "s1")]
+
+
 def test_benchmark_aggregation(spark):
     runs = spark.createDataFrame([(1, 0.5, "cycle", 1.0, 0.5, 0.6), (2, 0.5, "cycle", 0.5, 0.5, 0.5), (1, 1.0, "cycle", 0.0, 0.0, 0.0)], "seed int, noise double, type string, precision double, recall double, f1 double")
     got = {(r.noise, r.type): r for r in benchmark.aggregate(runs).collect()}
