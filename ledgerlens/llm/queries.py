@@ -24,34 +24,42 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the 5 highest integer inner products of each 50th vector with all others."""
     return topk.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document."""
     return langid.identify(documents(spark, sf_dir))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
     return pieces.encode_documents(documents(spark, sf_dir), pieces.load(public_tokenizers.path(PIECE_MODEL)), with_ids=False)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every document."""
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every vector."""
     return caps.near_duplicates(embeddings(spark, sf_dir))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every document."""
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document."""
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 

@@ -23,10 +23,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset and all work is local too (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
     return spark.sparkContext.getCheckpointDir()
