@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalars import taint_band
-from .operators import evidence, federation, graph, iforest, taint
+from .operators import evidence, federation, graph, hits, iforest, taint
+from .operators.chains import detect_chains
 from .operators.graph import path_text
 from .plans import pipeline, views
 from .queries import _CHAINS, _CYCLES, _FP, _LEDGER, _LOCAL, _SMURF, ORACLES, SALT, TH, _seed, query
-from .sources.ledger import events_ledger
+from .sources.ledger import events_ledger, per_bank
 
 
 def oracle(name: str, sql: str) -> None:
@@ -47,6 +48,41 @@ _KEPT = """, ranked AS (
 
 oracle("dedup_hits", _CYCLES + _CHAINS + _SMURF + _ALL_HITS + _KEPT + " SELECT type, dedup_rank, array_to_string(accounts, ',') AS accounts, hit_id FROM kept")
 
+# -- matching with known rings: the chains that each bank sees stand for these ---
+_MATCH = (
+    _CYCLES + _CHAINS + _SMURF + _ALL_HITS + _KEPT + _LOCAL
+    + """, truth AS (SELECT bank || ':' || array_to_string(path, '-') AS t, list_distinct(path) AS ta FROM local_chains), det AS (SELECT printf('D%04d', dedup_rank) AS d, list_distinct(accounts) AS da FROM kept WHERE type = 'mule_chain'),
+overlap AS (SELECT t, d, len(list_intersect(ta, da)) AS n, len(ta) AS nt, len(da) AS nd FROM truth JOIN det ON list_has_any(ta, da)),
+cand AS (SELECT t, d, greatest(n / (nt + nd - n), CASE WHEN n = nd AND nd >= 2 THEN 0.5 ELSE 0.0 END) AS weight FROM overlap WHERE n / (nt + nd - n) >= 0.5 OR (n = nd AND nd >= 2)),
+turn AS (SELECT *, row_number() OVER (ORDER BY weight DESC, t DESC, d DESC) AS k FROM cand),
+match(k, ts, ds, t, d, weight, took) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, FALSE
+  UNION ALL
+  SELECT k, CASE WHEN free THEN list_append(ts, t) ELSE ts END, CASE WHEN free THEN list_append(ds, d) ELSE ds END, t, d, weight, free FROM (
+    SELECT r.k, m.ts, m.ds, r.t, r.d, CAST(r.weight AS DOUBLE) AS weight, NOT list_contains(m.ts, r.t) AND NOT list_contains(m.ds, r.d) AS free FROM match m JOIN turn r ON r.k = m.k + 1)
+)"""
+)
+
+
+def _against_banks(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = events_ledger(spark, d)
+    found = hits.dedup_hits(hits.all_hits(e, None, TH)).where("type = 'mule_chain'").select("type", "accounts", F.format_string("D%04d", "dedup_rank").alias("ring_id"))
+    local = detect_chains(per_bank(e), None, TH, ("bank",))
+    return found, local.select("type", F.concat("bank", F.lit(":"), path_text(F.col("accounts"), "-")).alias("ring_id"), F.array_distinct("accounts").alias("truth_accounts"))
+
+
+@query(_MATCH + " SELECT t, d, round(weight, 9) AS weight FROM match WHERE took", recursive=True)
+def ring_matches(spark, d) -> DataFrame:
+    """One-to-one matches of the whole ledger's chains with those that single banks find."""
+    return hits.match_rings(*_against_banks(spark, d)).select("t", "d", F.round("weight", 9).alias("weight"))
+
+
+@query(_MATCH + ", n AS (SELECT (SELECT count(*) FROM match WHERE took) AS tp, (SELECT count(*) FROM det) AS nd, (SELECT count(*) FROM truth) AS nt) SELECT 'mule_chain' AS type, tp, nd - tp AS fp, nt - tp AS fn, round(CAST(tp / nd AS DOUBLE), 3) AS precision, round(CAST(tp / nt AS DOUBLE), 3) AS recall, round(CAST(2 * (tp / nd) * (tp / nt) / (tp / nd + tp / nt) AS DOUBLE), 3) AS f1 FROM n WHERE tp > 0", recursive=True)
+def ring_quality(spark, d) -> DataFrame:
+    """Precision, recall and F1 of these matches."""
+    return hits.prf(*_against_banks(spark, d))
+
+
 # -- the detection run: suspects only ------------------------------------------
 _SUB = _FP + ", suspects AS (SELECT account FROM verdict WHERE rule <> 'steady'), sub AS (SELECT * FROM edges WHERE src IN (SELECT account FROM suspects) AND dst IN (SELECT account FROM suspects))"
 _RUN = (

@@ -49,8 +49,8 @@ def detect_cycles(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
     ratio = F.col("amount_end") / F.col("amount_start")
     best = F.row_number().over(W.partitionBy(*part_, "members").orderBy(F.desc("ratio"), "start_us", "txn_ids"))
     ranked = hits.withColumn("members", members).withColumn("ratio", ratio).withColumn("best", best).where("best = 1")
-    return ranked.select(
+    return staging.keep(ranked.select(
         *part_, F.lit("cycle").alias("type"), "accounts", F.col("accounts")[0].alias("origin"), "txn_ids", "start_us", "end_us",
         F.round("ratio", 4).alias("retention"), F.round((F.col("end_us") - F.col("start_us")) / HOUR, 2).alias("window_hours"),
         (F.size("accounts") - 1).alias("length"), F.round("amount_start", 2).alias("amount_start"), F.round("amount_end", 2).alias("amount_end"),
-    )
+    ))

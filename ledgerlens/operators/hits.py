@@ -21,7 +21,7 @@ VARIANT = ["origin", "terminal", "collector", "depositors", "retention", "length
 def all_hits(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = ()) -> DataFrame:
     """Union of the detectors' hits, nullable variant columns, with ``hit_id``: a digest of type and transactions."""
     staging = Staging(e.sparkSession, "hits")
-    found = at_once(*[lambda detect=detect: staging.write(detect(e, allowed, th, part)) for detect in (detect_cycles, detect_chains, detect_smurfing)])
+    found = at_once(lambda: detect_cycles(e, allowed, th, part), lambda: detect_chains(e, allowed, th, part), lambda: staging.write(detect_smurfing(e, allowed, th, part)))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -47,6 +47,7 @@ class Staging:
     """Writes a level of an iteration to the shared folder and reads it back: lineage is cut and survives lost executors."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
+        self.written: list[DataFrame] = []
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", count(1)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -54,8 +55,16 @@ class Staging:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._staged_at = path
+        self.written = [*self.written, back]
         return back
 
+    def keep(self, result: DataFrame) -> DataFrame:
+        """The result as a table, all tables written before deleted."""
+        before, out = self.written, self.write(result)
+        self.written = [out]
+        self.drop(*before)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
