@@ -103,7 +103,10 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None
     place = F.struct(*KEY, "s")
     first = scratch.write(runs.groupBy("d").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d", "first"))
     later = runs.join(first, "d").where(place != F.col("first")).select(*KEY, F.explode("lines").alias("line")).distinct()
-    return later.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("lines")).select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "lines", *KEY)
+    lines = later.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    out = scratch.write(lines.select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "lines", *KEY))
+    scratch.drop(runs, first)
+    return out
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
@@ -112,7 +115,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None =
     Lines are deleted from the very text they were found in, whatever else shares its
     doc_id. Null texts stay as they are. Further columns may have any name.
     """
-    gone = Scratch(docs.sparkSession, "lines-gone").write(repeated_lines(docs, window, long_words).select(*KEY, "lines"))
+    gone = repeated_lines(docs, window, long_words).select(*KEY, "lines")  # a written table: its size is known
     joined = whole_rows(docs).join(gone, KEY, "left")
     text = F.col("k_row.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, n: ~F.array_contains("lines", n)), "\n")

@@ -129,7 +129,9 @@ def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, mask_bits: int = MASK_B
     one = per_text.select(*KEY, F.posexplode("c").alias("k", "c")).select(*KEY, (F.col("c.seq") - F.col("k")).alias("run"), "c.*")
     runs = one.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("chars")).alias("end"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "seq").alias("first_doc_id"))
     runs = runs.where(F.col("end") - F.col("start") >= run_chars)
-    return runs.select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "start", "end", "chunks", "first_doc_id", *KEY)
+    out = scratch.write(runs.select(F.when(~F.col("k_none"), F.col("k_id")).alias("doc_id"), "start", "end", "chunks", "first_doc_id", *KEY))
+    scratch.drop(found, repeated)
+    return out
 
 
 def deduplicate(docs: DataFrame, **settings: int) -> DataFrame:
