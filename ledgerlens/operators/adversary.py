@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
 from itertools import product
@@ -197,6 +198,14 @@ def save_report(report: Report, path: str) -> None:
     report.frontier.sparkSession.createDataFrame([(json.dumps(_head(report)),)], "head string").write.mode("overwrite").text(f"{path}/head")
 
 
+def cached_report(spark: SparkSession, path: str, search: Callable[[], Report]) -> Report:
+    """The report saved at ``path``, or that of ``search``, saved there first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/head/_SUCCESS")  # written last
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        save_report(search(), path)
+    return load_report(spark, path)
+
+
 def load_report(spark: SparkSession, path: str) -> Report:
     """A saved report, so that a search need not be run again."""
     schema = "scheme_id int, hop_delay_hours double, n_splits int, jitter double, n_decoys int, n_banks int, fee_pct double, friction double, evidence string, detected boolean"

@@ -6,6 +6,7 @@ are the defaults. Arrays are shown as joined text, sums go through decimals.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,7 +22,7 @@ from .operators.cycles import detect_cycles
 from .operators.graph import path_text
 from .operators.smurfing import detect_smurfing, windows
 from .plans import benchmark, datagen, pipeline, views
-from .session import Staging
+from .session import shared_dir
 from .sources.ledger import events_ledger, per_bank
 
 TH = replace(DEFAULTS, reporting=100.0)
@@ -304,11 +305,16 @@ def scheme_grid(spark, d):
 
 
 def _frontier(spark, d) -> DataFrame:
+    """The search of the default grid, made once an application and folder."""
+    return adversary.cached_report(spark, f"{shared_dir(spark)}/adversary-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}", lambda: _search(spark, d)).frontier
+
+
+def _search(spark, d) -> adversary.Report:
     e = events_ledger(spark, d)
     e = e.withColumn("txn_id", F.col("txn_id").cast("string")).withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
     v = fingerprint.verdicts(fingerprint.fingerprints(e))
     ends = [r.account for r in fingerprint.suspects(v).orderBy("account").limit(2).collect()] or ["0", "1"]
-    return adversary.run(e, fingerprint.suspects(v), ends[0], ends[-1], th=TH).frontier
+    return adversary.run(e, fingerprint.suspects(v), ends[0], ends[-1], th=TH)
 
 
 @query()
@@ -525,7 +531,7 @@ def local_chains(spark, d):
 @query()
 def frontier_rates(spark, d):
     """The rolling detection rate and the rank among the cheapest evaders, of schemes as the search found them."""
-    f = Staging(spark, "frontier").write(_frontier(spark, d))
+    f = _frontier(spark, d)
     rank = views.cheapest_evaders(f).select("scheme_id", F.row_number().over(W.orderBy("friction", "scheme_id")).alias("cheapest"))  # six rows
     return views.rolling_detection(f).join(rank, "scheme_id", "left")
 
