@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEY, Scratch, arrow_map, key_of_text, whole_rows
+from .shared import KEY, Scratch, arrow_map, key_of_text, marked, whole_rows
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -116,8 +116,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None =
     doc_id. Null texts stay as they are. Further columns may have any name.
     """
     gone = repeated_lines(docs, window, long_words).select(*KEY, "lines")  # a written table: its size is known
-    joined = whole_rows(docs).join(gone, KEY, "left")
+    rows = marked(whole_rows(docs), gone)
+    joined = rows.where("k_maybe").join(gone, KEY, "left")
     text = F.col("k_row.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, n: ~F.array_contains("lines", n)), "\n")
     out = joined.withColumn("k_kept", F.when(F.col("lines").isNull(), text).otherwise(kept)).where(F.col("lines").isNull() | F.col("k_kept").rlike(r"\S"))
-    return out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])
+    changed = out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])
+    return rows.where("not k_maybe").select("k_row.*").union(changed)

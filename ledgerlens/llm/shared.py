@@ -49,6 +49,23 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("k_row"), *key_of_text())
 
 
+#: Bits of the hash that name a word of the bitmap: at most 2^17 words of 64 bits, 2 MB.
+_WORD_BITS = 17
+
+
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``k_maybe``, which is false only if no row of ``keys`` has the same KEY.
+
+    Keys set bits of a bitmap of fixed size, which is broadcast, so that rows that can't
+    match stay out of the exchange of a join that follows. With very many keys all rows
+    are marked and the join moves them all; its result is the same.
+    """
+    word, bit = f"shiftrightunsigned(k_text, {64 - _WORD_BITS})", "cast(k_text & 63 as int)"
+    bits = keys.groupBy(F.expr(word).alias("k_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("k_bits"))
+    joined = rows.withColumn("k_word", F.expr(word)).join(F.broadcast(bits), "k_word", "left")
+    return joined.withColumn("k_maybe", F.expr(f"coalesce(bit_get(k_bits, {bit}) = 1, false)")).drop("k_word", "k_bits")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

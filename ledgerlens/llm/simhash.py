@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near import near_groups
-from .shared import KEY, Scratch, arrow_map, components, whole_rows
+from .shared import KEY, Scratch, arrow_map, components, marked, whole_rows
 
 SEED = 42
 BITS = 64
@@ -158,9 +158,10 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """
     scratch = Scratch(docs.sparkSession, "near-kept")
     texts = scratch.write(near_groups(docs, words, similarity))
-    gone = scratch.write(texts.where(F.struct(*KEY) != F.col("first")).select(*KEY))
-    repeated = scratch.write(texts.where((F.struct(*KEY) == F.col("first")) & (F.col("rows") > 1)).select(*KEY))
-    rows = whole_rows(docs).join(gone, KEY, "left_anti")
+    first = F.struct(*KEY) == F.col("first")
+    odd = scratch.write(texts.where(~first | (F.col("rows") > 1)).select(*KEY, first.alias("k_first")))
+    rows = marked(whole_rows(docs), odd)
+    met = rows.where("k_maybe").join(odd, KEY, "left")
     hashed = F.xxhash64(*[F.col("k_row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")])
-    once = rows.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min_by("k_row", hashed).alias("k_row"))
-    return rows.join(repeated, KEY, "left_anti").select("k_row.*").unionByName(once.select("k_row.*"))
+    once = met.where("k_first").groupBy(*KEY).agg(F.min_by("k_row", hashed).alias("k_row"))
+    return rows.where("not k_maybe").select("k_row.*").union(met.where("k_first is null").select("k_row.*")).union(once.select("k_row.*"))

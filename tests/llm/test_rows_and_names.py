@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import langid, line_dedup, mixing, secrets, simhash, substring_dedup, topk
-from ledgerlens.llm.shared import KEY
+from ledgerlens.llm.shared import KEY, key_of_text, marked
 
 RUN = "first repeated line here\nsecond repeated line here\nthird repeated line here"
 LONG = " ".join(f"word{k}" for k in range(60))
@@ -72,3 +72,14 @@ def test_top_k_of_empty_vectors_and_repeated_queries(spark):
 def test_secrets_of_equal_rows(spark):
     df = frame(spark, [(1, "token=abcdef1", "en", "a"), (1, "token=abcdef1", "en", "a"), (None, None, None, None)])
     assert sorted(str(r.spans) for r in secrets.find_secrets(df).collect()) == ["", "assign:0:13", "assign:0:13"]
+
+
+def test_marks_miss_no_key(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id % 4000) as text").select("doc_id", *key_of_text())
+    for keep in (1, 97, 10**9):
+        keys = rows.where(F.col("doc_id") % keep == 0)
+        got = marked(rows, keys).select("doc_id", "k_maybe", "k_text").collect()
+        hashes = {r.k_text for r in keys.collect()}
+        assert len(got) == 5000 and all(r.k_maybe for r in got if r.k_text in hashes)
+        assert sum(r.k_maybe for r in got) <= sum(r.k_text in hashes for r in got) + 20
+    assert not any(r.k_maybe for r in marked(rows, rows.limit(0)).collect())
