@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, langid, line_dedup, mixing, pieces, pii, secrets, simhash, substring_dedup, topk
+from . import caps, fim, langid, line_dedup, mixing, pieces, pii, product_codes, secrets, simhash, substring_dedup, token_counts, topk
 from .shared import documents, embeddings
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256`` of every document."""
+    out = fim.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.load(public_tokenizers.path(BYTE_MODEL)))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, code, error, label_error, codebooks_sha256`` of every kept vector."""
+    return product_codes.code_reports(embeddings(spark, sf_dir))
+
+
+_QUERIES = (
+    op1_substring_dedup, op2_line_dedup, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_personal_data, op7_simhash, op8_cap_filters, op9_secrets, op10_mixing,
+    op11_fill_in_middle, op12_token_counts, op13_vector_codes,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_exact_topk, op4_language_id, op5_sentencepiece, op6_personal_data, op7_simhash, op8_cap_filters, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _OP2 = r"""
@@ -112,5 +136,53 @@ FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN links ON links.a = e.ve
 """
 
 
+_OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, t, length(t) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS UBIGINT) FOR i IN range(4)] AS u FROM d
+), cuts AS (
+  SELECT doc_id, t, n, u, least(u[1] % (n + 1), u[2] % (n + 1)) AS a, greatest(u[1] % (n + 1), u[2] % (n + 1)) AS b FROM numbers
+), parts AS (
+  SELECT doc_id, t, n, a, b, substring(t, 1, CAST(a AS BIGINT)) AS p, substring(t, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS m, substring(t, CAST(b AS BIGINT) + 1) AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u[3] % 100 >= 90 THEN 'plain' WHEN u[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def _op13(rounds: int = 4) -> str:
+    """Lloyd's rounds by full comparison of every part with every entry."""
+    head = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x : floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS q FROM v, range(4) r(p)
+), c0 AS MATERIALIZED (
+  SELECT p, j, q AS c FROM (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j FROM x) WHERE j < 256
+)"""
+    assign = """, a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min({{'d': list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c), 'j': j}}) AS best FROM x JOIN c{r} USING (p) GROUP BY vec_id, p
+)"""
+    update = """, c{s} AS MATERIALIZED (
+  SELECT c{r}.p, c{r}.j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT p, j, list(e ORDER BY i) AS c FROM (
+      SELECT p, j, i, floor(sum(y) / count(*)) AS e FROM (SELECT p, best.j AS j, unnest(q) AS y, unnest(range(len(q))) AS i FROM a{r} JOIN x USING (vec_id, p)) GROUP BY p, j, i
+    ) GROUP BY p, j
+  ) m ON m.p = c{r}.p AND m.j = c{r}.j
+)"""
+    steps = "".join(assign.format(r=r) + update.format(r=r, s=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    tail = f"""
+, codes AS (SELECT vec_id, string_agg(printf('%02x', best.j), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, j, i)) AS s FROM (SELECT p, j, unnest(c) AS y, unnest(range(len(c))) AS i FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT s FROM books) AS codebooks_sha256 FROM codes JOIN v USING (vec_id)
+"""
+    return head + steps + tail
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op3_exact_topk": _OP3, "op8_cap_filters": _OP8}
+    return {"op2_line_dedup": _OP2, "op3_exact_topk": _OP3, "op8_cap_filters": _OP8, "op11_fill_in_middle": _OP11, "op13_vector_codes": _op13()}
