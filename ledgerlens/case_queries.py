@@ -1,7 +1,7 @@
 """Oracles of whole detections: deduplicated hits, rings, stories, evidence, taint, cross-bank cases.
 
-Where a ring's score counts, the anomaly is the percentile of an account's largest
-payment, which SQL can state, in place of the isolation forest's.
+The ``ranked_*`` queries take the percentile of an account's largest payment for the
+anomaly; the others the isolation forest's, which SQL grows from the same hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from .operators import evidence, federation, graph, hits, iforest, taint
 from .operators.chains import detect_chains
 from .operators.graph import path_text
 from .plans import pipeline, views
-from .queries import _CHAINS, _CYCLES, _FP, _LEDGER, _LOCAL, _SMURF, ORACLES, SALT, TH, _seed, query
+from .queries import _CHAINS, _CYCLES, _FP, _LEDGER, _LOCAL, _SMURF, _VEL, ORACLES, SALT, TH, _seed, query
 from .sources.ledger import events_ledger, per_bank
 
 
@@ -108,6 +108,7 @@ oracle(
     + " SELECT (SELECT count(*) FROM edges) AS transactions, (SELECT min(ts) FROM edges) AS first, (SELECT max(ts) FROM edges) AS last, (SELECT count(*) FROM fp) AS accounts, (SELECT count(*) FROM verdict WHERE rule = 'steady') AS benign, (SELECT count(*) FROM suspects) AS suspects, (SELECT count(*) FROM suspects) AS flagged_accounts, (SELECT count(*) FROM ring0) AS rings",
 )
 
+_LARGEST = "ano AS (SELECT account, 100.0 * (row_number() OVER (ORDER BY v, account) - 1) / greatest(count(*) OVER () - 1, 1) AS ano FROM (SELECT account, max(amount) AS v FROM act GROUP BY 1))"
 _RINGS = (
     _RUN
     + """, m AS (
@@ -124,7 +125,7 @@ _RINGS = (
       ELSE 'deposits just below the threshold with a collector' END AS reason
   FROM m
 ), pat AS (SELECT account, least(100.0, sum(p)) AS ps, list(reason ORDER BY type, hit_id, reason) AS reasons FROM points WHERE p IS NOT NULL GROUP BY 1),
-ano AS (SELECT account, 100.0 * (row_number() OVER (ORDER BY v, account) - 1) / greatest(count(*) OVER () - 1, 1) AS ano FROM (SELECT account, max(amount) AS v FROM act GROUP BY 1)),
+""" + _LARGEST + """,
 vel AS (SELECT account, count(*) AS txn_count, max(c) AS peak, any_value(i) AS i, any_value(o) AS o FROM (
   SELECT account, count(*) OVER (PARTITION BY account ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS c,
     CAST(sum(CASE WHEN direction = 'in' THEN CAST(amount AS DECIMAL(18,2)) END) OVER (PARTITION BY account) AS DOUBLE) AS i,
@@ -154,13 +155,19 @@ def _ranked(spark, d) -> pipeline.Detection:
     return pipeline.detect(e, TH, iforest.percentile_rank(largest))
 
 
-@query(_RINGS + " SELECT ring_id, type, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS band, CAST(len(accounts) AS INTEGER) AS n_accounts, array_to_string(banks, ',') AS banks, amount, start_us, end_us FROM rings", recursive=True)
+_RING_LIST = " SELECT ring_id, type, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS band, CAST(len(accounts) AS INTEGER) AS n_accounts, array_to_string(banks, ',') AS banks, amount, start_us, end_us FROM rings"
+
+
+@query(_RINGS + _RING_LIST, recursive=True)
 def ranked_rings(spark, d) -> DataFrame:
     """The ring list with that anomaly: ids, scores, bands, banks, amounts."""
     return views.ring_list(_ranked(spark, d)).withColumn("banks", path_text(F.col("banks"))).drop("sparkline")
 
 
-@query(_RINGS + " SELECT account, score, pattern_score, anomaly_score, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'velocity outlier without a pattern' END AS reasons FROM scores", recursive=True)
+_ALL_SCORES = " SELECT account, score, pattern_score, anomaly_score, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'velocity outlier without a pattern' END AS reasons FROM scores"
+
+
+@query(_RINGS + _ALL_SCORES, recursive=True)
 def ranked_scores(spark, d) -> DataFrame:
     """Scores and reasons of all suspects with that anomaly."""
     return _ranked(spark, d).scores.select("account", "score", "pattern_score", "anomaly_score", F.array_join("reasons", "; ").alias("reasons"))
@@ -181,9 +188,8 @@ def funnel(spark, d) -> DataFrame:
 # -- evidence ----------------------------------------------------------------
 _NUMBER = "regexp_replace(printf('%.2f', {}), '0$', '')"
 _STAMP = "strftime(make_timestamp({}), '%Y-%m-%d %H:%M:%S')"
-_CHAIN = (
-    _RINGS
-    + f""", record AS (
+_LINKS = (
+    f""", record AS (
   SELECT ring_id, 0 AS pos, '{{"accounts":' || '["' || array_to_string(accounts, '","') || '"]' || ',"amount":' || {_NUMBER.format("amount")} || ',"banks":["' || array_to_string(banks, '","') || '"],"kind":"case","ring_id":"' || ring_id
     || '","score":' || {_NUMBER.format("score")} || ',"type":"' || type || '","window":["' || {_STAMP.format("start_us")} || '","' || {_STAMP.format("end_us")} || '"]}}' AS record FROM rings
   UNION ALL
@@ -196,6 +202,7 @@ links(ring_id, seq, record, prev_hash, hash) AS (
   SELECT n.ring_id, n.seq, n.record, l.hash, sha256('{{"prev":"' || l.hash || '","record":' || n.record || '}}') FROM links l JOIN numbered n ON n.ring_id = l.ring_id AND n.seq = l.seq + 1
 )"""
 )
+_CHAIN = _RINGS + _LINKS
 
 
 @query(_CHAIN + " SELECT ring_id, CAST(seq AS INTEGER) AS seq, record, prev_hash, hash FROM links", recursive=True)
@@ -219,6 +226,54 @@ def tampered_evidence(spark, d) -> DataFrame:
     return evidence.verify(links.withColumn("record", F.when(F.col("seq") == 1, F.concat("record", F.lit(" "))).otherwise(F.col("record"))))
 
 
+# -- the same by the isolation forest --------------------------------------------
+_MEAN = "CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1000000 ELSE CAST(round(1000000 * (2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n})) AS BIGINT) END"
+_DRAW = "CAST('0x' || substr(md5('42:' || tree || ':' || node || ':{}'), 1, 8) AS BIGINT)"
+
+
+def _forest(accounts: str) -> str:
+    """Tables ``nodes`` and ``path(account, path)`` of 100 trees over those accounts, grown level by level."""
+    low, high = ("[" + ", ".join(f"{f}(x[{k}]) {{over}}" for k in range(1, 8)) + "]" for f in ("min", "max"))
+    over = "OVER (PARTITION BY tree, node)"
+    return f""", fx AS MATERIALIZED (
+  SELECT account, list_transform([CAST(txn_count AS DOUBLE), txns_per_hour, CAST(peak_burst_rate AS DOUBLE), coalesce(CASE WHEN i > 0 THEN coalesce(o, 0) / i END, 0), coalesce(median_hold_min, -1), coalesce(i / n, 0), coalesce(amount_max, 0)], lambda v : round(v, 6)) AS x
+  FROM tph JOIN burst USING (account) JOIN flow USING (account) LEFT JOIN hold USING (account) WHERE account IN ({accounts})
+), pool AS MATERIALIZED (SELECT account, x FROM fx ORDER BY md5('42:' || account), account LIMIT 25600
+), psi AS (SELECT least(256, count(*)) AS n, CAST(ceil(log2(greatest(2, least(256, count(*))))) AS INTEGER) AS deepest FROM pool
+), taken AS MATERIALIZED (
+  SELECT * FROM (SELECT tree, account, x, row_number() OVER (PARTITION BY tree ORDER BY md5('42:' || tree || ':' || account), account) AS turn FROM pool, range(100) t(tree)) WHERE turn <= 256
+), grown(tree, node, depth, account, x) AS (
+  SELECT tree, 1::BIGINT, 0, account, x FROM taken
+  UNION ALL
+  SELECT tree, CASE WHEN x[f] <= CASE WHEN cut >= highs[f] THEN lows[f] ELSE cut END THEN 2 * node ELSE 2 * node + 1 END, depth + 1, account, x FROM (
+    SELECT *, lows[f] + {_DRAW.format("cut")} / 4294967296.0::DOUBLE * (highs[f] - lows[f]) AS cut FROM (
+      SELECT *, free[CAST({_DRAW.format("feature")} % len(free) AS INTEGER) + 1] AS f FROM (
+        SELECT *, list_filter(range(1, 8), lambda k : highs[k] > lows[k]) AS free FROM (
+          SELECT *, {low.format(over=over)} AS lows, {high.format(over=over)} AS highs FROM grown WHERE depth < (SELECT deepest FROM psi)
+        )
+      ) WHERE len(free) > 0
+    )
+  )
+), nodes0 AS (SELECT tree, node, depth, count(*) AS n, {low.format(over="")} AS lows, {high.format(over="")} AS highs FROM grown GROUP BY tree, node, depth
+), nodes1 AS (SELECT *, list_filter(range(1, 8), lambda k : highs[k] > lows[k]) AS free FROM nodes0
+), nodes2 AS (SELECT *, depth >= (SELECT deepest FROM psi) OR len(free) = 0 AS leaf, free[CAST({_DRAW.format("feature")} % greatest(1, len(free)) AS INTEGER) + 1] AS f FROM nodes1
+), nodes AS MATERIALIZED (
+  SELECT tree, node, leaf, f, lows[f] + {_DRAW.format("cut")} / 4294967296.0::DOUBLE * (highs[f] - lows[f]) AS cut, lows[f] AS low, highs[f] AS high, 1000000 * depth + {_MEAN.format(n="n")} AS length FROM nodes2
+), walk(account, x, tree, node) AS (
+  SELECT account, x, tree, 1::BIGINT FROM fx, range(100) t(tree)
+  UNION ALL
+  SELECT w.account, w.x, w.tree, CASE WHEN w.x[d.f] <= CASE WHEN d.cut >= d.high THEN d.low ELSE d.cut END THEN 2 * w.node ELSE 2 * w.node + 1 END FROM walk w JOIN nodes d ON d.tree = w.tree AND d.node = w.node WHERE NOT d.leaf
+), path AS MATERIALIZED (SELECT w.account, CAST(sum(d.length) AS BIGINT) AS path FROM walk w JOIN nodes d ON d.tree = w.tree AND d.node = w.node WHERE d.leaf GROUP BY 1)"""
+
+
+oracle("isolation_forest", _VEL + _forest("SELECT account FROM act") + f" SELECT account, round(pow(2.0, -path / (100.0::DOUBLE * {_MEAN.format(n='(SELECT n FROM psi)')})), 9) AS raw FROM path")
+_GROWN = "ano AS (SELECT account, 100.0 * (row_number() OVER (ORDER BY path DESC, account) - 1) / greatest(count(*) OVER () - 1, 1) AS ano FROM path)"
+_FOREST_RINGS = _RUN + _VEL + _forest("SELECT account FROM suspects") + _RINGS[len(_RUN) :].replace(_LARGEST, _GROWN)
+oracle("ring_list", _FOREST_RINGS + _RING_LIST)
+oracle("account_scores", _FOREST_RINGS + _ALL_SCORES)
+oracle("evidence_chain", _FOREST_RINGS + _LINKS + " SELECT ring_id, CAST(seq AS INTEGER) AS seq, record, prev_hash, hash FROM links")
+oracle("evidence_verify", _FOREST_RINGS + _LINKS + " SELECT ring_id, TRUE AS valid, NULL::INTEGER AS broken_at, arg_max(hash, seq) AS final_hash FROM links GROUP BY 1")
+
 # -- taint -------------------------------------------------------------------
 # A bundle spends a payment's share until its money is used up; a payment of nothing ends it.
 _TAINT = """, seed AS (SELECT * FROM edges ORDER BY amount DESC, txn_id LIMIT 1),

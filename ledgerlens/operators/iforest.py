@@ -1,12 +1,19 @@
-"""Isolation forest (Liu, Ting, Zhou 2008) and percentile ranks."""
+"""Isolation forest (Liu, Ting, Zhou 2008) as a table of nodes, and percentile ranks.
+
+Every choice is an integer hash of (seed, tree, node) or (seed, tree, account), so the
+same rows give the same forest on any number of executors. A tree is grown in one group
+from its own sample of at most ``sample`` rows; rows then walk all trees by one join a
+level with the node table, whose size is bounded by trees x 2^(levels + 1).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from hashlib import md5
+from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,69 +21,86 @@ from ..session import Staging
 
 FEATURES = ("txn_count", "txns_per_hour", "peak_burst_rate", "pass_through_ratio", "median_hold_min", "amount_mean", "amount_max")
 TREES, SAMPLE, SEED = 100, 256, 42
+#: Path lengths are counted in millionths, so that their sums don't depend on an order.
+UNIT = 1_000_000
+_EULER = 0.5772156649015329
+NODES = "tree int, node int, members int, feature int, cut double, left int, right int, length long"
+
 
+def average_path(n: int) -> int:
+    """Mean path of an unsuccessful search among n rows, in units of 1 / UNIT."""
+    return 0 if n <= 1 else UNIT if n == 2 else round(UNIT * (2 * (log(n - 1) + _EULER) - 2 * (n - 1) / n))
 
-def _average_path(n: float) -> float:
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
+def draw(*key: object) -> int:
+    """32 bits that depend on ``key`` alone."""
+    return int(md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16)
 
-def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """A tree as a list of (feature, cut, left, right), or (-1, path length, 0, 0) at a leaf."""
-    nodes: list[tuple] = []
 
-    def build(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append(())
+def grow(x: np.ndarray, tree: int, seed: int) -> list[tuple]:
+    """The nodes of a tree over the rows of ``x``: an inner one has children ``2 node`` (at or below the cut) and ``2 node + 1``."""
+    limit, nodes = ceil(log2(max(len(x), 2))), []
+    open_ = [(1, 0, np.arange(len(x)))]
+    while open_:
+        node, depth, rows = open_.pop()
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
         free = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(free):
-            nodes[at] = (-1, depth + _average_path(len(rows)), 0, 0)
-            return at
-        f = int(rng.choice(free))
-        cut = float(rng.uniform(low[f], high[f]))
-        left = x[rows, f] < cut
-        nodes[at] = (f, cut, build(rows[left], depth + 1), build(rows[~left], depth + 1))
-        return at
-
-    build(np.arange(len(x)), 0)
+        if depth >= limit or not len(free):
+            nodes.append((tree, node, len(rows), -1, None, None, None, UNIT * depth + average_path(len(rows))))
+            continue
+        f = int(free[draw(seed, tree, node, "feature") % len(free)])
+        cut = float(low[f] + draw(seed, tree, node, "cut") / 2.0**32 * (high[f] - low[f]))
+        if cut >= high[f]:  # rounded up to the highest value: both sides must have rows
+            cut = float(low[f])
+        below = x[rows, f] <= cut
+        nodes.append((tree, node, len(rows), f, cut, 2 * node, 2 * node + 1, None))
+        open_ += [(2 * node, depth + 1, rows[below]), (2 * node + 1, depth + 1, rows[~below])]
     return nodes
 
 
-def fit(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> tuple[list[list[tuple]], int]:
-    """The forest, grown on the driver from a bounded sample: trees x sample rows, those of least seeded hash.
+def _features() -> list[Column]:
+    return [F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c) for c in FEATURES]
+
+
+def forest(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """``NODES`` of all trees; no rows without accounts. Features are rounded to six places, null ones are 0.
+
+    A pool of trees x sample accounts, those of least hash, is the most that any tree can
+    see; each tree takes the ``sample`` of it that have the least hash with its number.
+    """
+    name = F.col("account").cast("string")
+    pool = features.select("account", *_features()).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), name)), "account").limit(trees * sample)
+    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    turn = F.row_number().over(W.partitionBy("tree").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), name)), "account"))
+    taken = dealt.withColumn("turn", turn).where(F.col("turn") <= sample)
+
+    def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = grow(pdf[list(FEATURES)].to_numpy(float), int(key[0]), seed)
+        return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")]).astype({c: "Int64" for c in ("left", "right", "length")})
+
+    return taken.select("tree", *FEATURES).groupBy("tree").applyInPandas(one_tree, NODES)
+
+
+def path_lengths(features: DataFrame, nodes: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """``account, path``: the sum of each account's path lengths over all trees, in units of 1 / UNIT.
 
-    Each tree has its own ``sample`` rows of that pool, as the method asks; the pool's bound is trees x sample.
+    ``nodes`` has at most trees x 2^(levels + 1) rows, which bounds what is broadcast.
     """
-    pool = features.orderBy(F.xxhash64(F.col("account"), F.lit(seed)), "account").limit(trees * sample).select(*FEATURES).toPandas().to_numpy(float)
-    if not len(pool):
-        return [], 0
-    rng = np.random.default_rng(seed)
-    psi = min(sample, len(pool))
-    limit = int(np.ceil(np.log2(max(psi, 2))))
-    return [grow(pool[rng.choice(len(pool), psi, replace=False)], rng, limit) for _ in range(trees)], psi
+    inner = nodes.select("tree", "node", "feature", "cut", "left", "right")
+    at = features.select("account", F.array(*_features()).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1))
+    for _ in range(ceil(log2(max(sample, 2)))):
+        at = at.join(F.broadcast(inner), ["tree", "node"])
+        down = F.when(F.get("x", F.col("feature")) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
+        at = at.select("account", "x", "tree", F.when(F.col("feature") < 0, F.col("node")).otherwise(down).alias("node"))
+    return at.join(F.broadcast(nodes.select("tree", "node", "length")), ["tree", "node"]).groupBy("account").agg(F.sum("length").alias("path"))
 
 
 def anomaly(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``account, raw``: 2^(-mean path / c(sample)); higher is more anomalous."""
-    forest, psi = fit(features, trees, sample, seed)
-    sent = features.sparkSession.sparkContext.broadcast([tuple(np.array(c) for c in zip(*t)) for t in forest])
-    scale = _average_path(psi) or 1.0
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b[list(FEATURES)].to_numpy(float)
-            total = np.zeros(len(x))
-            for f, cut, left, right in sent.value:
-                f, left, right = f.astype(int), left.astype(int), right.astype(int)
-                node = np.zeros(len(x), int)
-                while (open_ := f[node] >= 0).any():
-                    at = node[open_]
-                    node[open_] = np.where(x[open_, f[at]] < cut[at], left[at], right[at])
-                total += cut[node]
-            yield pd.DataFrame({"account": b["account"], "raw": 2.0 ** (-total / max(1, len(sent.value)) / scale)})
-
-    kind = features.schema["account"].dataType.simpleString()
-    return features.select("account", *FEATURES).mapInPandas(score, f"account {kind}, raw double")
+    """``account, raw``: 2^(-mean path / mean path of a whole sample); higher is more anomalous. No accounts: no rows."""
+    nodes = Staging(features.sparkSession, "forest").write(forest(features, trees, sample, seed))
+    root = nodes.where("tree = 0 and node = 1").select("members").first()
+    scale = (average_path(root[0]) if root else 0) or UNIT
+    return path_lengths(features, nodes, trees, sample).select("account", F.pow(F.lit(2.0), -F.col("path") / float(trees * scale)).alias("raw"))
 
 
 def percentile_rank(raw: DataFrame, value: str = "raw", key: str = "account") -> DataFrame:

@@ -216,7 +216,8 @@ def dedup_hits(spark, d):
 
 @query()
 def isolation_forest(spark, d):
-    return iforest.anomaly(velocity.velocity_features(events_ledger(spark, d)))
+    """The anomaly of every account, grown and walked over all of them."""
+    return iforest.anomaly(velocity.velocity_features(events_ledger(spark, d))).withColumn("raw", F.round("raw", 9))
 
 
 @query(" SELECT account, 100.0 * (row_number() OVER (ORDER BY v, account) - 1) / greatest(count(*) OVER () - 1, 1) AS anomaly FROM (SELECT account, max(amount) AS v FROM act GROUP BY 1)")
