@@ -14,7 +14,7 @@ from .operators import evidence, federation, graph, hits, iforest, taint
 from .operators.chains import detect_chains
 from .operators.graph import path_text
 from .plans import pipeline, views
-from .queries import _CHAINS, _CYCLES, _FP, _LEDGER, _LOCAL, _SMURF, _VEL, ORACLES, SALT, TH, _seed, query
+from .queries import _CHAINS, _CYCLES, _FP, _GRID, _LEDGER, _LOCAL, _SMURF, _VEL, ORACLES, SALT, TH, _seed, query
 from .sources.ledger import events_ledger, per_bank
 
 
@@ -369,3 +369,112 @@ def case_members(spark, d) -> DataFrame:
     """The signals of each cross-bank case."""
     s = federation.build_signals(federation.local_hits(events_ledger(spark, d), TH))
     return federation.case_signals(federation.stitch(s)).select("case_id", "signal_id")
+
+
+# -- the search for schemes that evade: every scheme's whole ledger -----------------
+def _drawn(*key: str) -> str:
+    return "CAST('0x' || substr(md5('42:' || scheme_id || ':' || " + " || ':' || ".join(key) + "), 1, 8) AS BIGINT)"
+
+
+def _lost(h: int) -> str:
+    return f"(1 - jitter * 0.1::DOUBLE * ({_drawn('s', repr(str(h)), repr('loss'))} / 4294967296.0::DOUBLE))"
+
+
+_SCHEMES = (
+    _FP
+    + f""", se AS MATERIALIZED (SELECT CAST(txn_id AS VARCHAR) AS txn_id, us, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, amount FROM edges),
+sus AS MATERIALIZED (SELECT CAST(account AS VARCHAR) AS account FROM verdict WHERE rule <> 'steady'),
+route AS MATERIALIZED (SELECT min(account) AS s, max(account) AS t FROM (SELECT account FROM sus ORDER BY account LIMIT 2)),
+allowed AS MATERIALIZED (SELECT account FROM sus UNION SELECT s FROM route UNION SELECT t FROM route),
+base AS (SELECT (min(us) + max(us)) // 2 // 3600000000 * 3600000000 AS b FROM se),
+pool AS MATERIALIZED (
+  SELECT account, row_number() OVER (ORDER BY o, account) - 1 AS k FROM (
+    SELECT account, min({{'us': us, 't': txn_id}}) AS o FROM (SELECT src AS account, us, txn_id FROM se UNION ALL SELECT dst, us, txn_id FROM se), route WHERE account NOT IN (s, t) GROUP BY account
+  ) QUALIFY k < 400),
+g AS MATERIALIZED (
+  SELECT 0 AS scheme_id, 0.0::DOUBLE AS hop_delay_hours, 1 AS n_splits, 0.0::DOUBLE AS jitter, 0 AS n_decoys, 1 AS n_banks, 2.0::DOUBLE AS fee_pct
+  UNION ALL SELECT scheme_id + 1, CAST(hop_delay_hours AS DOUBLE), n_splits, CAST(jitter AS DOUBLE), n_decoys, n_banks, CAST(fee_pct AS DOUBLE) FROM ({_GRID})
+), priced AS MATERIALIZED (
+  SELECT *, CAST(round(CAST((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) AS DOUBLE) / 6.05, 2) AS DOUBLE) AS friction FROM g
+), split AS (
+  SELECT *, CAST(hop_delay_hours * 3600000000 AS BIGINT) AS wait, 120.0::DOUBLE / n_splits * {_lost(0)} AS v0, (1 - fee_pct / 100) * {_lost(1)} AS k1, (1 - fee_pct / 100) * {_lost(2)} AS k2,
+    (1 + {_drawn("s", "'1'", "'minutes'")} % 90) * 60000000 AS d1, (1 + {_drawn("s", "'2'", "'minutes'")} % 90) * 60000000 AS d2,
+    substr('ABC', CAST(CAST(source AS BIGINT) % 3 + 1 AS INTEGER), 1) AS b0, substr('ABC', CAST((CAST(source AS BIGINT) + 1) % 3 + 1 AS INTEGER), 1) AS b1
+  FROM (SELECT g.*, unnest(range(n_splits)) AS s FROM g), (SELECT s AS source, t AS target FROM route), base
+), named AS (
+  SELECT *, b + CASE WHEN n_splits > 1 THEN s * wait ELSE 0 END AS t0, 'ADV_Bank' || b0 || '_' || CASE WHEN n_banks = 1 THEN 2 * s + 1 ELSE s + 1 END AS m1, 'ADV_Bank' || CASE WHEN n_banks = 1 THEN b0 ELSE b1 END || '_' || CASE WHEN n_banks = 1 THEN 2 * s + 2 ELSE s + 1 END AS m2 FROM split
+), injected AS MATERIALIZED (
+  SELECT scheme_id, 'ADV' || s || '_h0' AS txn_id, t0 AS us, source AS src, m1 AS dst, round(v0, 2) AS amount FROM named
+  UNION ALL SELECT scheme_id, 'ADV' || s || '_h1', t0 + wait + d1, m1, m2, round(v0 * k1, 2) FROM named
+  UNION ALL SELECT scheme_id, 'ADV' || s || '_h2', t0 + wait + d1 + wait + d2, m2, target, round(v0 * k1 * k2, 2) FROM named
+  UNION ALL SELECT scheme_id, 'ADV_decoy' || i, b + ({_drawn("'decoy'", "i", "'hours'")} % 73 - 24) * 3600000000 + {_drawn("'decoy'", "i", "'minutes'")} % 60 * 60000000, x.account, y.account, round(50 + 850 * ({_drawn("'decoy'", "i", "'amount'")} / 4294967296.0::DOUBLE), 2)
+    FROM (SELECT scheme_id, unnest(range(n_decoys)) AS i FROM g) d JOIN pool x ON x.k = {_drawn("'decoy'", "i", "'src'")} % (SELECT count(*) FROM pool) JOIN pool y ON y.k = {_drawn("'decoy'", "i", "'dst'")} % (SELECT count(*) FROM pool), base
+)"""
+)
+
+
+def _sweep(name: str, delay: str = "7200000000", forward: str = "0.85", retention: str = "0.85") -> str:
+    """``{name}_caught(scheme_id, evidence)`` and ``{name}_sets``: hits of all three kinds in each scheme's ledger, -1 standing for the ledger without mules."""
+    n = name
+    return f""", {n}_full AS MATERIALIZED (
+  SELECT k.scheme_id, txn_id, us, src, dst, amount FROM se, (SELECT scheme_id FROM g UNION ALL SELECT -1) k WHERE src IN (FROM allowed) AND dst IN (FROM allowed)
+  UNION ALL SELECT * FROM injected WHERE (src IN (FROM allowed) OR src LIKE 'ADV%') AND (dst IN (FROM allowed) OR dst LIKE 'ADV%')
+), {n}_e AS MATERIALIZED (SELECT * FROM {n}_full WHERE src <> dst),
+{n}_paths(scheme_id, path, tail, t0, t, a0, a, txns) AS (
+  SELECT scheme_id, [src, dst], dst, us, us, amount, amount, [txn_id] FROM {n}_e
+  UNION ALL
+  SELECT p.scheme_id, list_append(path, e.dst), e.dst, t0, e.us, a0, e.amount, list_append(txns, e.txn_id) FROM {n}_paths p JOIN {n}_e e ON e.scheme_id = p.scheme_id AND e.src = tail
+  WHERE len(path) < 6 AND e.us >= t AND e.us - t0 <= 259200000000 AND e.amount <= a * 1.02 AND NOT list_contains(path, e.dst)
+), {n}_closed AS (
+  SELECT p.scheme_id, path, list_append(txns, e.txn_id) AS txns, t0, e.amount / a0 AS ratio FROM {n}_paths p JOIN {n}_e e ON e.scheme_id = p.scheme_id AND e.src = tail AND e.dst = path[1]
+  WHERE e.us >= t0 AND e.us - t0 <= 259200000000 AND e.amount <= a * 1.02 AND e.amount / a0 >= {retention}
+), {n}_chain(scheme_id, path, tail, t0, t, a, txns) AS (
+  SELECT scheme_id, [src, dst], dst, us, us, amount, [txn_id] FROM {n}_full
+  UNION ALL
+  SELECT p.scheme_id, list_append(path, e.dst), e.dst, t0, e.us, e.amount, list_append(txns, e.txn_id) FROM {n}_chain p JOIN {n}_full e ON e.scheme_id = p.scheme_id AND e.src = tail
+  WHERE e.us BETWEEN t AND t + {delay} AND e.amount >= a * {forward} AND NOT list_contains(path, e.dst)
+), {n}_all AS MATERIALIZED (
+  SELECT k.scheme_id, txn_id, us, src, dst, amount FROM se, (SELECT scheme_id FROM g UNION ALL SELECT -1) k UNION ALL SELECT * FROM injected UNION ALL SELECT -1, txn_id, us, src, dst, amount FROM injected WHERE scheme_id = 0
+), {n}_dep AS MATERIALIZED (SELECT * FROM {n}_all WHERE amount >= 50 AND amount < 100 AND (dst IN (FROM allowed) OR dst LIKE 'ADV%' AND scheme_id >= 0)
+), {n}_win AS (
+  SELECT b.scheme_id, b.dst, b.us, b.txn_id, count(*) AS n, count(DISTINCT a.src) AS payers, avg(CASE WHEN a.amount BETWEEN 80 AND 99.5 THEN 1.0 ELSE 0.0 END) AS score, min(a.us) AS start_us, sum(CAST(a.amount AS DECIMAL(18,2))) AS total
+  FROM {n}_dep b JOIN {n}_dep a ON a.scheme_id = b.scheme_id AND a.dst = b.dst AND a.us BETWEEN b.us - 604800000000 AND b.us GROUP BY 1, 2, 3, 4
+), {n}_best AS MATERIALIZED (SELECT * FROM {n}_win WHERE n >= 10 AND payers >= 10 QUALIFY row_number() OVER (PARTITION BY scheme_id, dst ORDER BY n DESC, score DESC, us, txn_id) = 1
+), {n}_since AS (SELECT *, min({{'us': us, 't': txn_id}}) OVER (PARTITION BY scheme_id, src, dst) AS since FROM {n}_all WHERE (scheme_id, src) IN (SELECT (scheme_id, dst) FROM {n}_best)
+), {n}_cons AS (SELECT b.scheme_id, b.dst AS collector, s.dst AS receiver FROM {n}_best b JOIN {n}_since s ON s.scheme_id = b.scheme_id AND s.src = b.dst AND s.us >= b.start_us AND s.amount >= CAST(b.total AS DOUBLE) * 0.3 QUALIFY row_number() OVER (PARTITION BY b.scheme_id, b.dst ORDER BY since, s.us, s.txn_id) = 1
+), {n}_hits AS MATERIALIZED (
+  SELECT scheme_id, 0 AS kind, 'cycle' AS type, path AS accounts, txns FROM {n}_closed QUALIFY row_number() OVER (PARTITION BY scheme_id, list_sort(path) ORDER BY ratio DESC, t0, txns) = 1
+  UNION ALL SELECT scheme_id, 1, 'mule_chain', path, txns FROM {n}_chain WHERE len(txns) >= 3 QUALIFY row_number() OVER (PARTITION BY scheme_id, list_sort(list_distinct(path)) ORDER BY len(path) DESC, t0, txns) = 1
+  UNION ALL SELECT b.scheme_id, 2, 'smurfing', list_concat(list(DISTINCT a.src), [b.dst], CASE WHEN any_value(c.receiver) IS NULL THEN [] ELSE [any_value(c.receiver)] END), list(a.txn_id ORDER BY a.us, a.txn_id)
+    FROM {n}_best b JOIN {n}_dep a ON a.scheme_id = b.scheme_id AND a.dst = b.dst AND a.us BETWEEN b.us - 604800000000 AND b.us LEFT JOIN {n}_cons c ON c.scheme_id = b.scheme_id AND c.collector = b.dst GROUP BY b.scheme_id, b.dst
+), {n}_sets AS MATERIALIZED (SELECT scheme_id, kind, type, list_sort(list_distinct(accounts)) AS names, list_sort(list_filter(list_distinct(accounts), lambda x : starts_with(x, 'ADV_'))) AS mules, substr(sha256(scheme_id || '|' || type || '|' || array_to_string(txns, ',')), 1, 16) AS hit_id FROM {n}_hits
+)"""
+
+
+def _caught(name: str, known: str) -> str:
+    return f""", {name}_caught AS (
+  SELECT scheme_id, arg_min(CASE WHEN len(mules) > 0 THEN type || ' on injected ' || array_to_string(mules[1:2], ', ') ELSE type || ' on ' || array_to_string(names[1:3], ', ') END, {{'k': kind, 'h': hit_id}}) AS evidence
+  FROM {name}_sets, route WHERE scheme_id >= 0 AND (len(mules) > 0 OR (list_contains(names, route.s) OR list_contains(names, route.t)) AND names NOT IN (SELECT k.names FROM {known}_sets k WHERE k.scheme_id = -1)) GROUP BY scheme_id
+)"""
+
+
+_FOUND = _SCHEMES + _sweep("one") + _caught("one", "one") + ", frontier AS MATERIALIZED (SELECT p.*, c.evidence, c.evidence IS NOT NULL AS detected FROM priced p LEFT JOIN one_caught c USING (scheme_id))"
+oracle("friction_frontier", _FOUND + " SELECT scheme_id, hop_delay_hours, n_splits, friction, detected, coalesce(evidence, '') AS evidence FROM frontier WHERE scheme_id > 0")
+_HARD = """, cheapest AS MATERIALIZED (SELECT *, (2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) / 6.05 AS cost FROM frontier WHERE scheme_id > 0 AND NOT detected ORDER BY cost, scheme_id LIMIT 1),
+hard AS MATERIALIZED (
+  SELECT coalesce(max(CASE WHEN hop_delay_hours > 0 THEN greatest(120, (hop_delay_hours + 2) * 60) END), 120.0) AS delay_min,
+    coalesce(max(CASE WHEN hop_delay_hours > 0 OR n_splits < 4 THEN 0.9 END), 0.85) AS forward, coalesce(max(CASE WHEN hop_delay_hours = 0 AND n_splits < 4 THEN 0.9 END), 0.85) AS retention FROM cheapest
+)"""
+oracle(
+    "friction_summary",
+    _FOUND + _HARD + _sweep("two", "(SELECT CAST(delay_min * 60000000 AS BIGINT) FROM hard)", "(SELECT CAST(forward AS DOUBLE) FROM hard)", "(SELECT CAST(retention AS DOUBLE) FROM hard)") + _caught("two", "one")
+    + """, after AS (SELECT min((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) / 6.05) AS cost FROM priced WHERE scheme_id > 0 AND scheme_id NOT IN (SELECT scheme_id FROM two_caught))
+SELECT (SELECT detected FROM frontier WHERE scheme_id = 0) AS baseline_detected, CAST(coalesce((SELECT round(cost, 2) FROM cheapest), 999.0) AS DOUBLE) AS friction_before,
+  CAST(CASE WHEN NOT EXISTS (FROM cheapest) THEN 999.0 ELSE round(coalesce((SELECT cost FROM after), 3 * (SELECT cost FROM cheapest)), 2) END AS DOUBLE) AS friction_after,
+  33 AS n_schemes, CAST(delay_min AS DOUBLE) AS chain_max_delay_min, CAST(forward AS DOUBLE) AS chain_min_forward FROM hard""",
+)
+oracle(
+    "frontier_rates",
+    _FOUND + """, f AS (SELECT * FROM frontier WHERE scheme_id > 0), r AS (SELECT scheme_id, CAST(row_number() OVER (ORDER BY friction, scheme_id) AS INTEGER) AS cheapest FROM f WHERE NOT detected QUALIFY cheapest <= 6)
+SELECT scheme_id, friction, round(avg(CASE WHEN detected THEN 1 ELSE 0 END) OVER (ORDER BY friction, scheme_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS rate, cheapest FROM f LEFT JOIN r USING (scheme_id)""",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,8 @@ def json_text(c: Column) -> Column:
 
 def percent(c: Column) -> Column:
     return F.format_string("%.0f%%", c * 100)
+
+
+def draw(*key: object) -> int:
+    """32 bits that depend on ``key`` alone, as SQL's md5 gives them too."""
+    return int(md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16)

@@ -44,13 +44,18 @@ def detect_cycles(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
         paths = staging.write(grown.select(*part_, F.concat("path", F.array("e_dst")).alias("path"), "origin", F.col("e_dst").alias("tail"), "t0", F.col("e_us").alias("t"), "a0", F.col("e_amount").alias("a"), F.concat("txns", F.array("e_txn")).alias("txns")))
         open_ = open_.unionByName(paths)
     closed = open_.join(closing, [*part_, "tail", "origin"]).where(within & (F.col("e_amount") / F.col("a0") >= th.cycle_min_retention))
-    hits = closed.select(*part_, F.col("path").alias("accounts"), F.concat("txns", F.array("e_txn")).alias("txn_ids"), F.col("t0").alias("start_us"), F.col("e_us").alias("end_us"), F.col("a0").alias("amount_start"), F.col("e_amount").alias("amount_end"))
+    return staging.keep(cycle_hits(closed, part_))
+
+
+def cycle_hits(closed: DataFrame, part: list[str]) -> DataFrame:
+    """The best loop of each account set, from closed paths ``path, txns, t0, a0`` and their closing payment ``e_us, e_amount, e_txn``."""
+    hits = closed.select(*part, F.col("path").alias("accounts"), F.concat("txns", F.array("e_txn")).alias("txn_ids"), F.col("t0").alias("start_us"), F.col("e_us").alias("end_us"), F.col("a0").alias("amount_start"), F.col("e_amount").alias("amount_end"))
     members = F.array_sort("accounts")
     ratio = F.col("amount_end") / F.col("amount_start")
-    best = F.row_number().over(W.partitionBy(*part_, "members").orderBy(F.desc("ratio"), "start_us", "txn_ids"))
+    best = F.row_number().over(W.partitionBy(*part, "members").orderBy(F.desc("ratio"), "start_us", "txn_ids"))
     ranked = hits.withColumn("members", members).withColumn("ratio", ratio).withColumn("best", best).where("best = 1")
-    return staging.keep(ranked.select(
-        *part_, F.lit("cycle").alias("type"), "accounts", F.col("accounts")[0].alias("origin"), "txn_ids", "start_us", "end_us",
+    return ranked.select(
+        *part, F.lit("cycle").alias("type"), "accounts", F.col("accounts")[0].alias("origin"), "txn_ids", "start_us", "end_us",
         F.round("ratio", 4).alias("retention"), F.round((F.col("end_us") - F.col("start_us")) / HOUR, 2).alias("window_hours"),
         (F.size("accounts") - 1).alias("length"), F.round("amount_start", 2).alias("amount_start"), F.round("amount_end", 2).alias("amount_end"),
-    ))
+    )

@@ -22,11 +22,16 @@ def all_hits(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DE
     """Union of the detectors' hits, nullable variant columns, with ``hit_id``: a digest of type and transactions."""
     staging = Staging(e.sparkSession, "hits")
     found = at_once(lambda: detect_cycles(e, allowed, th, part), lambda: detect_chains(e, allowed, th, part), lambda: staging.write(detect_smurfing(e, allowed, th, part)))
+    return staging.write(as_hits(found, list(part)))
+
+
+def as_hits(found: list[DataFrame], part: list[str]) -> DataFrame:
+    """One table of several detectors' hits, with ``hit_id``."""
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     ident = F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in part], "type", F.array_join(F.col("txn_ids").cast("array<string>"), ",")), 256)
-    return staging.write(out.withColumn("hit_id", F.substring(ident, 1, 16)))
+    return out.withColumn("hit_id", F.substring(ident, 1, 16))
 
 
 def dedup_hits(hits: DataFrame, containment: float = 0.8) -> DataFrame:

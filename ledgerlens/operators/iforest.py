@@ -8,7 +8,6 @@ level with the node table, whose size is bounded by trees x 2^(levels + 1).
 
 from __future__ import annotations
 
-from hashlib import md5
 from math import ceil, log, log2
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import draw
 from ..session import Staging
 
 FEATURES = ("txn_count", "txns_per_hour", "peak_burst_rate", "pass_through_ratio", "median_hold_min", "amount_mean", "amount_max")
@@ -32,11 +32,6 @@ def average_path(n: int) -> int:
     return 0 if n <= 1 else UNIT if n == 2 else round(UNIT * (2 * (log(n - 1) + _EULER) - 2 * (n - 1) / n))
 
 
-def draw(*key: object) -> int:
-    """32 bits that depend on ``key`` alone."""
-    return int(md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16)
-
-
 def grow(x: np.ndarray, tree: int, seed: int) -> list[tuple]:
     """The nodes of a tree over the rows of ``x``: an inner one has children ``2 node`` (at or below the cut) and ``2 node + 1``."""
     limit, nodes = ceil(log2(max(len(x), 2))), []

@@ -6,9 +6,9 @@ are the defaults. Arrays are shown as joined text, sums go through decimals.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,23 +305,30 @@ def scheme_grid(spark, d):
     return adversary.friction_table(adversary.scheme_grid_table(spark))
 
 
-def _frontier(spark, d) -> DataFrame:
-    """The search of the default grid, made once an application and folder."""
-    return adversary.cached_report(spark, f"{shared_dir(spark)}/adversary-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}", lambda: _search(spark, d)).frontier
-
-
-def _search(spark, d) -> adversary.Report:
+def _searched(spark, d) -> adversary.Report:
+    """The search of the default grid between two quiet accounts, from the middle of the ledger's time on; kept by the content of what it reads."""
     e = events_ledger(spark, d)
     e = e.withColumn("txn_id", F.col("txn_id").cast("string")).withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
-    v = fingerprint.verdicts(fingerprint.fingerprints(e))
-    ends = [r.account for r in fingerprint.suspects(v).orderBy("account").limit(2).collect()] or ["0", "1"]
-    return adversary.run(e, fingerprint.suspects(v), ends[0], ends[-1], th=TH)
+    suspects = fingerprint.suspects(fingerprint.verdicts(fingerprint.fingerprints(e)))
+    ends = [r.account for r in suspects.orderBy("account").limit(2).collect()] or ["0", "1"]
+    hour = e.agg(F.expr("(min(us) + max(us)) div 2 div 3600000000")).first()[0] or 0
+    base = datetime(1970, 1, 1) + timedelta(hours=hour)
+    about = adversary.manifest({"source": ends[0], "target": ends[-1], "amount": 120.0, "base": base, "thresholds": TH, "grid": adversary.default_grid()}, ledger=e, suspects=suspects)
+    return adversary.kept_report(spark, f"{shared_dir(spark)}/adversary", about, lambda: adversary.run(e, suspects, ends[0], ends[-1], 120.0, th=TH, base_time=base))
 
 
 @query()
 def friction_frontier(spark, d):
-    """All 32 schemes of the default grid over the events ledger with text accounts: the naive route of two quiet accounts."""
-    return _frontier(spark, d).select("scheme_id", "hop_delay_hours", "n_splits", "friction", "detected", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    """All 32 schemes of the default grid over the events ledger with text accounts."""
+    return _searched(spark, d).frontier.select("scheme_id", "hop_delay_hours", "n_splits", "friction", "detected", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+@query()
+def friction_summary(spark, d):
+    """What the search comes to: the naive scheme, the cheapest evader's friction, and that after hardening against it."""
+    r = _searched(spark, d)
+    head = [(r.baseline_detected, r.friction_before, r.friction_after, r.n_schemes, float(r.hardened.get("chain_max_delay_min", TH.chain_max_delay_min)), r.hardened.get("chain_min_forward", TH.chain_min_forward))]
+    return spark.createDataFrame(head, "baseline_detected boolean, friction_before double, friction_after double, n_schemes int, chain_max_delay_min double, chain_min_forward double")
 
 
 @query(
@@ -532,7 +539,7 @@ def local_chains(spark, d):
 @query()
 def frontier_rates(spark, d):
     """The rolling detection rate and the rank among the cheapest evaders, of schemes as the search found them."""
-    f = _frontier(spark, d)
+    f = _searched(spark, d).frontier
     rank = views.cheapest_evaders(f).select("scheme_id", F.row_number().over(W.orderBy("friction", "scheme_id")).alias("cheapest"))  # six rows
     return views.rolling_detection(f).join(rank, "scheme_id", "left")
 

@@ -15,6 +15,7 @@ def test_friction_frontier_searches_the_whole_grid(spark, monkeypatch):
         return adversary.Report(True, table.withColumn("detected", F.lit(True)).withColumn("evidence", F.lit("x")), 0.0, 0.0, {}, len(schemes))
 
     monkeypatch.setattr(adversary, "run", run)
+    monkeypatch.setattr(adversary, "kept_report", lambda spark, folder, about, search: search())
     assert queries.friction_frontier(spark, D).count() == 32
 
 
