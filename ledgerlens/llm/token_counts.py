@@ -1,6 +1,7 @@
 """Token counts of documents by a byte-level BPE tokenizer, huge documents by overlap resynchronisation.
 
-A text of up to STEP + OVERLAP code points is encoded whole. A longer one is cut into
+A text of up to STEP + OVERLAP code points is encoded whole (its distinct words, see
+``Counter``). A longer one is cut into
 chunks that overlap by OVERLAP, which Spark deals out as rows of their own; each is
 encoded with offsets. Neighbours are spliced at a place where both have a boundary
 between pre-tokens: the pattern that splits text looks no further back than its last
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ from pyspark.sql import Window as W
 from .shared import KEY, Scratch, arrow_map, key_of_text
 
 STEP, OVERLAP, LIMIT = 1 << 15, 1 << 10, 512
-#: Code points that are encoded in one call.
+#: Code points that are encoded or counted in one call.
 SLICE = 1 << 18
 _KEY_DDL = "k_none boolean, k_id long, k_text long"
 
@@ -76,6 +78,52 @@ def boundaries(encoded) -> tuple[np.ndarray, np.ndarray]:
     return np.array([offsets[k][0] for k in first.tolist()], dtype=np.int64), first
 
 
+#: A space behind one of these may belong to a run of white space that begins before it; all other characters are no white space by any table.
+_DOUBTFUL = r"\s\u180e\u200b-\u200d\u2060\ufeff"
+_DOUBT, _CUT = re.compile(f"[{_DOUBTFUL}] "), re.compile(f"(?<=[^{_DOUBTFUL}]) ")
+#: Words whose counts are kept, in each of two generations, and characters of the longest that is.
+KEPT_WORDS, LONGEST = 250_000, 48
+
+
+class Counter:
+    """Tokens of texts, cut before each space that follows no white space, and so is the begin of a pre-token whatever comes before.
+
+    Words repeat, so the library encodes each distinct one of a slice once; counts are
+    kept in a bounded table, which costs time when it is dropped and never a result.
+    """
+
+    def __init__(self, model: bytes) -> None:
+        self.encode = _tokenizer(model).encode_batch_fast
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def _encoded(self, pieces: list[str]) -> list[int]:
+        return [len(e) for i, j in _slices(pieces) for e in self.encode(pieces[i:j], add_special_tokens=False)]
+
+    def _known(self, words: set[str]) -> list[str]:
+        """Sees to it that all words are in ``young``; gives those that must not stay there."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > KEPT_WORDS:
+            self.old, self.young, new = self.young, {}, words
+        young, old = self.young, self.old
+        young.update((w, old[w]) for w in new if w in old)
+        fresh = [w for w in new if w not in young]
+        young.update(zip(fresh, self._encoded([" " + w for w in fresh])))
+        return [w for w in fresh if len(w) > LONGEST]
+
+    def count(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        for i, j in _slices(texts):
+            words = [_CUT.split(t) if _DOUBT.search(t) else t.split(" ") for t in texts[i:j]]
+            first = self._encoded([w[0] for w in words])
+            passing = self._known({w for own in words for w in own[1:]})
+            of = self.young.__getitem__
+            out += [n + sum(map(of, own[1:])) for n, own in zip(first, words)]
+            for w in passing:
+                del self.young[w]
+        return out
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for k, t in enumerate(texts):
@@ -87,16 +135,18 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+@lru_cache(maxsize=2)
+def _counter(model: bytes) -> Counter:
+    return Counter(model)
+
+
 def _whole(texts: DataFrame, model: bytes) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of ``texts(doc_id, n_bytes, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(model).encode_batch_fast
+        count = _counter(model).count
         for b in batches:
-            found, texts = [], b.column(2).to_pylist()
-            for i, j in _slices(texts):
-                found += [len(e) for e in encode(texts[i:j], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count(b.column(2).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return arrow_map(texts, run, "doc_id long, n_bytes long, n_tokens long")
 
@@ -123,20 +173,48 @@ def _pieces(ranges: DataFrame) -> DataFrame:
     return arrow_map(ranges.select(*KEY, "n_bytes", "text", "at"), run, _PIECE)
 
 
+def _cut_near(text: str, low: int, high: int) -> int | None:
+    """A place in [low, high] where a pre-token begins for certain."""
+    found = _CUT.search(text, low, min(high + 1, len(text)))
+    return found.start() if found else None
+
+
+def _chunk(t, counter: Counter, piece: str, overlap: int, right: int | None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a chunk, and the boundaries with the tokens before each: those up to ``overlap`` and those from ``right`` on.
+
+    Only what holds these is encoded with offsets; what lies between, from one certain
+    boundary to another, is counted as whole texts are.
+    """
+    none = np.zeros(0, np.int64)
+    end = len(piece) if right is None else right
+    a = _cut_near(piece, overlap + 1, end)
+    if a is None:
+        e = t.encode(piece, add_special_tokens=False)
+        at, before = boundaries(e)
+        return len(e), at, before, *((none, none) if right is None else (at, before))
+    head = t.encode(piece[:a], add_special_tokens=False)
+    left_at, left_n = boundaries(head)
+    if right is None:
+        return len(head) + counter.count([piece[a:]])[0], left_at, left_n, none, none
+    b = max((x for x in range(max(a, right - overlap), right + 1) if piece[x] == " " and _CUT.match(piece, x)), default=a)
+    middle = len(head) + counter.count([piece[a:b]])[0]
+    tail = t.encode(piece[b:], add_special_tokens=False)
+    at, before = boundaries(tail)
+    return middle + len(tail), left_at, left_n, at + b, before + middle
+
+
 def _encode(pieces: DataFrame, model: bytes, overlap: int, reach: int) -> DataFrame:
     """Chunks with their token count and the boundaries of both overlaps, absolute, with the tokens before each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(model)
+        t, counter = _tokenizer(model), _counter(model)
         for b in batches:
             found = []
-            for start, stop, after, piece in zip(*(b.column(c) for c in range(4, 8))):
-                e = t.encode(piece.as_py(), add_special_tokens=False)
-                at, before = boundaries(e)
-                at = at + start.as_py()
-                left = at <= start.as_py() + overlap
-                right = (at >= after.as_py()) & (at <= stop.as_py() - reach) if after.is_valid else np.zeros(len(at), bool)
-                found.append((len(e), at[left], before[left], at[right], before[right]))
+            for start, stop, after, piece in zip(*(c.to_pylist() for c in b.columns[4:8])):
+                n, left_at, left_n, right_at, right_n = _chunk(t, counter, piece, overlap, None if after is None else after - start)
+                left = left_at <= overlap
+                right = np.zeros(len(right_at), bool) if after is None else (right_at >= after - start) & (right_at <= stop - start - reach)
+                found.append((n, left_at[left] + start, left_n[left], right_at[right] + start, right_n[right]))
             columns = list(zip(*found)) or [()] * 5
             lists = [pa.array(c, pa.list_(pa.int32())) for c in columns[1:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(columns[0], pa.int32()), *lists], [x.split()[0] for x in _CHUNK.split(", ")])
