@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Settings, Thresholds
 from ..functions.scalars import amount_bucket, bucket_rank, hashed_account
 from ..session import Staging
 from ..sources.ledger import per_bank
 from .hits import all_hits
+from .scan import running
 
 
 def local_hits(e: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
@@ -37,16 +37,16 @@ def coordinator_view(signals: DataFrame) -> DataFrame:
 
 
 def islands(signals: DataFrame) -> DataFrame:
-    """Signals with ``island``: per type, runs of windows that overlap (closed), in one pass over them in time order.
+    """Signals with ``island``: per type, runs of windows that overlap (closed).
 
-    A type's distinct windows are summed up first (latest end per start), so a hot
-    type is ranked over its distinct start times only.
+    A type's distinct windows are summed up first (latest end per start). The latest end
+    before each, and the count of windows that begin beyond it, are carried from range
+    to range of the start times, so a type is never one sorted partition.
     """
-    spans = signals.groupBy("pattern_type", "start_us").agg(F.max("end_us").alias("last"))
-    w = W.partitionBy("pattern_type").orderBy("start_us")
-    reach = F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col("start_us") > reach)).cast("int")
-    numbered = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).select("pattern_type", "start_us", "island")
+    spans = Staging(signals.sparkSession, "islands").write(signals.groupBy("pattern_type", "start_us").agg(F.max("end_us").alias("last")))
+    reached = running(spans, ["pattern_type"], ["start_us"], {"reach": ("max", F.col("last"))}, before=True)
+    fresh = reached.withColumn("fresh", (F.col("reach").isNull() | (F.col("start_us") > F.col("reach"))).cast("int"))
+    numbered = running(fresh, ["pattern_type"], ["start_us"], {"island": ("sum", F.col("fresh"))}).select("pattern_type", "start_us", "island")
     return signals.join(numbered, ["pattern_type", "start_us"])
 
 
@@ -74,8 +74,8 @@ def stitch(signals: DataFrame, min_banks: int = 2) -> DataFrame:
         F.array_sort(F.collect_set("bank")).alias("banks"), F.array_sort(F.collect_set("pattern_type")).alias("pattern_types"), F.array_sort(F.collect_set("hashed_id")).alias("hashed_ids"),
         F.min("start_us").alias("window_start_us"), F.max("end_us").alias("window_end_us"), F.max_by("amount_bucket", rank).alias("amount_bucket"), F.count("*").alias("n_signals"), F.min("signal_id").alias("first_signal"), F.first("label").alias("component"),
     ).where(F.size("banks") >= min_banks)
-    number = F.row_number().over(W.orderBy("first_signal"))  # cases are few
-    cases = groups.withColumn("case_id", F.format_string("FED-%02d", number)).withColumn("n_accounts", F.size("hashed_ids")).drop("label", "first_signal").orderBy(F.desc("n_signals"), "case_id")
+    numbered = running(groups, [], ["first_signal"], {"number": ("sum", F.lit(1))})
+    cases = numbered.withColumn("case_id", F.format_string("FED-%02d", F.col("number"))).drop("number").withColumn("n_accounts", F.size("hashed_ids")).drop("label", "first_signal").orderBy(F.desc("n_signals"), "case_id")
     cases._members = members.select(F.col("label").alias("component"), "signal_id")
     return cases
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from ..config import DEFAULTS, Thresholds
 from ..session import Staging, at_once
 from .chains import detect_chains
 from .cycles import detect_cycles
+from .scan import is_small, running
 from .smurfing import detect_smurfing
 
 #: Column and the detectors that have it; all others get null.
@@ -62,7 +62,7 @@ def dedup_hits(hits: DataFrame, containment: float = 0.8) -> DataFrame:
         after = staging.write(open_.join(gone, "hit", "left_anti").join(gone.select(F.col("hit").alias("holder")), "holder", "left_anti"))
         settled = open_.select("hit").distinct().join(gone, "hit", "left_anti").join(after, "hit", "left_anti")
         kept, open_ = kept.unionByName(settled.select(F.col("hit").alias("hit_id"))), after
-    ranked = sets.join(kept, "hit_id", "left_semi").select("hit_id", F.row_number().over(W.partitionBy("type").orderBy("o")).alias("dedup_rank"))
+    ranked = running(sets.join(kept, "hit_id", "left_semi").select("type", "o", "hit_id"), ["type"], ["o"], {"dedup_rank": ("sum", F.lit(1))}, plain=is_small(sets)).select("hit_id", F.col("dedup_rank").cast("int").alias("dedup_rank"))
     return hits.join(ranked, "hit_id").select(*hits.columns, "dedup_rank")
 
 
@@ -105,20 +105,22 @@ def candidate_matches(detected: DataFrame, truth: DataFrame, least: float = 0.5)
 
 
 def match_rings(detected: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matches ``type, t, d, weight`` by falling (weight, t, d); the candidates of a type meet in one group."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "t", "d"], ascending=False)
-        ts, ds, keep = set(), set(), []
-        for k, (t, d) in enumerate(zip(pdf["t"], pdf["d"])):
-            if t not in ts and d not in ds:
-                ts.add(t)
-                ds.add(d)
-                keep.append(k)
-        return pdf.iloc[keep]
-
-    c = candidate_matches(detected, truth, least)
-    return c.groupBy("type").applyInPandas(greedy, c.schema)
+    """Greedy one-to-one matches ``type, t, d, weight`` by falling (weight, t, d), in rounds of locally dominant pairs.
+
+    A pair that is the best of both its sides is taken and its neighbours go: nothing that
+    the sorted pass takes before it could keep it out. The best pair of all is one in
+    every round, and usually very many are, so rounds are few; each is two partial aggregates.
+    """
+    staging = Staging(detected.sparkSession, "matching")
+    pair = F.struct("weight", "t", "d")
+    open_ = staging.write(candidate_matches(detected, truth, least))
+    taken = open_.where("false")
+    while not open_.isEmpty():
+        best_t, best_d = (open_.groupBy("type", side).agg(F.max(pair).alias(f"best_{side}")) for side in ("t", "d"))
+        won = staging.write(open_.join(best_t, ["type", "t"]).join(best_d, ["type", "d"]).where((F.col("best_t") == pair) & (F.col("best_d") == pair)).select(*open_.columns))
+        taken = taken.unionByName(won)
+        open_ = staging.write(open_.join(won, ["type", "t"], "left_anti").join(won, ["type", "d"], "left_anti"))
+    return taken
 
 
 def prf(detected: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:

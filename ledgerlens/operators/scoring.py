@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.scalars import percent
 
@@ -67,7 +66,7 @@ def ring_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
 def rings(scored_hits: DataFrame, accounts: DataFrame) -> DataFrame:
     """``ring_id`` by type in order of dedup rank, sorted distinct banks, amount; by score, highest first."""
     prefix = F.when(F.col("type") == "cycle", "CYCLE").when(F.col("type") == "mule_chain", "CHAIN").otherwise("SMURF")
-    n = F.row_number().over(W.partitionBy("type").orderBy("dedup_rank"))
     banks = scored_hits.select("hit_id", F.explode(F.array_distinct("accounts")).alias("account")).join(accounts, "account").groupBy("hit_id").agg(F.array_sort(F.collect_set("bank")).alias("banks"))
     amount = F.coalesce(*[F.when(F.col(c) != 0, F.col(c)) for c in ("total_amount", "amount_in", "amount_start")], F.lit(0.0))
-    return scored_hits.withColumn("ring_id", F.format_string("%s-%02d", prefix, n)).withColumn("amount", amount).join(banks, "hit_id", "left").orderBy(F.desc("score"), "ring_id")
+    # dedup_rank counts the kept hits of a type from 1 on, so it is a ring's number.
+    return scored_hits.withColumn("ring_id", F.format_string("%s-%02d", prefix, F.col("dedup_rank"))).withColumn("amount", amount).join(banks, "hit_id", "left").orderBy(F.desc("score"), "ring_id")

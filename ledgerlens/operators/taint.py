@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import Staging
+from .scan import is_small, running
 
 _DUST = 1e-9
 
@@ -28,47 +29,46 @@ def _history(e: DataFrame, holders: DataFrame, side: str) -> DataFrame:
     return e.select(F.col(side).alias("holder"), "us", "txn_id", F.col(other).alias("other"), "amount").join(holders, "holder", "left_semi")
 
 
-def clean_pool(e: DataFrame, bundles: DataFrame) -> DataFrame:
+def clean_pool(e: DataFrame, bundles: DataFrame, small: bool = False) -> DataFrame:
     """``bundle, clean``: per bundle (holder, at, own) what came in by then but for its own payment, less what left before, not below 0.
 
     A holder's history is read once, as one running balance that its bundles look up at
-    their times, however many they are.
+    their times, however many they are. ``small``: the ledger is (``is_small``).
     """
     holders = bundles.select("holder").distinct()
     m, none = F.col("amount").cast("decimal(18,2)"), F.lit(None).cast(bundles.schema["bundle"].dataType).alias("bundle")
     into = _history(e, holders, "dst").select("holder", "us", F.lit(0).alias("turn"), m.cast("decimal(19,2)").alias("m"), none)
     out = _history(e, holders, "src").select("holder", "us", F.lit(2).alias("turn"), (-m).cast("decimal(19,2)").alias("m"), none)
     asked = bundles.select("holder", F.col("at").alias("us"), F.lit(1).alias("turn"), F.lit(0).cast("decimal(19,2)").alias("m"), "bundle")
-    w = W.partitionBy("holder").orderBy("us", "turn").rowsBetween(W.unboundedPreceding, 0)
-    balance = into.unionByName(out).unionByName(asked).withColumn("balance", F.sum("m").over(w)).where("bundle is not null")
+    # Rows of equal time and turn: several payments in, or bundles that add nothing.
+    balance = running(into.unionByName(out).unionByName(asked), ["holder"], ["us", "turn"], {"balance": ("sum", F.col("m"))}, peers=True, plain=small).where("bundle is not null")
     own = F.col("own").cast("decimal(18,2)")
     return balance.join(bundles.select("bundle", "own"), "bundle").select("bundle", F.greatest(F.lit(0.0), (F.col("balance") - own).cast("double")).alias("clean"))
 
 
-def _spent_by(e: DataFrame, pool: DataFrame, staging: Staging) -> DataFrame:
+def _spent_by(e: DataFrame, pool: DataFrame, staging: Staging, small: bool) -> DataFrame:
     """The bundles of ``pool`` with the payments their money may leave by: those from their time on, up to what money there is.
 
     Payments of a holder are numbered and summed up once; a bundle looks up the first and
     the last one, and meets just these by number, not the holder's whole future.
     """
     paid = _history(e, pool.select("holder").distinct(), "src")
-    order = W.partitionBy("holder").orderBy("us", "txn_id").rowsBetween(W.unboundedPreceding, 0)
     worth = F.greatest(F.col("amount"), F.lit(0.0))
-    paid = staging.write(paid.withColumn("k", F.row_number().over(W.partitionBy("holder").orderBy("us", "txn_id"))).withColumn("sum", F.sum(worth).over(order)))
+    paid = staging.write(running(paid, ["holder"], ["us", "txn_id"], {"k": ("sum", F.lit(1)), "sum": ("sum", worth)}, plain=small))
     look = ["holder", "at", "turn", "n", "worth", "bundle", "reach"]
     none = F.lit(None).cast(pool.schema["bundle"].dataType).alias("bundle")
     zero, nil = F.lit(0.0), F.lit(None).cast("double")
-    w = W.partitionBy("holder").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     firsts = paid.select("holder", F.col("us").alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("n"), worth.alias("worth"), none, nil.alias("reach")).unionByName(
         pool.select("holder", "at", F.lit(0).alias("turn"), F.lit(0).alias("n"), zero.alias("worth"), "bundle", (F.col("clean") + F.col("d")).alias("reach"))
     )
-    begun = firsts.select(*look).withColumn("k0", F.sum("n").over(w)).withColumn("s0", F.sum("worth").over(w)).where("bundle is not null")
+    begun = running(firsts.select(*look), ["holder"], ["at", "turn"], {"k0": ("sum", F.col("n")), "s0": ("sum", F.col("worth"))}, peers=True, plain=small).where("bundle is not null")
     lasts = paid.select("holder", (F.col("sum") - worth).alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("n"), none, F.lit(None).cast("long").alias("k0")).unionByName(
         begun.select("holder", (F.col("s0") + F.col("reach")).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("n"), "bundle", F.col("k0").cast("long").alias("k0"))
     )
     # One payment more than the sums say, for their rounding.
-    bounds = lasts.withColumn("k1", F.sum("n").over(w) + 1).where("bundle is not null and k1 > k0").select("bundle", F.explode(F.sequence(F.col("k0") + 1, F.col("k1"))).alias("k"))
-    mine = pool.join(bounds, "bundle").withColumn("k", F.col("k").cast("int"))
+    bounds = running(lasts, ["holder"], ["at", "turn"], {"k1": ("sum", F.col("n"))}, peers=True, plain=small).withColumn("k1", F.col("k1") + 1)
+    bounds = bounds.where("bundle is not null and k1 > k0").select("bundle", F.explode(F.sequence(F.col("k0") + 1, F.col("k1"))).alias("k"))
+    mine = pool.join(bounds, "bundle")
     return mine.join(paid.select("holder", "k", F.col("other").alias("dst"), "us", "txn_id", "amount"), ["holder", "k"])
 
 
@@ -83,6 +83,8 @@ def trace(e: DataFrame, txn_id=None, account=None, since_us: int | None = None,
     if txn_id is None and (account is None or since_us is None):
         raise ValueError("trace needs a txn_id, or an account and since_us")
     spark, staging = e.sparkSession, Staging(e.sparkSession, "taint")
+    e = staging.write(e.select("txn_id", "us", "src", "dst", "amount"))
+    small = is_small(e)
     if txn_id is not None:
         seed = e.where(F.col("txn_id") == F.lit(txn_id))
     else:
@@ -99,9 +101,9 @@ def trace(e: DataFrame, txn_id=None, account=None, since_us: int | None = None,
             rest = held.select("holder", F.col("d").alias("rest"))
             ends = rest if ends is None else ends.unionByName(rest)
             break
-        pool = staging.write(held.join(clean_pool(e, held), "bundle").withColumn("f", F.col("d") / (F.col("clean") + F.col("d"))))
+        pool = staging.write(held.join(clean_pool(e, held, small), "bundle").withColumn("f", F.col("d") / (F.col("clean") + F.col("d"))))
         order = W.partitionBy("bundle").orderBy("us", "txn_id")
-        spend = _spent_by(e, pool, staging)
+        spend = _spent_by(e, pool, staging, small)
         # A payment of nothing ends the spending.
         spend = spend.withColumn("stop", F.max((F.col("amount") <= 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("stop = 0")
         before = F.coalesce(F.sum("amount").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))

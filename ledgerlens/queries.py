@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from .config import DEFAULTS
 from .functions.scalars import amount_bucket, hashed_account, risk_band
-from .operators import adversary, evidence, federation, fingerprint, graph, hits, iforest, scoring, taint, velocity
+from .operators import adversary, evidence, federation, fingerprint, graph, hits, iforest, scan, scoring, taint, velocity
 from .operators.chains import detect_chains
 from .operators.cycles import detect_cycles
 from .operators.graph import path_text
@@ -277,7 +277,7 @@ def clean_pool_asof(spark, d):
     """Balance of the receivers of the 50 largest payments just as they arrive: an as-of aggregate."""
     e = events_ledger(spark, d)
     top = e.orderBy(F.desc("amount"), "txn_id").limit(50).select(F.col("txn_id").alias("bundle"), F.col("dst").alias("holder"), F.col("us").alias("at"), F.col("amount").alias("own"))
-    return taint.clean_pool(e, top).join(top, "bundle").select(F.col("bundle").alias("txn_id"), "holder", F.round("clean", 2).alias("clean"))
+    return taint.clean_pool(e, top, scan.is_small(e)).join(top, "bundle").select(F.col("bundle").alias("txn_id"), "holder", F.round("clean", 2).alias("clean"))
 
 
 @query(" SELECT account, substr(sha256(unhex(opad) || unhex(sha256(unhex(ipad) || encode(CAST(account AS VARCHAR))))), 1, 16) AS hashed_id, bucket FROM (SELECT account, max(amount) AS m, CASE WHEN max(amount) < 1000 THEN '<1k' WHEN max(amount) < 10000 THEN '1k-10k' WHEN max(amount) < 100000 THEN '10k-100k' ELSE '100k+' END AS bucket FROM act GROUP BY 1), (SELECT '" + "".join(f"{b ^ 0x36:02x}" for b in SALT.encode().ljust(64, b"\0")) + "' AS ipad, '" + "".join(f"{b ^ 0x5C:02x}" for b in SALT.encode().ljust(64, b"\0")) + "' AS opad)")
