@@ -1,4 +1,4 @@
-"""Temporal money cycles: bounded path growth by self-joins of narrow edges, closed by a two-key join."""
+"""Temporal money cycles: half paths from both ends over narrow edges, joined where they meet."""
 
 from __future__ import annotations
 
@@ -21,29 +21,48 @@ def detect_cycles(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
     key columns that separate ledgers searched at once (a bank, a scheme). Levels are
     written tables: a lost executor repeats one level, not the search.
 
-    A path meets the next payments of its last account in the two time slots, as long as
-    the window, that can hold them, and its closing ones by both ends; so a busy account
-    is dealt out over time. A path whose amount could not grow back to the wanted
-    retention in the hops that are left is not followed.
+    Loops meet in the middle: the first half grows from the origin on, the second one
+    from the closing payment backwards, each of half the payments at most (three of six),
+    and the halves are joined by both their ends and the time slot of the closing payment. A half meets the next payments of
+    its last account in the time slots, as long as the window, that can hold them, so a
+    busy account is dealt out over time; halves whose amounts rule out the wanted retention go.
     """
     part_ = list(part)
     staging = Staging(e.sparkSession, "cycles")
-    window = int(th.cycle_window_hours * HOUR)
+    window, growth, least = int(th.cycle_window_hours * HOUR), th.cycle_growth, th.cycle_min_retention
+    shade = max(1.0, growth) ** th.cycle_max_len * (1 + 1e-9)  # more than an amount can grow over a loop, for rounding too
     narrow = staging.write(induced(e, allowed, part_).where("src <> dst").select(*part_, "src", "dst", "us", "amount", "txn_id"))
     slot = lambda c: F.expr(f"{c} div {window + 1}")
-    step = narrow.select(*part_, F.col("src").alias("tail"), F.col("dst").alias("e_dst"), F.col("us").alias("e_us"), F.col("amount").alias("e_amount"), F.col("txn_id").alias("e_txn"))
-    onward, closing = step.withColumn("slot", slot("e_us")), step.withColumnRenamed("e_dst", "origin")
-    within = (F.col("e_us") >= F.col("t0")) & (F.col("e_us") - F.col("t0") <= window) & (F.col("e_amount") <= F.col("a") * th.cycle_growth)
-    paths = narrow.where("amount <> 0").select(*part_, F.array("src", "dst").alias("path"), F.col("src").alias("origin"), F.col("dst").alias("tail"), F.col("us").alias("t0"), F.col("us").alias("t"), F.col("amount").alias("a0"), F.col("amount").alias("a"), F.array("txn_id").alias("txns"))
-    open_ = paths
-    for size in range(2, th.cycle_max_len):
-        left = th.cycle_max_len - size  # hops that may follow, the closing one included; a shade less, for rounding
-        enough = F.col("e_amount") * max(1.0, th.cycle_growth) ** left >= F.col("a0") * th.cycle_min_retention * (1 - 1e-9)
-        met = paths.withColumn("slot", F.explode(F.array(slot("t0"), slot("t0") + 1))).join(onward, [*part_, "tail", "slot"]).where(within & enough)
-        grown = met.where((F.col("e_us") >= F.col("t")) & ~F.array_contains("path", F.col("e_dst")))
-        paths = staging.write(grown.select(*part_, F.concat("path", F.array("e_dst")).alias("path"), "origin", F.col("e_dst").alias("tail"), "t0", F.col("e_us").alias("t"), "a0", F.col("e_amount").alias("a"), F.concat("txns", F.array("e_txn")).alias("txns")))
-        open_ = open_.unionByName(paths)
-    closed = open_.join(closing, [*part_, "tail", "origin"]).where(within & (F.col("e_amount") / F.col("a0") >= th.cycle_min_retention))
+    met = [F.col("us").alias("e_us"), F.col("amount").alias("e_amount"), F.col("txn_id").alias("e_txn"), slot("us").alias("slot")]
+    onward = narrow.select(*part_, F.col("src").alias("mid"), F.col("dst").alias("e_dst"), *met)
+    inward = narrow.select(*part_, F.col("dst").alias("mid"), F.col("src").alias("e_src"), *met)
+
+    first = narrow.where("amount <> 0").select(*part_, F.col("src").alias("origin"), F.col("dst").alias("mid"), F.array("src", "dst").alias("path"), F.col("us").alias("t0"), F.col("us").alias("t"), F.col("amount").alias("a0"), F.col("amount").alias("a"), F.array("txn_id").alias("txns"))
+    firsts = [first]
+    for _ in range(1, (th.cycle_max_len + 1) // 2):
+        grown = firsts[-1].withColumn("slot", F.explode(F.array(slot("t0"), slot("t0") + 1))).join(onward, [*part_, "mid", "slot"])
+        fits = (F.col("e_us") >= F.col("t")) & (F.col("e_us") - F.col("t0") <= window) & (F.col("e_amount") <= F.col("a") * growth) & ~F.array_contains("path", F.col("e_dst")) & (F.col("e_amount") * shade >= F.col("a0") * least)
+        firsts.append(staging.write(grown.where(fits).select(*part_, "origin", F.col("e_dst").alias("mid"), F.concat("path", F.array("e_dst")).alias("path"), "t0", F.col("e_us").alias("t"), "a0", F.col("e_amount").alias("a"), F.concat("txns", F.array("e_txn")).alias("txns"))))
+
+    # ``f_us, f_amount`` are of the half's first payment, ``l_us`` is the time of its last one but the closing one.
+    closing = narrow.select(*part_, F.col("dst").alias("origin"), F.col("src").alias("mid"), F.array().cast(f"array<{narrow.schema['src'].dataType.simpleString()}>").alias("nodes"), F.lit(None).cast("long").alias("f_us"), F.lit(None).cast("long").alias("l_us"), F.col("amount").alias("f_amount"), F.col("us").alias("c_us"), F.col("amount").alias("c_amount"), F.array().cast(f"array<{narrow.schema['txn_id'].dataType.simpleString()}>").alias("after"), F.col("txn_id").alias("c_txn"))
+    seconds = [closing]
+    for _ in range(1, th.cycle_max_len // 2):
+        near = slot("coalesce(f_us, c_us)")
+        grown = seconds[-1].withColumn("slot", F.explode(F.array(near - 1, near, near + 1))).join(inward, [*part_, "mid", "slot"])
+        fits = (F.abs(F.col("c_us") - F.col("e_us")) <= window) & (F.col("f_us").isNull() | (F.col("e_us") <= F.col("f_us")) & (F.col("l_us") - F.col("e_us") <= window))
+        fits &= (F.col("f_amount") <= F.col("e_amount") * growth) & (F.col("e_amount") * least <= F.col("c_amount") * shade) & (F.col("e_src") != F.col("origin")) & ~F.array_contains("nodes", F.col("e_src"))
+        seconds.append(staging.write(grown.where(fits).select(*part_, "origin", F.col("e_src").alias("mid"), F.concat(F.array("mid"), "nodes").alias("nodes"), F.col("e_us").alias("f_us"), F.coalesce("l_us", "e_us").alias("l_us"), F.col("e_amount").alias("f_amount"), "c_us", "c_amount", F.concat(F.array("e_txn"), "after").alias("after"), "c_txn")))
+
+    closed: DataFrame | None = None
+    for payments in range(2, th.cycle_max_len + 1):
+        one = firsts[(payments + 1) // 2 - 1].withColumn("slot", F.explode(F.array(slot("t0"), slot("t0") + 1)))
+        two = seconds[payments // 2 - 1].withColumn("slot", slot("c_us"))
+        fits = (F.col("c_us") >= F.col("t0")) & (F.col("c_us") - F.col("t0") <= window) & (F.col("c_amount") / F.col("a0") >= least) & (F.col("f_amount") <= F.col("a") * growth)
+        fits &= F.col("f_us").isNull() | (F.col("f_us") >= F.col("t")) & (F.col("l_us") - F.col("t0") <= window)
+        pair = one.join(two, [*part_, "origin", "mid", "slot"]).where(fits & ~F.arrays_overlap("path", "nodes"))
+        loops = pair.select(*part_, F.concat("path", "nodes").alias("path"), F.concat("txns", "after").alias("txns"), "t0", "a0", F.col("c_us").alias("e_us"), F.col("c_amount").alias("e_amount"), F.col("c_txn").alias("e_txn"))
+        closed = loops if closed is None else closed.unionByName(loops)
     return staging.keep(cycle_hits(closed, part_))
 
 
