@@ -13,7 +13,7 @@ from .functions.scalars import taint_band
 from .operators import evidence, federation, graph, hits, iforest, taint
 from .operators.chains import detect_chains
 from .operators.graph import path_text
-from .plans import pipeline, views
+from .plans import cases, pipeline, views
 from .queries import _CHAINS, _CYCLES, _FP, _GRID, _LEDGER, _LOCAL, _SMURF, _VEL, ORACLES, SALT, TH, _seed, query
 from .sources.ledger import events_ledger, per_bank
 
@@ -276,7 +276,9 @@ oracle("evidence_verify", _FOREST_RINGS + _LINKS + " SELECT ring_id, TRUE AS val
 
 # -- taint -------------------------------------------------------------------
 # A bundle spends a payment's share until its money is used up; a payment of nothing ends it.
-_TAINT = """, seed AS (SELECT * FROM edges ORDER BY amount DESC, txn_id LIMIT 1),
+def _traces(seed: str, deepest: int = 4, least: float = 5.0) -> str:
+    """Tables ``tr``, ``rests`` and ``shown`` of the traces of the payments ``seed``."""
+    return f""", seed AS ({seed}),
 tr(bundle, parent, depth, txn_id, src, dst, us, amount, taint, fraction) AS (
   SELECT [txn_id], []::BIGINT[], 0, txn_id, src, dst, us, amount, amount, 1.0::DOUBLE FROM seed
   UNION ALL
@@ -288,13 +290,16 @@ tr(bundle, parent, depth, txn_id, src, dst, us, amount, taint, fraction) AS (
         FROM tr t
         LEFT JOIN (SELECT x.bundle, sum(CAST(y.amount AS DECIMAL(18,2))) AS s FROM tr x JOIN edges y ON y.dst = x.dst AND y.us <= x.us AND y.txn_id <> x.txn_id GROUP BY 1) i ON i.bundle = t.bundle
         LEFT JOIN (SELECT x.bundle, sum(CAST(y.amount AS DECIMAL(18,2))) AS s FROM tr x JOIN edges y ON y.src = x.dst AND y.us < x.us GROUP BY 1) o ON o.bundle = t.bundle
-        WHERE t.taint >= 5.0 AND t.depth < 4
+        WHERE t.taint >= {least} AND t.depth < {deepest}
       ) p JOIN edges e ON e.src = p.holder AND e.us >= p.at
     ) WHERE stop = 0
   ) WHERE portion > 1e-9
 ), rests AS (
-  SELECT t.dst AS holder, CASE WHEN t.depth = 4 THEN t.taint ELSE t.taint - coalesce(c.s, 0.0) END AS rest, t.depth FROM tr t LEFT JOIN (SELECT parent AS bundle, sum(taint) AS s FROM tr GROUP BY 1) c ON c.bundle = t.bundle WHERE t.taint >= 5.0
-), shown AS (SELECT bundle, depth, txn_id, src, dst, round(taint, 2) AS taint, round(fraction, 4) AS fraction FROM tr)"""
+  SELECT t.bundle[1] AS root, t.dst AS holder, CASE WHEN t.depth = {deepest} THEN t.taint ELSE t.taint - coalesce(c.s, 0.0) END AS rest, t.depth FROM tr t LEFT JOIN (SELECT parent AS bundle, sum(taint) AS s FROM tr GROUP BY 1) c ON c.bundle = t.bundle WHERE t.taint >= {least}
+), shown AS (SELECT bundle[1] AS root, bundle, depth, txn_id, src, dst, round(taint, 2) AS taint, round(fraction, 4) AS fraction FROM tr)"""
+
+
+_TAINT = _traces("SELECT * FROM edges ORDER BY amount DESC, txn_id LIMIT 1")
 oracle("taint_trace", _TAINT + " SELECT array_to_string(bundle, ',') AS bundle, depth, txn_id, src, dst, taint, fraction FROM shown")
 oracle("taint_terminals", _TAINT + " SELECT holder, round(sum(rest), 2) AS amount FROM rests WHERE depth = 4 OR rest > 1e-9 GROUP BY 1")
 oracle("taint_links", _TAINT + " SELECT depth, src, dst, round(sum(taint), 2) AS taint, count(*) AS n FROM shown GROUP BY 1, 2, 3")
@@ -308,6 +313,86 @@ def taint_bands(spark, d) -> DataFrame:
     return t.groupBy(taint_band(F.col("fraction")).alias("band")).agg(F.count("*").alias("n"))
 
 
+@query(_CHAINS + _traces("SELECT * FROM edges WHERE txn_id IN (SELECT txns[1] FROM chains)") + " SELECT root, array_to_string(bundle, ',') AS bundle, depth, txn_id, src, dst, taint, fraction FROM shown", recursive=True)
+def chain_traces(spark, d) -> DataFrame:
+    """The traces of the first payment of every chain, in one job."""
+    e = events_ledger(spark, d)
+    t = taint.trace_roots(e, detect_chains(e, None, TH).select(F.col("txn_ids")[0].alias("txn_id")), max_depth=4, min_taint=5.0).nodes
+    return t.select("root", path_text(F.col("bundle")).alias("bundle"), "depth", "txn_id", "src", "dst", "taint", "fraction")
+
+
+_SINCE = "(SELECT (min(us) + max(us)) // 2 FROM edges)"
+
+
+@query(_traces(f"SELECT * FROM edges WHERE us >= {_SINCE} QUALIFY row_number() OVER (PARTITION BY dst ORDER BY us, txn_id) = 1", 2) + " SELECT root, holder, round(sum(rest), 2) AS amount FROM rests WHERE depth = 2 OR rest > 1e-9 GROUP BY 1, 2", recursive=True)
+def account_traces(spark, d) -> DataFrame:
+    """Where the first inflow of every account in the second half of the time comes to rest, two payments on."""
+    e = events_ledger(spark, d)
+    since = e.agg(F.expr("(min(us) + max(us)) div 2")).first()[0] or 0
+    return taint.trace_roots(e, taint.first_inflows(e, since), max_depth=2, min_taint=5.0).terminals
+
+
+# -- case tables of all rings, by the largest payments' anomaly -------------------
+_MEMBERS = """, ring_member AS (
+  SELECT ring_id, account, min(pos) AS pos, any_value(CASE WHEN account = collector THEN 'collector' WHEN account = origin THEN 'origin' WHEN account = terminal THEN 'terminal' ELSE 'member' END) AS role
+  FROM (SELECT ring_id, collector, origin, terminal, unnest(accounts) AS account, unnest(range(len(accounts))) AS pos FROM rings) GROUP BY 1, 2
+), ring_payment AS (SELECT u.ring_id, e.*, row_number() OVER (PARTITION BY u.ring_id ORDER BY e.us, e.txn_id) AS n FROM (SELECT DISTINCT ring_id, unnest(txn_ids) AS txn_id FROM rings) u JOIN edges e USING (txn_id)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY pos) - 1 AS place FROM ring_member)"""
+
+
+@query(
+    _RINGS + _MEMBERS + """, next_to AS (
+  SELECT ring_id, account FROM (SELECT m.ring_id, e.dst AS account FROM ring_member m JOIN edges e ON e.src = m.account UNION SELECT m.ring_id, e.src FROM ring_member m JOIN edges e ON e.dst = m.account) x
+  WHERE account IN (SELECT account FROM scores) AND NOT EXISTS (SELECT 1 FROM ring_member m WHERE m.ring_id = x.ring_id AND m.account = x.account) QUALIFY row_number() OVER (PARTITION BY ring_id ORDER BY account) <= 12
+), node AS (SELECT ring_id, account, role FROM ring_member UNION ALL SELECT ring_id, account, 'neighbour' FROM next_to),
+seen AS (SELECT ring_id, account, min(us) AS first_us FROM (SELECT ring_id, src AS account, us FROM ring_payment UNION ALL SELECT ring_id, dst, us FROM ring_payment) GROUP BY 1, 2)
+SELECT n.ring_id, n.account, role, CAST(dense_rank() OVER (PARTITION BY n.ring_id ORDER BY first_us NULLS LAST) AS INTEGER) AS layer, coalesce(s.score, 0.0) AS score, (SELECT count(*) FROM act a WHERE a.account = n.account) AS degree
+FROM node n LEFT JOIN seen USING (ring_id, account) LEFT JOIN scores s ON s.account = n.account""",
+    recursive=True,
+)
+def case_nodes(spark, d) -> DataFrame:
+    """The graph of every ring: members, up to twelve neighbours each, roles and layers."""
+    det = _ranked(spark, d)
+    return cases.nodes(det, det.rings)
+
+
+@query(_RINGS + _MEMBERS + " SELECT ring_id, CAST(n AS INTEGER) AS n, txn_id, src, dst, amount FROM ring_payment WHERE n <= 35", recursive=True)
+def case_payments(spark, d) -> DataFrame:
+    """The first 35 payments of every ring."""
+    det = _ranked(spark, d)
+    return cases.payments(det, det.rings).select("ring_id", "n", "txn_id", "src", "dst", "amount")
+
+
+@query(
+    _RINGS + _MEMBERS + _VEL + """ SELECT ring_id, CAST(place AS INTEGER) AS pos, p.account, role, bank, score, CASE WHEN s.account IS NOT NULL THEN CAST(peak_burst_rate AS DOUBLE) END AS peak_burst_rate, round(CASE WHEN s.account IS NOT NULL THEN coalesce(CASE WHEN f.i > 0 THEN coalesce(f.o, 0) / f.i END, 0) END, 6) AS pass_through_ratio, rule
+FROM placed p LEFT JOIN bank_of USING (account) LEFT JOIN scores s USING (account) LEFT JOIN burst USING (account) LEFT JOIN flow f USING (account) LEFT JOIN verdict USING (account) WHERE place < 10""",
+    recursive=True,
+)
+def case_accounts(spark, d) -> DataFrame:
+    """The first ten accounts of every ring with score, velocity and verdict."""
+    det = _ranked(spark, d)
+    return cases.key_accounts(det, det.rings).select("ring_id", "pos", "account", "role", "bank", "score", "peak_burst_rate", F.round("pass_through_ratio", 6).alias("pass_through_ratio"), "rule")
+
+
+@query(
+    _RINGS + _MEMBERS + """ SELECT ring_id, CAST(place AS INTEGER) AS pos, account, CAST(k - 1 AS INTEGER) AS n, CASE WHEN len(reasons) = 0 THEN 'velocity outlier without a pattern' ELSE reasons[k] END AS reason
+FROM placed JOIN scores USING (account), (VALUES (1), (2)) t(k) WHERE place < 6 AND k <= greatest(1, len(reasons))""",
+    recursive=True,
+)
+def case_reasons(spark, d) -> DataFrame:
+    """Two reasons each of the first six accounts of every ring."""
+    det = _ranked(spark, d)
+    return cases.reasons(det, det.rings)
+
+
+@query(_RINGS + _traces("SELECT * FROM edges WHERE txn_id IN (SELECT txn_ids[1] FROM rings)") + " SELECT r.ring_id, array_to_string(bundle, ',') AS bundle, depth, txn_id, src, dst, taint, fraction FROM rings r JOIN shown ON root = r.txn_ids[1]", recursive=True)
+def case_traces(spark, d) -> DataFrame:
+    """The trace of every ring's first payment."""
+    det = _ranked(spark, d)
+    t = cases.traces(det, det.rings, 4, 5.0)
+    return t.select("ring_id", path_text(F.col("bundle")).alias("bundle"), "depth", "txn_id", "src", "dst", "taint", "fraction")
+
+
 # -- cross-bank cases ----------------------------------------------------------
 _PADS = "".join(f"{b ^ 0x36:02x}" for b in SALT.encode().ljust(64, b"\0")), "".join(f"{b ^ 0x5C:02x}" for b in SALT.encode().ljust(64, b"\0"))
 _LOCAL_HITS = (

@@ -82,23 +82,47 @@ def trace(e: DataFrame, txn_id=None, account=None, since_us: int | None = None,
     """
     if txn_id is None and (account is None or since_us is None):
         raise ValueError("trace needs a txn_id, or an account and since_us")
-    spark, staging = e.sparkSession, Staging(e.sparkSession, "taint")
-    e = staging.write(e.select("txn_id", "us", "src", "dst", "amount"))
-    small = is_small(e)
     if txn_id is not None:
         seed = e.where(F.col("txn_id") == F.lit(txn_id))
     else:
-        seed = e.where((F.col("dst") == F.lit(account)) & (F.col("us") >= since_us)).orderBy("us", "txn_id").limit(1)
-    root = seed.select(F.array(F.col("txn_id")).alias("bundle"), F.array().cast(f"array<{e.schema['txn_id'].dataType.simpleString()}>").alias("parent"), F.lit(0).alias("depth"), "txn_id", "src", "dst", "us", "amount", F.col("amount").alias("taint"), F.lit(1.0).alias("fraction"))
-    level = staging.write(root)
+        seed = first_inflows(e.where(F.col("dst") == F.lit(account)), since_us)
+    nodes, ends, lost = _follow(e, seed, max_depth, min_taint)
+    terminals = ends.groupBy("holder").agg(F.round(F.sum("rest"), 2).alias("amount")).orderBy(F.desc("amount"), "holder")
+    return Trace(nodes.drop("root"), terminals, lost.agg(F.coalesce(F.round(F.sum("d"), 2), F.lit(0.0)).alias("dropped")))
+
+
+def trace_roots(e: DataFrame, roots: DataFrame, max_depth: int = 6, min_taint: float = 1.0) -> Trace:
+    """The traces of all payments of ``roots(txn_id)`` in one job; nodes, terminals and dropped have the ``root`` they belong to.
+
+    A bundle is the path of payments from its root on, so the bundles, balances and numbered
+    payments of a level are shared by all roots, and roots never mix. Repeated roots are one,
+    unknown ones have no rows.
+    """
+    nodes, ends, lost = _follow(e, e.join(roots.select("txn_id").distinct(), "txn_id", "left_semi"), max_depth, min_taint)
+    terminals = ends.groupBy("root", "holder").agg(F.round(F.sum("rest"), 2).alias("amount"))
+    return Trace(nodes, terminals, lost.groupBy("root").agg(F.round(F.sum("d"), 2).alias("dropped")))
+
+
+def first_inflows(e: DataFrame, since_us: int) -> DataFrame:
+    """The first payment into each account from ``since_us`` on: the roots of traces by account."""
+    return e.where(F.col("us") >= since_us).groupBy("dst").agg(F.min(F.struct("us", "txn_id", "src", "amount")).alias("f")).select("f.txn_id", "f.us", "f.src", "dst", "f.amount")
+
+
+def _follow(e: DataFrame, seed: DataFrame, max_depth: int, min_taint: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``nodes``, what rests (``root, holder, rest``) and what is dropped (``root, d``) of the traces of all payments of ``seed``."""
+    staging = Staging(e.sparkSession, "taint")
+    e = staging.write(e.select("txn_id", "us", "src", "dst", "amount"))
+    small = is_small(e)
+    level = staging.write(seed.select(F.array(F.col("txn_id")).alias("bundle"), F.array().cast(f"array<{e.schema['txn_id'].dataType.simpleString()}>").alias("parent"), F.lit(0).alias("depth"), "txn_id", "src", "dst", "us", "amount", F.col("amount").alias("taint"), F.lit(1.0).alias("fraction")))
     nodes, ends, lost = level, None, None
+    root = F.col("bundle")[0].alias("root")
     for depth in range(max_depth + 1):
         held = level.select("bundle", F.col("dst").alias("holder"), F.col("us").alias("at"), F.col("amount").alias("own"), F.col("taint").alias("d"))
-        small = held.where(F.col("d") < min_taint)
-        lost = small.select("d") if lost is None else lost.unionByName(small.select("d"))
+        below = held.where(F.col("d") < min_taint).select(root, "d")
+        lost = below if lost is None else lost.unionByName(below)
         held = held.where(F.col("d") >= min_taint)
         if depth == max_depth:
-            rest = held.select("holder", F.col("d").alias("rest"))
+            rest = held.select(root, "holder", F.col("d").alias("rest"))
             ends = rest if ends is None else ends.unionByName(rest)
             break
         pool = staging.write(held.join(clean_pool(e, held, small), "bundle").withColumn("f", F.col("d") / (F.col("clean") + F.col("d"))))
@@ -111,15 +135,13 @@ def trace(e: DataFrame, txn_id=None, account=None, since_us: int | None = None,
         child = spend.withColumn("portion", portion).where(F.col("portion") > _DUST)
         level = staging.write(child.select(F.concat("bundle", F.array("txn_id")).alias("bundle"), F.col("bundle").alias("parent"), F.lit(depth + 1).alias("depth"), "txn_id", F.col("holder").alias("src"), "dst", "us", "amount", F.col("portion").alias("taint"), (F.col("portion") / F.col("amount")).alias("fraction")))
         spent = level.groupBy(F.col("parent").alias("bundle")).agg(F.sum("taint").alias("s"))
-        rest = held.join(spent, "bundle", "left").select("holder", (F.col("d") - F.coalesce("s", F.lit(0.0))).alias("rest")).where(F.col("rest") > _DUST)
+        rest = held.join(spent, "bundle", "left").select(root, "holder", (F.col("d") - F.coalesce("s", F.lit(0.0))).alias("rest")).where(F.col("rest") > _DUST)
         ends = rest if ends is None else ends.unionByName(rest)
         nodes = nodes.unionByName(level)
-        if not level.limit(1).count():
+        if level.isEmpty():
             break
-    shown = nodes.select("bundle", "parent", "depth", "txn_id", "src", "dst", "us", F.round("amount", 2).alias("amount"), F.round("taint", 2).alias("taint"), F.round("fraction", 4).alias("fraction")).orderBy("depth", "us", "bundle")
-    terminals = ends.groupBy("holder").agg(F.round(F.sum("rest"), 2).alias("amount")).orderBy(F.desc("amount"), "holder")
-    dropped = (lost if lost is not None else spark.createDataFrame([], "d double")).agg(F.coalesce(F.round(F.sum("d"), 2), F.lit(0.0)).alias("dropped"))
-    return Trace(shown, terminals, dropped)
+    shown = nodes.select(root, "bundle", "parent", "depth", "txn_id", "src", "dst", "us", F.round("amount", 2).alias("amount"), F.round("taint", 2).alias("taint"), F.round("fraction", 4).alias("fraction")).orderBy("root", "depth", "us", "bundle")
+    return shown, ends, lost
 
 
 def totals(t: Trace) -> DataFrame:

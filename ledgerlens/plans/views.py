@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import risk_band
 from ..operators import evidence, graph, taint, velocity
+from . import cases
 from .pipeline import Detection
 
 
@@ -62,14 +63,8 @@ def ring_edges(d: Detection, ring_id: str) -> DataFrame:
 
 
 def ring_nodes(d: Detection, ring_id: str) -> DataFrame:
-    """Members and up to 12 flagged neighbours, with score, degree, role and time layer (dense rank of first payment in the ring)."""
-    members = _ring(d, ring_id).select(F.explode("accounts").alias("account"), "collector", "origin", "terminal")
-    role = F.when(F.col("account") == F.col("collector"), "collector").when(F.col("account") == F.col("origin"), "origin").when(F.col("account") == F.col("terminal"), "terminal").otherwise("member")
-    near = graph.neighbours(d.edges, members, d.scores).select("account", F.lit("neighbour").alias("role"))
-    nodes = members.select("account", role.alias("role")).unionByName(near)
-    seen = graph.endpoints(ring_edges(d, ring_id)).groupBy("account").agg(F.min("us").alias("first_us"))
-    laid = nodes.join(seen, "account", "left").withColumn("layer", F.dense_rank().over(W.orderBy(F.col("first_us").asc_nulls_last())))  # a ring's nodes
-    return laid.join(d.scores.select("account", "score"), "account", "left").join(graph.degrees(d.edges), "account", "left").select("account", "role", "layer", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    """One ring's graph: members and up to 12 flagged neighbours, with score, degree, role and time layer."""
+    return cases.nodes(d, _ring(d, ring_id)).drop("ring_id")
 
 
 def account_detail(d: Detection, account) -> DataFrame:
@@ -98,19 +93,14 @@ def verify_ring(d: Detection, ring_id: str, exported_hash: str | None = None) ->
 def dossier(d: Detection, ring_id: str) -> dict[str, DataFrame]:
     """Sections of a case file: story, payments (35), key accounts (10), reasons (two each of 6), chain, trace of the first payment."""
     ring = _ring(d, ring_id)
-    first = ring.select(F.col("txn_ids")[0].alias("t")).first()
-    ids = ring.select(F.explode("accounts").alias("account"))
-    scored = d.scores.join(ids, "account", "left_semi").orderBy(F.desc("score"), "account")
-    out = {
+    return {
         "story": evidence.case_story(ring),
-        "transactions": evidence.ring_transactions(d.edges, ring, 35),
-        "accounts": d.verdicts.join(ids, "account", "left_semi").orderBy("account").limit(10),
-        "reasons": scored.limit(6).select("account", "score", F.slice("reasons", 1, 2).alias("reasons")),
+        "transactions": cases.payments(d, ring).drop("ring_id").orderBy("n"),
+        "accounts": cases.key_accounts(d, ring).drop("ring_id").orderBy("pos"),
+        "reasons": cases.reasons(d, ring).drop("ring_id").orderBy("pos", "n"),
         "chain": evidence.chain(evidence.records(ring, d.edges)),
+        "trace": cases.traces(d, ring).drop("ring_id"),
     }
-    if first:
-        out["trace"] = taint.trace(d.edges, txn_id=first.t, max_depth=4, min_taint=100.0).nodes
-    return out
 
 
 def dossier_markdown(d: Detection, ring_id: str) -> str:
