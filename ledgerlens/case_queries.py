@@ -6,6 +6,8 @@ anomaly; the others the isolation forest's, which SQL grows from the same hashes
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .functions.scalars import taint_band
 from .operators import evidence, federation, graph, hits, iforest, taint
 from .operators.chains import detect_chains
 from .operators.graph import path_text
-from .plans import cases, pipeline, views
+from .plans import benchmark, cases, pipeline, views
 from .queries import _CHAINS, _CYCLES, _FP, _GRID, _LEDGER, _LOCAL, _SMURF, _VEL, ORACLES, SALT, TH, _seed, query
 from .sources.ledger import events_ledger, per_bank
 
@@ -563,3 +565,80 @@ oracle(
     _FOUND + """, f AS (SELECT * FROM frontier WHERE scheme_id > 0), r AS (SELECT scheme_id, CAST(row_number() OVER (ORDER BY friction, scheme_id) AS INTEGER) AS cheapest FROM f WHERE NOT detected QUALIFY cheapest <= 6)
 SELECT scheme_id, friction, round(avg(CASE WHEN detected THEN 1 ELSE 0 END) OVER (ORDER BY friction, scheme_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS rate, cheapest FROM f LEFT JOIN r USING (scheme_id)""",
 )
+
+
+# -- whole runs keyed by run: the ledger without each of its kinds of payment in turn ----
+_RUN_LEDGER = (
+    _LEDGER.split("), act AS")[0].replace("edges AS", "all_edges AS")
+    + """), edges AS (
+  SELECT run || '|' || txn_id AS txn_id, ts, us, run || '|' || src AS src, run || '|' || dst AS dst, amount, channel, bank_src, bank_dst
+  FROM all_edges, (SELECT DISTINCT 'no ' || channel AS run, channel AS left_out FROM all_edges) WHERE channel <> left_out
+), act AS"""
+    + _LEDGER.split("), act AS")[1]
+)
+
+
+def _text(sql: str) -> str:
+    """The same for accounts that are text."""
+    return sql.replace("NULL::BIGINT AS terminal, NULL::BIGINT AS collector, NULL::BIGINT[] AS depositors", "NULL::VARCHAR AS terminal, NULL::VARCHAR AS collector, NULL::VARCHAR[] AS depositors").replace("[]::BIGINT[][]", "[]::VARCHAR[][]")
+
+
+_SUB_RUNS = (
+    _FP
+    + ", suspects AS MATERIALIZED (SELECT account FROM verdict WHERE rule <> 'steady'), sub AS MATERIALIZED (SELECT * FROM edges WHERE src IN (SELECT account FROM suspects) AND dst IN (SELECT account FROM suspects))"
+    + _CHAINS.replace("edges", "all_edges").replace("chain_paths", "whole_paths").replace("chains AS", "whole AS")
+    + ", truth AS (SELECT run, run || '|mule_chain' AS type, path_text AS t, list_transform(names, lambda x : run || '|' || x) AS ta FROM (SELECT array_to_string(path, '-') AS path_text, list_distinct(path) AS names FROM whole), (SELECT DISTINCT 'no ' || channel AS run FROM all_edges))"
+)
+
+
+def _judged(phase: str, table: str) -> str:
+    """``{phase}_quality(run, tp, nd, nt)`` of the chains that are found in ``table``."""
+    kept = _text(_KEPT)
+    sql = _CHAINS.replace("FROM edges", f"FROM {table}").replace("JOIN edges", f"JOIN {table}") + """, hits AS (
+  SELECT 'mule_chain' AS type, path AS accounts, txns AS txn_ids, t0 AS start_us, NULL::BIGINT AS n_deposits, substr(sha256('mule_chain|' || array_to_string(txns, ',')), 1, 16) AS hit_id FROM chains)""" + kept
+    sql += """, det AS (SELECT split_part(accounts[1], '|', 1) AS run, printf('CHAIN-%02d', dedup_rank) AS d, list_distinct(accounts) AS da FROM kept),
+overlap AS (SELECT truth.run, t, d, len(list_intersect(ta, da)) AS n, len(ta) AS nt, len(da) AS nd FROM truth JOIN det ON truth.run = det.run AND list_has_any(ta, da)),
+cand AS (SELECT run, t, d, greatest(n / (nt + nd - n), CASE WHEN n = nd AND nd >= 2 THEN 0.5 ELSE 0.0 END) AS weight FROM overlap WHERE n / (nt + nd - n) >= 0.5 OR (n = nd AND nd >= 2)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY weight DESC, t DESC, d DESC) AS k FROM cand),
+match(run, k, ts, ds, took) AS (
+  SELECT DISTINCT run, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], FALSE FROM cand
+  UNION ALL
+  SELECT run, k, CASE WHEN free THEN list_append(ts, t) ELSE ts END, CASE WHEN free THEN list_append(ds, d) ELSE ds END, free FROM (
+    SELECT r.run, r.k, m.ts, m.ds, r.t, r.d, NOT list_contains(m.ts, r.t) AND NOT list_contains(m.ds, r.d) AS free FROM match m JOIN turn r ON r.run = m.run AND r.k = m.k + 1)
+), quality AS (SELECT run, (SELECT count(*) FROM match m WHERE m.run = x.run AND took) AS tp, (SELECT count(*) FROM det WHERE det.run = x.run) AS nd, count(*) AS nt FROM truth x GROUP BY run)"""
+    for name in ("chain_paths", "chains", "hits", "ranked", "greedy", "kept", "det", "overlap", "cand", "turn", "match", "quality"):
+        sql = re.sub(rf"\b{name}\b(?![|'])", f"{phase}_{name}", sql)
+    return sql
+
+
+_QUALITY = _SUB_RUNS + _judged("filtered", "sub") + _judged("unfiltered", "edges") + """, run_quality AS (
+  SELECT run, phase, tp, nd - tp AS fp, nt - tp AS fn, round(CASE WHEN nd > 0 THEN tp / nd ELSE 0.0 END, 3) AS precision, round(CASE WHEN nt > 0 THEN tp / nt ELSE 0.0 END, 3) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / nd) * (tp / nt) / (tp / nd + tp / nt) ELSE 0.0 END, 3) AS f1
+  FROM (SELECT 'filtered' AS phase, * FROM filtered_quality UNION ALL SELECT 'unfiltered', * FROM unfiltered_quality))"""
+
+
+def _runs(spark, d) -> DataFrame:
+    """The ledger without each kind of payment in turn, judged by the chains of the whole ledger; one job for all."""
+    e = events_ledger(spark, d)
+    kinds = e.select("channel").distinct().select(F.concat(F.lit("no "), "channel").alias("run"), F.col("channel").alias("left_out"))
+    runs = e.join(kinds, F.col("channel") != F.col("left_out")).drop("left_out")
+    whole = detect_chains(e, None, TH).select("type", path_text(F.col("accounts"), "-").alias("ring_id"), F.array_distinct("accounts").alias("truth_accounts"))
+    truth = whole.join(kinds.select("run"), how="cross")  # a row a run
+    return benchmark.judge_runs(runs, truth, None, TH).quality.where("type = 'mule_chain'")
+
+
+@query()
+def run_quality(spark, d) -> DataFrame:
+    """Quality of the chains found in each of these ledgers, with and without the benign filter."""
+    return _runs(spark, d).select("run", "phase", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+@query()
+def run_rollup(spark, d) -> DataFrame:
+    """Mean and deviation of that quality over the runs, by phase and pooled."""
+    out = benchmark.aggregate(_runs(spark, d).select(F.col("phase").alias("noise"), "type", "precision", "recall", "f1"))
+    return out.select(F.coalesce("noise", F.lit("all")).alias("phase"), *[F.round(c, 6).alias(c) for c in out.columns if c.endswith(("_mean", "_std"))], "runs")
+
+
+ORACLES["run_quality"] = f"WITH RECURSIVE {_RUN_LEDGER}{_QUALITY} SELECT run, phase, tp, fp, fn, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1 FROM run_quality"
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_std" for c in ("precision", "recall", "f1"))
+ORACLES["run_rollup"] = f"WITH RECURSIVE {_RUN_LEDGER}{_QUALITY} SELECT coalesce(phase, 'all') AS phase, {_MEANS}, count(*) AS runs FROM run_quality GROUP BY GROUPING SETS ((phase), ())"

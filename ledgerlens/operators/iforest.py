@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import draw
 from ..session import Staging
+from .scan import is_small, running
 
 FEATURES = ("txn_count", "txns_per_hour", "peak_burst_rate", "pass_through_ratio", "median_hold_min", "amount_mean", "amount_max")
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -57,53 +58,83 @@ def _features() -> list[Column]:
     return [F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c) for c in FEATURES]
 
 
-def forest(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def average_path_of(n: Column) -> Column:
+    """``average_path`` of a column of counts."""
+    mean = F.round(UNIT * (2 * (F.log(n - 1) + _EULER) - 2 * (n - 1) / n)).cast("long")
+    return F.when(n <= 1, 0).when(n == 2, UNIT).otherwise(mean)
+
+
+def forest(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, part: tuple[str, ...] = ()) -> DataFrame:
     """``NODES`` of all trees; no rows without accounts. Features are rounded to six places, null ones are 0.
 
     A pool of trees x sample accounts, those of least hash, is the most that any tree can
     see; each tree takes the ``sample`` of it that have the least hash with its number.
+    ``part`` names text columns that have a forest each (a run).
     """
-    name = F.col("account").cast("string")
-    pool = features.select("account", *_features()).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), name)), "account").limit(trees * sample)
+    name, part_ = F.col("account").cast("string"), list(part)
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), name)), F.col("account")]
+    rows = features.select(*part_, "account", *_features())
+    if part_:
+        pool = rows.withColumn("place", F.row_number().over(W.partitionBy(*part_).orderBy(*order))).where(F.col("place") <= trees * sample).drop("place")
+    else:
+        pool = rows.orderBy(*order).limit(trees * sample)
     dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    turn = F.row_number().over(W.partitionBy("tree").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), name)), "account"))
+    turn = F.row_number().over(W.partitionBy(*part_, "tree").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), name)), "account"))
     taken = dealt.withColumn("turn", turn).where(F.col("turn") <= sample)
 
     def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = grow(pdf[list(FEATURES)].to_numpy(float), int(key[0]), seed)
-        return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")]).astype({c: "Int64" for c in ("left", "right", "length")})
+        nodes = grow(pdf[list(FEATURES)].to_numpy(float), int(key[-1]), seed)
+        out = pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")]).astype({c: "Int64" for c in ("left", "right", "length")})
+        return out.assign(**dict(zip(part_, key)))[[*part_, *out.columns]]
+
+    schema = ", ".join([*[f"{c} string" for c in part_], NODES])
+    return taken.select(*part_, "tree", *FEATURES).groupBy(*part_, "tree").applyInPandas(one_tree, schema)
+
 
-    return taken.select("tree", *FEATURES).groupBy("tree").applyInPandas(one_tree, NODES)
+#: Nodes that are sent to every task at once; more are joined by their keys.
+SENT_NODES = 1 << 21
 
 
-def path_lengths(features: DataFrame, nodes: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
-    """``account, path``: the sum of each account's path lengths over all trees, in units of 1 / UNIT.
+def path_lengths(features: DataFrame, nodes: DataFrame, trees: int = TREES, sample: int = SAMPLE, part: tuple[str, ...] = ()) -> DataFrame:
+    """``account, path`` (and ``part``): the sum of each account's path lengths over all trees, in units of 1 / UNIT.
 
-    ``nodes`` has at most trees x 2^(levels + 1) rows, which bounds what is broadcast.
+    One forest has at most trees x 2^(levels + 1) nodes, which bounds what is broadcast; of
+    a forest a part they are counted first.
     """
-    inner = nodes.select("tree", "node", "feature", "cut", "left", "right")
-    at = features.select("account", F.array(*_features()).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1))
+    part_ = list(part)
+    send = F.broadcast if not part_ or nodes.count() <= SENT_NODES else lambda df: df
+    inner = send(nodes.select(*part_, "tree", "node", "feature", "cut", "left", "right"))
+    at = features.select(*part_, "account", F.array(*_features()).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1))
     for _ in range(ceil(log2(max(sample, 2)))):
-        at = at.join(F.broadcast(inner), ["tree", "node"])
+        at = at.join(inner, [*part_, "tree", "node"])
         down = F.when(F.get("x", F.col("feature")) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
-        at = at.select("account", "x", "tree", F.when(F.col("feature") < 0, F.col("node")).otherwise(down).alias("node"))
-    return at.join(F.broadcast(nodes.select("tree", "node", "length")), ["tree", "node"]).groupBy("account").agg(F.sum("length").alias("path"))
+        at = at.select(*part_, "account", "x", "tree", F.when(F.col("feature") < 0, F.col("node")).otherwise(down).alias("node"))
+    return at.join(send(nodes.select(*part_, "tree", "node", "length")), [*part_, "tree", "node"]).groupBy(*part_, "account").agg(F.sum("length").alias("path"))
 
 
-def anomaly(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``account, raw``: 2^(-mean path / mean path of a whole sample); higher is more anomalous. No accounts: no rows."""
-    nodes = Staging(features.sparkSession, "forest").write(forest(features, trees, sample, seed))
-    root = nodes.where("tree = 0 and node = 1").select("members").first()
-    scale = (average_path(root[0]) if root else 0) or UNIT
-    return path_lengths(features, nodes, trees, sample).select("account", F.pow(F.lit(2.0), -F.col("path") / float(trees * scale)).alias("raw"))
+def anomaly(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, part: tuple[str, ...] = ()) -> DataFrame:
+    """``account, raw`` (and ``part``): 2^(-mean path / mean path of a whole sample); higher is more anomalous. No accounts: no rows."""
+    part_ = list(part)
+    nodes = Staging(features.sparkSession, "forest").write(forest(features, trees, sample, seed, part))
+    scale = average_path_of(F.col("members"))
+    root = nodes.where("tree = 0 and node = 1").select(*part_, F.when(scale == 0, UNIT).otherwise(scale).alias("scale"))  # one row a forest
+    paths = path_lengths(features, nodes, trees, sample, part)
+    both = paths.join(root, part_) if part_ else paths.crossJoin(F.broadcast(root))
+    return both.select(*part_, "account", F.pow(F.lit(2.0), -F.col("path") / (F.lit(float(trees)) * F.col("scale"))).alias("raw"))
 
 
-def percentile_rank(raw: DataFrame, value: str = "raw", key: str = "account") -> DataFrame:
-    """``key, anomaly``: 100 x rank / (n - 1), rank by (value, key) from 0.
+def percentile_rank(raw: DataFrame, value: str = "raw", key: str = "account", part: tuple[str, ...] = ()) -> DataFrame:
+    """``key, anomaly`` (and ``part``): 100 x rank / (n - 1), rank by (value, key) from 0.
 
     A global rank without a single-task window: rows are range-partitioned by value,
     counted per partition, and ranked inside it after the counts before it (one small row each).
     """
+    part_ = list(part)
+    if part_:
+        rows = Staging(raw.sparkSession, "ranks").write(raw.select(*part_, key, value))
+        n = rows.groupBy(*part_).agg(F.count("*").alias("n"))
+        ranked = running(rows, part_, [value, key], {"rank": ("sum", F.lit(1))}, plain=is_small(rows)).join(n, part_)
+        return ranked.select(*part_, key, (100.0 * (F.col("rank") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("anomaly"))
     staged = Staging(raw.sparkSession, "ranks").write(raw.select(key, value).repartitionByRange(value, key).withColumn("p", F.spark_partition_id()))
     counts = staged.groupBy("p").agg(F.count("*").alias("n"))  # a row per partition
     before = counts.select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("total"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Thresholds
 from ..operators import adversary, fingerprint, graph
-from ..operators.hits import account_prf, all_hits, dedup_hits, prf
+from ..operators.hits import all_hits, decoy_alarms, dedup_hits, prf
 from ..session import Staging
 from .datagen import PER_BANK, generate
 from .pipeline import detect
@@ -19,26 +23,97 @@ def truth_frame(spark: SparkSession, truth: dict) -> DataFrame:
     return spark.createDataFrame(rows, "type string, ring_id string, truth_accounts array<string>")
 
 
-def run_one(spark: SparkSession, seed: int, noise: float, per_bank: int = PER_BANK) -> DataFrame:
-    """``seed, noise, type, precision, recall, f1``; type ``accounts`` is of accounts at the score cutoff, ``accounts_without_forest`` with every anomaly at 50."""
-    edges, truth = generate(spark, seed, noise, per_bank)
-    d, t = detect(edges), truth_frame(spark, truth)
-    known = t.select(F.explode("truth_accounts").alias("account")).distinct()
+_SEP = "|"
+
+
+def in_runs(e: DataFrame) -> DataFrame:
+    """Ledgers keyed by ``run`` as one: accounts and payments get their run's name in front, so runs share neither.
+
+    Paths, histories, containment and matches all meet by accounts, so whatever the engine
+    finds in this one ledger it finds in each run alone, in one job.
+    """
+    inside = lambda c: F.concat("run", F.lit(_SEP), F.col(c).cast("string")).alias(c)
+    return e.select(inside("txn_id"), "ts", "us", inside("src"), inside("dst"), "amount", "bank_src", "bank_dst", "channel")
+
+
+def run_of(account: Column) -> Column:
+    return F.substring_index(account, _SEP, 1)
+
+
+def _typed(run: Column) -> Column:
+    return F.concat(run, F.lit(_SEP), F.col("type"))
+
+
+@dataclass
+class Judged:
+    """``quality``: ``run, phase, type, tp, fp, fn, precision, recall, f1``; ``counts``: a row a run."""
+
+    quality: DataFrame
+    counts: DataFrame
+
+
+def judge_runs(e: DataFrame, truth: DataFrame, decoys: DataFrame | None = None, th: Thresholds = DEFAULTS) -> Judged:
+    """The whole run, with its ablations, over ledgers keyed by ``run``: one job, however many they are.
+
+    ``truth(run, type, ring_id, truth_accounts)``, ``decoys(run, account, label)``. Phases: ``filtered`` and
+    ``unfiltered`` (hits of all accounts) by ring type; ``scored`` and ``without_forest``
+    (every anomaly at 50) of the accounts at the score cutoff.
+    """
+    d = detect(in_runs(e), th, run=run_of(F.col("account")))
+    first, named = run_of(F.col("accounts")[0]), F.format_string("%s-%02d", F.upper(F.element_at(F.split("type", "_"), -1)), F.col("dedup_rank"))
+    inside = lambda c: F.transform(c, lambda x: F.concat("run", F.lit(_SEP), x.cast("string")))
+    known = truth.select(_typed(F.col("run")).alias("type"), "ring_id", inside("truth_accounts").alias("truth_accounts"))
+    found = {"filtered": d.hits, "unfiltered": dedup_hits(all_hits(d.edges, None, th))}
+    parts = []
+    for phase, hits in found.items():
+        q = prf(hits.select(_typed(first).alias("type"), named.alias("ring_id"), "accounts"), known)
+        parts.append(q.select(F.substring_index("type", _SEP, 1).alias("run"), F.lit(phase).alias("phase"), F.substring_index("type", _SEP, -1).alias("type"), "tp", "fp", "fn", "precision", "recall", "f1"))
+    guilty = known.select(F.explode("truth_accounts").alias("account")).distinct()
     flat = 0.6 * F.col("pattern_score") + 0.4 * 50
-    parts = [
-        prf(d.rings, t).select("type", "precision", "recall", "f1"),
-        account_prf(d.scores.where(F.col("score") >= CUTOFF), known).select(F.lit("accounts").alias("type"), "precision", "recall", "f1"),
-        account_prf(d.scores.where(flat >= CUTOFF), known).select(F.lit("accounts_without_forest").alias("type"), "precision", "recall", "f1"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(F.lit(seed).alias("seed"), F.lit(noise).alias("noise"), "*")
+    for phase, flagged in (("scored", F.col("score") >= CUTOFF), ("without_forest", flat >= CUTOFF)):
+        q = _account_quality(d.scores.where(flagged), guilty)
+        parts.append(q.select("run", F.lit(phase).alias("phase"), F.lit("accounts").alias("type"), "tp", "fp", "fn", "precision", "recall", "f1"))
+    quality = Staging(e.sparkSession, "judged").write(reduce(DataFrame.unionByName, parts))
+    n = lambda df, run, name: df.groupBy(run.alias("run")).agg(F.count("*").alias(name))
+    counts = [n(e, F.col("run"), "payments"), n(d.scores, run_of(F.col("account")), "suspects"), n(known, F.substring_index("type", _SEP, 1), "rings_in_truth"), n(d.hits, first, "rings_flagged")]
+    counts.append(quality.where("phase = 'filtered'").groupBy("run").agg(F.sum("tp").alias("rings_found")))
+    if decoys is not None:
+        alike = decoys.select(F.concat("run", F.lit(_SEP), F.col("account").cast("string")).alias("account"), "label")
+        for phase, hits in found.items():
+            counts.append(decoy_alarms(alike, hits).groupBy(run_of(F.col("account")).alias("run")).agg(F.count_if("flagged").alias(f"look_alikes_{phase}")))
+    return Judged(quality, reduce(lambda a, b: a.join(b, "run", "left"), counts).na.fill(0))
+
+
+def _account_quality(flagged: DataFrame, guilty: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of two sets of accounts, run by run."""
+    b = flagged.select("account", F.lit(1).alias("f")).distinct().join(guilty.select("account", F.lit(1).alias("t")).distinct(), "account", "full")
+    tp, nf, nt = F.count_if((F.col("f") == 1) & (F.col("t") == 1)), F.count("f"), F.count("t")
+    q = b.groupBy(run_of(F.col("account")).alias("run")).agg(tp.alias("tp"), (nf - tp).alias("fp"), (nt - tp).alias("fn"))
+    p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
+    return q.select("*", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.when(F.col("tp") > 0, F.round(2 * p * r / (p + r), 3)).otherwise(0.0).alias("f1"))
+
+
+def run_grid(spark: SparkSession, seeds: list[int], noises: list[float], per_bank: int = PER_BANK) -> Judged:
+    """Every seed at every noise level: ledgers are made one after another, and judged in one job. ``seed`` and ``noise`` are columns of both tables."""
+    staging, ledgers, truths, decoys, names = Staging(spark, "benchmark"), [], [], [], []
+    for seed in seeds:
+        for noise in noises:
+            made, truth = generate(spark, seed, noise, per_bank)
+            run = F.lit(f"{seed}-{noise}").alias("run")
+            ledgers.append(staging.write(made.select(run, "*")))
+            truths.append(truth_frame(spark, truth).select(run, "*"))
+            decoys.append(spark.createDataFrame([(x["account"], x["label"]) for x in truth["decoys"]], "account string, label string").select(run, "*"))
+            names.append((f"{seed}-{noise}", seed, float(noise)))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    j = judge_runs(union(ledgers), union(truths), union(decoys))
+    table = spark.createDataFrame(names, "run string, seed int, noise double")
+    return Judged(j.quality.join(F.broadcast(table), "run"), j.counts.join(F.broadcast(table), "run"))  # a row a run
 
 
-def run_without_filter(spark: SparkSession, seed: int, noise: float, per_bank: int = PER_BANK) -> DataFrame:
-    """As ``run_one``, of hits over all accounts: what the benign filter is worth."""
-    made, truth = generate(spark, seed, noise, per_bank)
-    found = dedup_hits(all_hits(made)).withColumn("ring_id", F.concat_ws(":", "type", F.col("dedup_rank").cast("string")))
-    quality = prf(found, truth_frame(spark, truth)).select(F.concat("type", F.lit(" without filter")).alias("type"), "precision", "recall", "f1")
-    return quality.select(F.lit(seed).alias("seed"), F.lit(noise).alias("noise"), "*")
+def run_one(spark: SparkSession, seed: int, noise: float, per_bank: int = PER_BANK) -> DataFrame:
+    """``seed, noise, type, precision, recall, f1`` of one generated ledger; type ``accounts`` is of accounts at the score cutoff, ``accounts_without_forest`` with every anomaly at 50."""
+    q = run_grid(spark, [seed], [noise], per_bank).quality.where("phase <> 'unfiltered'")
+    return q.select("seed", "noise", F.when(F.col("phase") == "without_forest", "accounts_without_forest").otherwise(F.col("type")).alias("type"), "precision", "recall", "f1")
 
 
 def run_friction(spark: SparkSession, seed: int, noise: float, per_bank: int = PER_BANK, most: int | None = None) -> dict:
@@ -52,16 +127,6 @@ def run_friction(spark: SparkSession, seed: int, noise: float, per_bank: int = P
     return {"seed": seed, "noise": noise, "source": source, "target": target, "baseline_detected": r.baseline_detected, "friction_before": r.friction_before, "friction_after": r.friction_after}
 
 
-def run_grid(spark: SparkSession, seeds: list[int], noises: list[float], per_bank: int = PER_BANK) -> DataFrame:
-    """Every seed at every noise level, with and without the filter; each run is written before the next."""
-    staging, out = Staging(spark, "benchmark"), None
-    for seed in seeds:
-        for noise in noises:
-            one = staging.write(run_one(spark, seed, noise, per_bank).unionByName(run_without_filter(spark, seed, noise, per_bank)))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
 def aggregate(runs: DataFrame) -> DataFrame:
     """Mean and sample deviation by noise and type, and pooled over noise (null): grouping sets; one run has deviation 0."""
     value = [f(F.col(c)).alias(f"{c}_{n}") for c in ("precision", "recall", "f1") for n, f in (("mean", F.avg), ("std", lambda x: F.coalesce(F.stddev_samp(x), F.lit(0.0))))]

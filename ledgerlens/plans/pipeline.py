@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
@@ -25,8 +25,12 @@ class Detection:
     rings: DataFrame
 
 
-def detect(edges: DataFrame, th: Thresholds = DEFAULTS, anomaly: DataFrame | None = None) -> Detection:
-    """``anomaly(account, anomaly)`` replaces the isolation forest's percentiles where given."""
+def detect(edges: DataFrame, th: Thresholds = DEFAULTS, anomaly: DataFrame | None = None, run: Column | None = None) -> Detection:
+    """``anomaly(account, anomaly)`` replaces the isolation forest's percentiles where given.
+
+    ``run``: of an account its ledger, where ``edges`` holds several that share no account (see
+    ``benchmark.in_runs``); each has a forest and percentiles of its own. All else follows from that.
+    """
     staging = Staging(edges.sparkSession, "detection")
     e = staging.write(edges)
     verdicts = staging.write(fingerprint.verdicts(fingerprint.fingerprints(e), th))
@@ -36,7 +40,12 @@ def detect(edges: DataFrame, th: Thresholds = DEFAULTS, anomaly: DataFrame | Non
         lambda: staging.write(velocity.velocity_features(e).join(suspects, "account", "left_semi")),
         lambda: staging.write(graph.accounts(e)),
     )
-    ranks = anomaly if anomaly is not None else iforest.percentile_rank(iforest.anomaly(features))
+    if anomaly is not None:
+        ranks = anomaly
+    elif run is not None:
+        ranks = iforest.percentile_rank(iforest.anomaly(features.withColumn("run", run), part=("run",)), part=("run",)).drop("run")
+    else:
+        ranks = iforest.percentile_rank(iforest.anomaly(features))
     scores = staging.write(scoring.account_scores(suspects, scoring.pattern_scores(kept), ranks, features))
     rings = staging.write(scoring.rings(scoring.ring_scores(kept, scores), accounts))
     return Detection(e, accounts, verdicts, features, kept, scores, rings)
