@@ -455,7 +455,18 @@ oracle("federated_cases", _LOCAL_HITS + " SELECT case_id, array_to_string(banks,
 def case_members(spark, d) -> DataFrame:
     """The signals of each cross-bank case."""
     s = federation.build_signals(federation.local_hits(events_ledger(spark, d), TH))
-    return federation.case_signals(federation.stitch(s)).select("case_id", "signal_id")
+    return federation.stitch(s).members.select("case_id", "signal_id")
+
+
+@query(
+    _LOCAL_HITS + """ SELECT case_id, hashed_id, count(*) AS n_signals, array_to_string(list_sort(list_distinct(list(bank))), ',') AS banks, array_to_string(list_sort(list_distinct(list(pattern_type))), ',') AS pattern_types,
+  min(start_us) AS first_us, max(end_us) AS last_us, max(pattern_score) AS pattern_score FROM (SELECT case_id, unnest(signal_ids) AS signal_id FROM numbered_cases) JOIN signals USING (signal_id) GROUP BY 1, 2""",
+    recursive=True,
+)
+def case_pseudonyms(spark, d) -> DataFrame:
+    """The signals of each cross-bank case, grouped by pseudonym."""
+    s = federation.build_signals(federation.local_hits(events_ledger(spark, d), TH))
+    return federation.case_pseudonyms(federation.stitch(s)).withColumns({c: path_text(F.col(c)) for c in ("banks", "pattern_types")})
 
 
 # -- the search for schemes that evade: every scheme's whole ledger -----------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,15 @@ def islands(signals: DataFrame) -> DataFrame:
     return signals.join(numbered, ["pattern_type", "start_us"])
 
 
-def stitch(signals: DataFrame, min_banks: int = 2) -> DataFrame:
+@dataclass
+class Stitched:
+    """``cases``, one row each and none as wide as its case is large, and ``members``: ``case_id`` and all columns of its signals."""
+
+    cases: DataFrame
+    members: DataFrame
+
+
+def stitch(signals: DataFrame, min_banks: int = 2) -> Stitched:
     """Cases: components of signals that share a pseudonym, or a type and overlapping windows; those of at least ``min_banks`` banks.
 
     Islands and pseudonyms form a bipartite graph of O(signals) edges; its components
@@ -68,21 +78,26 @@ def stitch(signals: DataFrame, min_banks: int = 2) -> DataFrame:
         label = new
         if not moved:
             break
-    members = s.join(label, "left")
+    members = staging.write(s.join(label, "left").select("label", *signals.columns))
     rank = bucket_rank(F.col("amount_bucket"))
+    # Pseudonyms are counted one row each, in two partial aggregates; banks and types are few names.
+    known = members.groupBy("label", "hashed_id").agg(F.count("*").alias("n")).groupBy("label").agg(F.count("*").cast("int").alias("n_accounts"))
     groups = members.groupBy("label").agg(
-        F.array_sort(F.collect_set("bank")).alias("banks"), F.array_sort(F.collect_set("pattern_type")).alias("pattern_types"), F.array_sort(F.collect_set("hashed_id")).alias("hashed_ids"),
-        F.min("start_us").alias("window_start_us"), F.max("end_us").alias("window_end_us"), F.max_by("amount_bucket", rank).alias("amount_bucket"), F.count("*").alias("n_signals"), F.min("signal_id").alias("first_signal"), F.first("label").alias("component"),
-    ).where(F.size("banks") >= min_banks)
+        F.array_sort(F.collect_set("bank")).alias("banks"), F.array_sort(F.collect_set("pattern_type")).alias("pattern_types"),
+        F.min("start_us").alias("window_start_us"), F.max("end_us").alias("window_end_us"), F.max_by("amount_bucket", rank).alias("amount_bucket"), F.count("*").alias("n_signals"), F.min("signal_id").alias("first_signal"),
+    ).where(F.size("banks") >= min_banks).join(known, "label")
     numbered = running(groups, [], ["first_signal"], {"number": ("sum", F.lit(1))})
-    cases = numbered.withColumn("case_id", F.format_string("FED-%02d", F.col("number"))).drop("number").withColumn("n_accounts", F.size("hashed_ids")).drop("label", "first_signal").orderBy(F.desc("n_signals"), "case_id")
-    cases._members = members.select(F.col("label").alias("component"), "signal_id")
-    return cases
+    cases = staging.write(numbered.withColumn("case_id", F.format_string("FED-%02d", F.col("number"))).drop("number", "first_signal"))
+    own = members.join(cases.select("label", "case_id"), "label").drop("label")
+    return Stitched(cases.drop("label").orderBy(F.desc("n_signals"), "case_id"), own.select("case_id", *signals.columns))
 
 
-def case_signals(cases: DataFrame) -> DataFrame:
-    """``case_id, signal_id``: the members of each case of ``stitch``, one row each, however large the case."""
-    return cases._members.join(cases.select("component", "case_id"), "component").select("case_id", "signal_id")
+def case_pseudonyms(stitched: Stitched) -> DataFrame:
+    """``case_id, hashed_id, n_signals, banks, pattern_types, first_us, last_us, pattern_score``: a case's signals grouped by pseudonym."""
+    return stitched.members.groupBy("case_id", "hashed_id").agg(
+        F.count("*").alias("n_signals"), F.array_sort(F.collect_set("bank")).alias("banks"), F.array_sort(F.collect_set("pattern_type")).alias("pattern_types"),
+        F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"), F.max("pattern_score").alias("pattern_score"),
+    )
 
 
 def reveal(signals: DataFrame, hashed_id: str, requester: str) -> DataFrame:

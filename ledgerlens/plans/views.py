@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import risk_band
 from ..operators import evidence, graph, taint, velocity
+from ..operators.scan import is_small, running
 from . import cases
 from .pipeline import Detection
 
@@ -155,3 +156,15 @@ def sparkline(rings: DataFrame) -> DataFrame:
     """Amounts scaled to 0..1 by their range; a half where there is none."""
     low, high = F.array_min("sparkline"), F.array_max("sparkline")
     return rings.withColumn("scaled", F.transform("sparkline", lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.5)))
+
+
+def scaled_series(e: DataFrame) -> DataFrame:
+    """``account, pos, scaled``: each account's payments in order of time, amounts scaled to 0..1 by its range (a half where there is none).
+
+    A row a payment: places are running counts, so an account of any length is dealt out.
+    """
+    sides = graph.endpoints(e).select("account", "us", "txn_id", "direction", "amount")
+    placed = running(sides, ["account"], ["us", "txn_id", "direction"], {"pos": ("sum", F.lit(1))}, plain=is_small(e))
+    span = sides.groupBy("account").agg(F.min("amount").alias("low"), F.max("amount").alias("high"))
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("amount") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
+    return placed.join(span, "account").select("account", (F.col("pos") - 1).cast("int").alias("pos"), scaled.alias("scaled"))

@@ -293,7 +293,7 @@ def federated_signals(spark, d):
 
 @query()
 def federated_cases(spark, d):
-    c = federation.stitch(federation.build_signals(federation.local_hits(events_ledger(spark, d), TH)))
+    c = federation.stitch(federation.build_signals(federation.local_hits(events_ledger(spark, d), TH))).cases
     return c.select("case_id", path_text(F.col("banks")).alias("banks"), path_text(F.col("pattern_types")).alias("pattern_types"), "n_accounts", "n_signals", "amount_bucket", "window_start_us", "window_end_us")
 
 
@@ -581,6 +581,5 @@ def chain_fans(spark, d):
 
 @query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
 def account_sparklines(spark, d):
-    """The scaled series of every account."""
-    a = graph.endpoints(events_ledger(spark, d)).groupBy("account").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id", "direction", "amount"))), lambda s: s["amount"]).alias("sparkline"))
-    return views.sparkline(a).select("account", F.posexplode("scaled").alias("pos", "scaled")).withColumn("scaled", F.round("scaled", 6))
+    """The scaled series of every account, a row a payment and no array of all of them."""
+    return views.scaled_series(events_ledger(spark, d)).withColumn("scaled", F.round("scaled", 6))

@@ -130,9 +130,11 @@ def test_pseudonyms_are_hmac(spark):
 def test_stitching(spark):
     rows = [("A", "cycle", 0, 10, "h1"), ("B", "cycle", 10, 20, "h2"), ("C", "smurfing", 100, 110, "h2"), ("A", "mule_chain", 0, 5, "h9"), ("B", "smurfing", 500, 510, "h7"), ("B", "smurfing", 510, 520, "h8")]
     df = spark.createDataFrame([(*r, "<1k" if k else "10k-100k", f"s{k}", 0.0) for k, r in enumerate(rows)], "bank string, pattern_type string, start_us long, end_us long, hashed_id string, amount_bucket string, signal_id string, pattern_score double")
-    (case,) = federation.stitch(df).collect()
-    assert case.banks == ["A", "B", "C"] and case.n_signals == 3 and case.hashed_ids == ["h1", "h2"] and case.amount_bucket == "10k-100k" and case.case_id == "FED-01"
-    assert federation.stitch(df, min_banks=1).count() == 3
+    found = federation.stitch(df)
+    (case,) = found.cases.collect()
+    assert sorted(r.hashed_id for r in federation.case_pseudonyms(found).collect()) == ["h1", "h2"] and case.n_accounts == 2
+    assert case.banks == ["A", "B", "C"] and case.n_signals == 3 and case.amount_bucket == "10k-100k" and case.case_id == "FED-01"
+    assert federation.stitch(df, min_banks=1).cases.count() == 3
     with pytest.raises(PermissionError):
         federation.reveal(df, "h1", " x ")
 
@@ -232,7 +234,7 @@ def test_bootstrap_makes_files_once(spark, tmp_path):
 def test_case_members(spark):
     rows = [("A", "cycle", 0, 10, "h1"), ("B", "cycle", 5, 20, "h2"), ("C", "smurfing", 90, 95, "h9")]
     df = spark.createDataFrame([(*x, "<1k", f"s{k}", 0.0) for k, x in enumerate(rows)], "bank string, pattern_type string, start_us long, end_us long, hashed_id string, amount_bucket string, signal_id string, pattern_score double")
-    assert sorted((x.case_id, x.signal_id) for x in federation.case_signals(federation.stitch(df)).collect()) == [("FED-01", "s0"), ("FED-01", "s1")]
+    assert sorted((x.case_id, x.signal_id) for x in federation.stitch(df).members.collect()) == [("FED-01", "s0"), ("FED-01", "s1")]
 
 
 def test_benchmark_aggregation(spark):
