@@ -1,26 +1,27 @@
 """A seeded synthetic ledger with ordinary life, look-alikes and injected rings, and its truth.
 
-Ordinary traffic is made per account in ``mapInPandas`` with a generator seeded by
-account, so it scales with the number of accounts and doesn't depend on partitions;
-the few rings and look-alikes are made on the driver.
+Ordinary traffic is made by DataFrame functions from hashed counters, so it scales with
+accounts and days and doesn't depend on partitions; the few rings and look-alikes are
+made on the driver.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import reduce
 from random import Random
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..config import Settings
 from ..sources.ledger import LEDGER_SCHEMA, edges, write_bank_files
 
 START, DAYS, PER_BANK = datetime(2026, 1, 1), 90, 400
+#: Pairs of persons of a bank that pay each other, and pairs across banks.
+PAIRS, ACROSS = 40, 80
 #: First account numbers of a bank by role; the rest are persons.
 ROLES = (("hq", 1), ("employer", 8), ("shop", 25), ("landlord", 6), ("utility", 3))
 
@@ -36,57 +37,120 @@ def account_roles(spark: SparkSession, per_bank: int = PER_BANK, banks: tuple[st
     for upto, name in reversed(cases):
         role = F.when(n < upto, name).otherwise(role)
     bank = F.element_at(F.array(*map(F.lit, banks)), (F.expr(f"id div {per_bank}") + 1).cast("int"))
-    return spark.range(per_bank * len(banks)).select(F.col("id").alias("number"), F.concat(bank, F.lit("_"), F.lpad((n + 1).cast("string"), 4, "0")).alias("account"), bank.alias("bank"), role.alias("role"))
+    return spark.range(per_bank * len(banks)).select(F.col("id").alias("number"), F.format_string("%s_%04d", bank, n + 1).alias("account"), bank.alias("bank"), role.alias("role"))
 
 
-def ordinary_traffic(spark: SparkSession, seed: int = 42, noise: float = 1.0, per_bank: int = PER_BANK) -> DataFrame:
-    banks = Settings().banks
-    counts = {}
-    at = 0
+def _uniform(seed: int, *key: Column | str) -> Column:
+    """A number in [0, 1) that depends on seed and key alone: the first 53 bits of their hash."""
+    parts = [F.lit(k) if isinstance(k, str) else k.cast("long") for k in key]
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11).cast("double") / F.lit(2.0**53)
+
+
+def _whole(u: Column, low: int, high: int) -> Column:
+    """An integer in [low, high) of a uniform number."""
+    return (F.floor(u * (high - low)) + low).cast("int")
+
+
+def _lognormal(u: Column, v: Column, mean: float, deviation: float, most: float) -> Column:
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+    return F.least(F.exp(normal * deviation + mean), F.lit(most))
+
+
+def _poisson(u: Column, rate: Column, most: int = 120) -> Column:
+    """The number whose cumulative probability passes ``u``, up to ``most``: far above any rate used here."""
+    start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"))
+    step = lambda a, k: F.struct(F.when(a["c"] < u, a["n"] + 1).otherwise(a["n"]).alias("n"), (a["p"] * rate / k).alias("p"), F.when(a["c"] < u, a["c"] + a["p"] * rate / k).otherwise(a["c"]).alias("c"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["n"])
+
+
+def ordinary_traffic(spark: SparkSession, seed: int = 42, noise: float = 1.0, per_bank: int = PER_BANK, banks: tuple[str, ...] = Settings().banks) -> DataFrame:
+    """The payments of ordinary life, each drawn where it has its rate, by counters.
+
+    Shops have a popularity and a number of purchases a day; employers a staff with a salary,
+    a pay day, revenue from the head office and business expenses; landlords tenants;
+    utilities payers; 40 pairs a bank pay each other now and then, and pairs across banks
+    every eleventh day. A draw is a hash of (seed, kind, payer or place, day, number), so
+    rows are made by explodes alone, wherever they are made.
+    """
+    size = {name: k for name, k in ROLES}
+    begin, at = {}, 0
     for name, k in ROLES:
-        counts[name] = range(at, at + k)
-        at += k
-    persons = range(at, per_bank)
-    name = lambda b, k: f"{b}_{k + 1:04d}"
-
-    def traffic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for number, account, bank, role in zip(b["number"], b["account"], b["bank"], b["role"]):
-                rng = np.random.default_rng([seed, int(number)])
-                k = 0
-
-                def pay(src, dst, t, amount, channel):
-                    nonlocal k
-                    k += 1
-                    out.append((f"TXN{number:06d}{k:05d}", t.strftime("%Y-%m-%d %H:%M:%S"), src, dst, round(float(amount), 2), src.split("_")[0], dst.split("_")[0], channel))
-
-                when = lambda d, low=8, high=20: START + timedelta(days=float(d), hours=float(rng.uniform(low, high)))
-                if role == "employer":
-                    staff = rng.choice(list(persons), min(30, len(persons)), replace=False)
-                    wages = rng.uniform(2200, 5200, len(staff))
-                    for month in range(DAYS // 30):
-                        pay(name(bank, counts["hq"][0]), account, when(30 * month + 26), wages.sum() * rng.uniform(1.02, 1.2), "wire")
-                        for p, w in zip(staff, wages):
-                            pay(account, name(bank, p), when(30 * month + 27), w, "payroll")
-                elif role == "person":
-                    for day in range(DAYS):
-                        for _ in range(rng.poisson(0.55 * noise)):
-                            shop = counts["shop"][int(rng.integers(len(counts["shop"])))]
-                            pay(account, name(bank, shop), when(day), min(900.0, rng.lognormal(3.3, 0.8)), rng.choice(["card", "cash", "transfer"], p=[0.75, 0.15, 0.1]))
-                    home, util = counts["landlord"][int(number) % 6], counts["utility"][int(number) % 3]
-                    for month in range(DAYS // 30):
-                        pay(account, name(bank, home), when(30 * month + 2), 700 + int(number) % 9 * 60, "transfer")
-                        pay(account, name(bank, util), when(30 * month + 5), rng.uniform(40, 160), "transfer")
-                    for _ in range(rng.poisson(2 * noise)):
-                        other = banks[int(rng.integers(len(banks)))] if rng.random() < 0.25 else bank
-                        pay(account, name(other, int(rng.choice(list(persons)))), when(rng.uniform(0, DAYS - 1)), rng.uniform(10, 400), "transfer")
-                elif role == "shop":
-                    for week in range(DAYS // 7):
-                        pay(account, name(bank, counts["hq"][0]), when(7 * week + 6), rng.uniform(300, 3000), "wire")
-            yield pd.DataFrame(out, columns=LEDGER_SCHEMA.names)
-
-    return account_roles(spark, per_bank).mapInPandas(traffic, LEDGER_SCHEMA)
+        begin[name], at = at, at + k
+    persons = per_bank - at
+    begin["person"], size["person"] = at, persons
+    bank_name = F.array(*map(F.lit, banks))
+    who = lambda bank, role, k: F.format_string("%s_%04d", F.element_at(bank_name, (bank + 1).cast("int")), F.lit(begin[role] + 1) + k)
+    scaled = lambda n: n if noise == 1.0 else F.greatest(F.lit(1), F.round(n * noise).cast("int"))
+    bank, k, day, i, month = (F.col(c) for c in ("bank", "k", "day", "i", "month"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    person = lambda u, b=bank: who(b, "person", _whole(u, 0, persons))
+
+    def places(role: str, n: int | None = None) -> DataFrame:
+        """``bank, k``: the numbered accounts of a role, or ``n`` a bank."""
+        n = size[role] if n is None else n
+        return spark.range(len(banks) * n).select(F.expr(f"cast(id div {n} as int)").alias("bank"), F.expr(f"cast(id % {n} as int)").alias("k"))
+
+    def draws(kind: str, *key: Column):
+        return lambda what: _uniform(seed, f"{kind}:{what}", *key)
+
+    def paid(rows: DataFrame, kind: str, number: list[Column], src: Column, dst: Column, minute: Column, amount: Column, channel: Column | str, second: Column | int = 0) -> DataFrame:
+        """Rows of the file schema; ``minute`` counts from START on."""
+        t = F.timestamp_add("SECOND", (minute * 60 + second).cast("int"), F.lit(f"{START:%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz"))
+        name = F.concat_ws("-", F.lit(f"TXN{kind}"), *[n.cast("string") for n in number])
+        c = F.lit(channel) if isinstance(channel, str) else channel
+        return rows.select(name.alias("txn_id"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("timestamp"), src.alias("src_account"), dst.alias("dst_account"), F.round(amount, 2).alias("amount"), F.substring_index(src, "_", 1).alias("bank_src"), F.substring_index(dst, "_", 1).alias("bank_dst"), c.alias("channel"))
+
+    out = []
+    # Purchases: places x days x a Poisson number.
+    u = draws("shop", bank, k)
+    daily = places("shop").withColumn("rate", _whole(u("daily"), 2, 12) * (0.4 + 1.1 * u("popularity")) * noise).withColumn("day", each(F.lit(DAYS)))
+    n = _poisson(_uniform(seed, "shop:n", bank, k, day), F.col("rate"))
+    bought = daily.withColumn("n", n).where("n > 0").withColumn("i", each(F.col("n")))
+    u = draws("buy", bank, k, day, i)
+    channel = F.when(u("channel") < 0.5, "card").when(u("channel") < 0.8, "transfer").when(u("channel") < 0.95, "cash").otherwise("wire")
+    out.append(paid(bought, "S", [bank, k, day, i], person(u("person")), who(bank, "shop", k), day * 1440 + _whole(u("minute"), 8 * 60, 22 * 60), _lognormal(u("a"), u("b"), 3.2, 0.9, 4000.0), channel))
+
+    # Wages: the first of a bank's persons by hash, for each employer; the head office pays in what goes out.
+    u = draws("employer", bank, k)
+    staff = places("employer").withColumn("staff", F.least(scaled(_whole(u("staff"), 30, 70)), F.lit(persons))).withColumn("pay_day", _whole(u("pay_day"), 1, 28)).withColumn("salary", 2500 + 1600 * u("salary")).withColumn("i", each(F.lit(persons)))
+    turn = F.row_number().over(W.partitionBy("bank", "k").orderBy(_uniform(seed, "staff", bank, k, i), "i"))  # a bank's persons
+    wages = staff.withColumn("turn", turn).where("turn <= staff").withColumn("month", each(F.lit(DAYS // 30))).withColumn("day", F.col("pay_day") + 30 * month).where(day < DAYS)
+    hour = day * 1440 + _whole(_uniform(seed, "wages:hour", bank, k, month), 9, 11) * 60 + _whole(_uniform(seed, "wages:minute", bank, k, month), 0, 59)
+    u = draws("wage", bank, k, i, month)
+    wages = wages.withColumn("at", hour).withColumn("wage", F.round(F.col("salary") * (0.9 + 0.2 * u("part")), 2))
+    out.append(paid(wages, "W", [bank, k, i, month], who(bank, "employer", k), who(bank, "person", i), F.col("at") + _whole(u("minute"), 0, 240), F.col("wage"), "payroll"))
+    revenue = wages.groupBy("bank", "k", "month", "at").agg(F.sum(F.col("wage").cast("decimal(18,2)")).cast("double").alias("wage"))
+    out.append(paid(revenue, "H", [bank, k, month], who(bank, "hq", F.lit(0)), who(bank, "employer", k), F.col("at") - 120, F.col("wage"), "wire"))
+    spent = places("employer").withColumn("i", each(F.lit(30) if noise == 1.0 else scaled(F.lit(30))))
+    u = draws("expense", bank, k, i)
+    out.append(paid(spent, "E", [bank, k, i], who(bank, "employer", k), who(bank, "shop", _whole(u("shop"), 0, size["shop"])), _whole(u("day"), 0, DAYS) * 1440 + _whole(u("minute"), 9 * 60, 18 * 60), 100 + 1400 * u("amount"), "card"))
+
+    # Rent: the same tenant and amount each month.
+    u = draws("landlord", bank, k)
+    rented = places("landlord").withColumn("rent_day", _whole(u("day"), 1, 6)).withColumn("i", each(scaled(_whole(u("tenants"), 4, 12)))).withColumn("month", each(F.lit(DAYS // 30))).withColumn("day", F.col("rent_day") + 30 * month)
+    u = draws("tenant", bank, k, i)
+    out.append(paid(rented, "L", [bank, k, i, month], person(u("person")), who(bank, "landlord", k), day * 1440 + 600 + _whole(_uniform(seed, "rent:minute", bank, k, i, month), 0, 50), 700 + 1500 * u("amount"), "transfer"))
+
+    used = places("utility").withColumn("day", each(F.lit(DAYS))).withColumn("i", each(scaled(_whole(_uniform(seed, "utility:n", bank, k, day), 5, 15))))
+    u = draws("use", bank, k, day, i)
+    out.append(paid(used, "U", [bank, k, day, i], person(u("person")), who(bank, "utility", k), day * 1440 + _whole(u("minute"), 7 * 60, 23 * 60), 40 + 220 * u("amount"), "transfer"))
+
+    # Fixed pairs: the second person is another than the first.
+    u = draws("pair", bank, k)
+    one = _whole(u("one"), 0, persons)
+    other = (one + 1 + _whole(u("other"), 0, max(1, persons - 1))) % persons
+    pairs = places("person", PAIRS).withColumn("one", one).withColumn("other", other).withColumn("day", each(F.lit(DAYS))).where(_uniform(seed, "pair:day", bank, k, day) < 0.25 * noise)
+    u = draws("between", bank, k, day)
+    out.append(paid(pairs, "P", [bank, k, day], who(bank, "person", F.col("one")), who(bank, "person", F.col("other")), day * 1440 + _whole(u("minute"), 6 * 60, 24 * 60), _lognormal(u("a"), u("b"), 4.0, 1.0, 5000.0), "transfer"))
+
+    n_across = max(1, round(ACROSS * noise)) if noise != 1.0 else ACROSS
+    u = draws("across", k)
+    left = _whole(u("bank"), 0, len(banks))
+    right = (left + 1 + _whole(u("other"), 0, max(1, len(banks) - 1))) % len(banks)
+    across = spark.range(n_across).select(F.col("id").cast("int").alias("k")).withColumn("left", left).withColumn("right", right).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1), F.lit(11))))
+    v = draws("transfer", k, day)
+    out.append(paid(across, "X", [k, day], person(u("one"), F.col("left")), person(u("two"), F.col("right")), day * 1440 + _whole(v("minute"), 9 * 60, 18 * 60), 200 + 2800 * v("amount"), "wire"))
+    return reduce(DataFrame.unionByName, out)
 
 
 class _Ring:
