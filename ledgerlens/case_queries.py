@@ -478,9 +478,9 @@ def _lost(h: int) -> str:
     return f"(1 - jitter * 0.1::DOUBLE * ({_drawn('s', repr(str(h)), repr('loss'))} / 4294967296.0::DOUBLE))"
 
 
-_SCHEMES = (
-    _FP
-    + f""", se AS MATERIALIZED (SELECT CAST(txn_id AS VARCHAR) AS txn_id, us, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, amount FROM edges),
+def _schemes(grid: str) -> str:
+    """The schemes ``g``, 0 the naive one and the others from 1 on, priced, and their payments ``injected``."""
+    return _FP + f""", se AS MATERIALIZED (SELECT CAST(txn_id AS VARCHAR) AS txn_id, us, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, amount FROM edges),
 sus AS MATERIALIZED (SELECT CAST(account AS VARCHAR) AS account FROM verdict WHERE rule <> 'steady'),
 route AS MATERIALIZED (SELECT min(account) AS s, max(account) AS t FROM (SELECT account FROM sus ORDER BY account LIMIT 2)),
 allowed AS MATERIALIZED (SELECT account FROM sus UNION SELECT s FROM route UNION SELECT t FROM route),
@@ -491,7 +491,7 @@ pool AS MATERIALIZED (
   ) QUALIFY k < 400),
 g AS MATERIALIZED (
   SELECT 0 AS scheme_id, 0.0::DOUBLE AS hop_delay_hours, 1 AS n_splits, 0.0::DOUBLE AS jitter, 0 AS n_decoys, 1 AS n_banks, 2.0::DOUBLE AS fee_pct
-  UNION ALL SELECT scheme_id + 1, CAST(hop_delay_hours AS DOUBLE), n_splits, CAST(jitter AS DOUBLE), n_decoys, n_banks, CAST(fee_pct AS DOUBLE) FROM ({_GRID})
+  UNION ALL SELECT scheme_id + 1, CAST(hop_delay_hours AS DOUBLE), n_splits, CAST(jitter AS DOUBLE), n_decoys, n_banks, CAST(fee_pct AS DOUBLE) FROM ({grid})
 ), priced AS MATERIALIZED (
   SELECT *, CAST(round(CAST((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) AS DOUBLE) / 6.05, 2) AS DOUBLE) AS friction FROM g
 ), split AS (
@@ -508,7 +508,6 @@ g AS MATERIALIZED (
   UNION ALL SELECT scheme_id, 'ADV_decoy' || i, b + ({_drawn("'decoy'", "i", "'hours'")} % 73 - 24) * 3600000000 + {_drawn("'decoy'", "i", "'minutes'")} % 60 * 60000000, x.account, y.account, round(50 + 850 * ({_drawn("'decoy'", "i", "'amount'")} / 4294967296.0::DOUBLE), 2)
     FROM (SELECT scheme_id, unnest(range(n_decoys)) AS i FROM g) d JOIN pool x ON x.k = {_drawn("'decoy'", "i", "'src'")} % (SELECT count(*) FROM pool) JOIN pool y ON y.k = {_drawn("'decoy'", "i", "'dst'")} % (SELECT count(*) FROM pool), base
 )"""
-)
 
 
 def _sweep(name: str, delay: str = "7200000000", forward: str = "0.85", retention: str = "0.85") -> str:
@@ -556,7 +555,22 @@ def _caught(name: str, known: str) -> str:
 )"""
 
 
-_FOUND = _SCHEMES + _sweep("one") + _caught("one", "one") + ", frontier AS MATERIALIZED (SELECT p.*, c.evidence, c.evidence IS NOT NULL AS detected FROM priced p LEFT JOIN one_caught c USING (scheme_id))"
+def _found(grid: str) -> str:
+    return _schemes(grid) + _sweep("one") + _caught("one", "one") + ", frontier AS MATERIALIZED (SELECT p.*, c.evidence, c.evidence IS NOT NULL AS detected FROM priced p LEFT JOIN one_caught c USING (scheme_id))"
+
+
+_FOUND = _found(_GRID)
+_LEVERS = "SELECT * FROM (VALUES (0, 0.0, 1, 0.0, 0, 1, 2.0), (1, 0.0, 2, 0.1, 0, 1, 2.0), (2, 24.0, 1, 0.0, 0, 1, 2.0), (3, 24.0, 2, 0.1, 0, 1, 2.0)) t(scheme_id, hop_delay_hours, n_splits, jitter, n_decoys, n_banks, fee_pct)"
+oracle("lever_grid", _found(_LEVERS) + " SELECT scheme_id, hop_delay_hours, n_splits, n_decoys, friction, detected, coalesce(evidence, '') AS evidence FROM frontier WHERE scheme_id > 0")
+oracle("rolling_detection_rate", _FOUND + " SELECT scheme_id, friction, round(avg(CASE WHEN detected THEN 1 ELSE 0 END) OVER (ORDER BY friction, scheme_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS rate FROM frontier WHERE scheme_id > 0")
+oracle("cheapest_evaders", _FOUND + " SELECT scheme_id, friction FROM frontier WHERE scheme_id > 0 AND NOT detected ORDER BY friction, scheme_id LIMIT 6")
+# Here the grid's own numbers count from 0, and draws are by them.
+oracle(
+    "scheme_grid",
+    _schemes(_GRID).replace("scheme_id + 1, CAST(hop", "scheme_id, CAST(hop").replace("SELECT 0 AS scheme_id, 0.0::DOUBLE AS hop_delay_hours, 1 AS n_splits, 0.0::DOUBLE AS jitter, 0 AS n_decoys, 1 AS n_banks, 2.0::DOUBLE AS fee_pct\n  UNION ALL SELECT scheme_id,", "SELECT scheme_id,")
+    .replace("CAST(hop_delay_hours AS DOUBLE), n_splits, CAST(jitter AS DOUBLE), n_decoys, n_banks, CAST(fee_pct AS DOUBLE) FROM", "CAST(hop_delay_hours AS DOUBLE) AS hop_delay_hours, n_splits, CAST(jitter AS DOUBLE) AS jitter, n_decoys, n_banks, CAST(fee_pct AS DOUBLE) AS fee_pct FROM")
+    + " SELECT p.scheme_id, hop_delay_hours, n_splits, jitter, n_decoys, n_banks, fee_pct, friction, count(*) AS n_payments, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(DISTINCT src) AS payers FROM priced p JOIN injected USING (scheme_id) GROUP BY ALL",
+)
 oracle("friction_frontier", _FOUND + " SELECT scheme_id, hop_delay_hours, n_splits, friction, detected, coalesce(evidence, '') AS evidence FROM frontier WHERE scheme_id > 0")
 _HARD = """, cheapest AS MATERIALIZED (SELECT *, (2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) / 6.05 AS cost FROM frontier WHERE scheme_id > 0 AND NOT detected ORDER BY cost, scheme_id LIMIT 1),
 hard AS MATERIALIZED (

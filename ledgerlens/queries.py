@@ -300,21 +300,31 @@ def federated_cases(spark, d):
 _GRID = "SELECT CAST(row_number() OVER (ORDER BY d.i, s.i, c.i, b.i) - 1 AS INTEGER) AS scheme_id, CAST(d.v AS DOUBLE) AS hop_delay_hours, s.v AS n_splits, CASE WHEN s.v > 1 THEN 0.1 ELSE 0.0 END AS jitter, c.v AS n_decoys, b.v AS n_banks, 2.0 AS fee_pct FROM (VALUES (0, 0), (1, 6), (2, 24), (3, 48)) d(i, v), (VALUES (0, 1), (1, 4)) s(i, v), (VALUES (0, 0), (1, 20)) c(i, v), (VALUES (0, 1), (1, 3)) b(i, v)"
 
 
-@query(f", g AS ({_GRID}) SELECT scheme_id, hop_delay_hours, n_splits, CAST(jitter AS DOUBLE) AS jitter, n_decoys, n_banks, CAST(fee_pct AS DOUBLE) AS fee_pct, CAST(round(CAST((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) AS DOUBLE) / 6.05, 2) AS DOUBLE) AS friction FROM g")
-def scheme_grid(spark, d):
-    return adversary.friction_table(adversary.scheme_grid_table(spark))
-
-
-def _searched(spark, d) -> adversary.Report:
-    """The search of the default grid between two quiet accounts, from the middle of the ledger's time on; kept by the content of what it reads."""
+def _route(spark, d) -> tuple[DataFrame, DataFrame, str, str, datetime]:
+    """The events ledger with text accounts, its suspects, the two quiet accounts that schemes run between, and the middle of its time."""
     e = events_ledger(spark, d)
     e = e.withColumn("txn_id", F.col("txn_id").cast("string")).withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
     suspects = fingerprint.suspects(fingerprint.verdicts(fingerprint.fingerprints(e)))
     ends = [r.account for r in suspects.orderBy("account").limit(2).collect()] or ["0", "1"]
     hour = e.agg(F.expr("(min(us) + max(us)) div 2 div 3600000000")).first()[0] or 0
-    base = datetime(1970, 1, 1) + timedelta(hours=hour)
-    about = adversary.manifest({"source": ends[0], "target": ends[-1], "amount": 120.0, "base": base, "thresholds": TH, "grid": adversary.default_grid()}, ledger=e, suspects=suspects)
-    return adversary.kept_report(spark, f"{shared_dir(spark)}/adversary", about, lambda: adversary.run(e, suspects, ends[0], ends[-1], 120.0, th=TH, base_time=base))
+    return e, suspects, ends[0], ends[-1], datetime(1970, 1, 1) + timedelta(hours=hour)
+
+
+@query()
+def scheme_grid(spark, d):
+    """The default grid with each scheme's friction and the payments it injects into the ledger."""
+    e, _, source, target, base = _route(spark, d)
+    grid = adversary.default_grid()
+    injected = adversary.injections(e, grid, source, target, 120.0, base_time=base).groupBy("scheme_id").agg(F.count("*").alias("n_payments"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"), F.countDistinct("src").alias("payers"))
+    return adversary.friction_table(adversary.scheme_grid_table(spark, grid)).join(injected, "scheme_id")
+
+
+def _searched(spark, d, grid: list[adversary.Scheme] | None = None) -> adversary.Report:
+    """The search of a grid (the default one) along that route; kept by the content of what it reads."""
+    e, suspects, source, target, base = _route(spark, d)
+    grid = grid if grid is not None else adversary.default_grid()
+    about = adversary.manifest({"source": source, "target": target, "amount": 120.0, "base": base, "thresholds": TH, "grid": grid}, ledger=e, suspects=suspects)
+    return adversary.kept_report(spark, f"{shared_dir(spark)}/adversary", about, lambda: adversary.run(e, suspects, source, target, 120.0, grid, th=TH, base_time=base))
 
 
 @query()
@@ -371,17 +381,16 @@ def hop_delays(spark, d):
     return views.hop_delays(events_ledger(spark, d))
 
 
-@query(f", g AS ({_GRID}), f AS (SELECT scheme_id, hop_delay_hours >= 6 AS evades, CAST(round(CAST((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) AS DOUBLE) / 6.05, 2) AS DOUBLE) AS friction FROM g) SELECT scheme_id, friction, round(avg(CASE WHEN evades THEN 0 ELSE 1 END) OVER (ORDER BY friction, scheme_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS rate FROM f")
+@query()
 def rolling_detection_rate(spark, d):
-    """The rolling rate over the default grid, detection taken as delays below 6 hours."""
-    f = adversary.friction_table(adversary.scheme_grid_table(spark)).withColumn("detected", F.col("hop_delay_hours") < 6)
-    return views.rolling_detection(f)
+    """The detection rate of the schemes around each, by cost, as the search found them."""
+    return views.rolling_detection(_searched(spark, d).frontier)
 
 
-@query(f", g AS ({_GRID}), f AS (SELECT scheme_id, CAST(round(CAST((2 * hop_delay_hours + 0.05 + 0.05 * n_decoys + 2 * fee_pct + 2 * n_splits) AS DOUBLE) / 6.05, 2) AS DOUBLE) AS friction FROM g WHERE hop_delay_hours >= 6) SELECT * FROM f ORDER BY friction, scheme_id LIMIT 6")
+@query()
 def cheapest_evaders(spark, d):
-    f = adversary.friction_table(adversary.scheme_grid_table(spark)).withColumn("detected", F.col("hop_delay_hours") < 6)
-    return views.cheapest_evaders(f).select("scheme_id", "friction")
+    """The six cheapest schemes that the search didn't detect."""
+    return views.cheapest_evaders(_searched(spark, d).frontier).select("scheme_id", "friction")
 
 
 @query(" SELECT channel, bank_src, round(avg(amount), 4) AS mean, round(coalesce(stddev_samp(amount), 0), 4) AS std, count(*) AS n FROM edges GROUP BY GROUPING SETS ((channel, bank_src), (bank_src))")
@@ -404,15 +413,20 @@ def orders_rollup(spark, d):
     return j.rollup("o_orderpriority", "n_name").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+def _persons(spark, d) -> int:
+    """Accounts a bank of a ledger made for the customers at hand: one for each fifty, beside the 60 of a small bank."""
+    return 60 + spark.read.parquet(f"{d}/customer.parquet").count() // 50
+
+
 @query()
 def generated_ring_quality(spark, d):
-    """Precision and recall of the whole run on a generated ledger of 120 accounts a bank, half the noise, with injected rings."""
-    return benchmark.run_one(spark, 42, 0.5, 120)
+    """Precision and recall of the whole run on a ledger generated for the table's customers, half the noise, with injected rings."""
+    return benchmark.run_one(spark, 42, 0.5, _persons(spark, d))
 
 
 @query()
 def generated_ledger(spark, d):
-    return datagen.generate(spark, 7, 0.3, 60, 1)[0].groupBy("bank_src", "channel").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
+    return datagen.generate(spark, 7, 0.3, _persons(spark, d), 1)[0].groupBy("bank_src", "channel").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"))
 
 
 @query(_VEL + " SELECT account, round(CASE WHEN i > 0 THEN coalesce(o, 0) / i END, 4) AS pass_through_ratio FROM flow")
@@ -508,10 +522,10 @@ def chain_velocity(spark, d):
     return v.select("chain_id", F.round("median_delay_min", 3).alias("median_delay_min"), F.round("total_delay_min", 3).alias("total_delay_min"), "n")
 
 
-@query(" SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1, 0), (1, 0.0, 2, 0), (2, 24.0, 1, 0), (3, 24.0, 2, 0)) AS t(scheme_id, hop_delay_hours, n_splits, n_decoys)")
+@query()
 def lever_grid(spark, d):
-    """Four levers off or on, crossed and thinned to four schemes."""
-    return adversary.scheme_grid_table(spark, adversary.lever_grid(24, 2, 5, 2)).select("scheme_id", "hop_delay_hours", "n_splits", "n_decoys")
+    """Four levers off or on, crossed, thinned to four schemes and searched."""
+    return _searched(spark, d, adversary.lever_grid(24, 2, 5, 2)).frontier.select("scheme_id", "hop_delay_hours", "n_splits", "n_decoys", "friction", "detected", F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 @query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
