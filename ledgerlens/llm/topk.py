@@ -26,17 +26,20 @@ SCALE = 256
 BLOCK, QUERY_BLOCK, FINER = 4096, 1024, 4096
 #: Sums of products below this are exact in float64.
 _EXACT = float(1 << 53)
+#: Integer components beyond this are set to it, so that scores of 4,096 dimensions fit a long.
+MOST = 1 << 25
 
 
 def quantized(vectors: Iterator, scale: int = SCALE) -> list[np.ndarray | None]:
-    """floor(scale * x) of each component as double; None for vectors that are null or hold null or non-finite components."""
+    """floor(scale * x) of each component as double, at most MOST either way; None for vectors that are null or hold null or non-finite components."""
     out = []
     for v in vectors:
         if v is None or any(x is None for x in v):
             out.append(None)
             continue
-        q = np.floor(scale * np.array(v, dtype=np.float64))
-        out.append(q if np.isfinite(q).all() else None)
+        x = np.array(v, dtype=np.float64)
+        with np.errstate(over="ignore"):
+            out.append(np.clip(np.floor(scale * x), -MOST, MOST) if np.isfinite(x).all() else None)
     return out
 
 
@@ -72,10 +75,7 @@ def _scores(ids: np.ndarray, mat: bytes, qids: np.ndarray, qmat: bytes, dim: int
     x, q = np.frombuffer(mat, "<f8").reshape(-1, dim), np.frombuffer(qmat, "<f8").reshape(-1, dim)
     if dim * max(1.0, np.abs(x).max()) * max(1.0, np.abs(q).max()) < _EXACT:
         return (q @ x.T).astype(np.int64)
-    exact = np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for s in x] for r in q], dtype=object)
-    if max(abs(int(v)) for v in exact.ravel()) >= 1 << 62:
-        raise ValueError("a score does not fit a long")
-    return exact.astype(np.int64)
+    return q.astype(np.int64) @ x.astype(np.int64).T
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
@@ -84,14 +84,14 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, bl
     ``table(vec_id, embedding)``. Vectors that are null, or hold null or non-finite
     components, and rows without an id take no part; a query meets only vectors of its
     own dimension, an empty one those that are empty too (score 0); of rows that repeat a
-    query's id the one with the smallest embedding is the query. Rows other than the query's own are those with another vec_id;
+    query's id the one with the smallest embedding is the query. Components beyond MOST / scale count as that. Rows other than the query's own are those with another vec_id;
     repeated rows are candidates each. No query or no candidate: no rows.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q"))
     data = scratch.write(_pack(rows.select("vec_id", "embedding"), block, scale))
-    whole = F.forall("embedding", lambda x: F.coalesce(F.abs(x * scale) < float("inf"), F.lit(False)))
+    whole = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     queries = scratch.write(_pack(rows.where(F.col("q") & whole).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), QUERY_BLOCK, scale))
     edge = data.agg(F.max("n")).first()[0]
     if not edge or not queries.limit(1).count():
