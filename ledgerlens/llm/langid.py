@@ -23,6 +23,8 @@ from .shared import KEY, Scratch, arrow_map, key_of_text, whole_rows
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
+#: Posterior that a language needs to claim a text.
+LEAST = 0.4
 #: Bytes of the matrix, or of a block of its columns, at most.
 MATRIX_BYTES = 256 << 20
 #: Code points that are scored or counted at once.
@@ -200,13 +202,17 @@ def identify(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return _identified(docs, buckets, []).select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and so a language; the others, null and empty texts among them, go.
+def keep_identified(docs: DataFrame, buckets: int = BUCKETS, wanted: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` in a language: those of another than the ``wanted`` ones (all, if None) go, and those that no language claims.
 
-    Each row is judged by its own text: what else shares its doc_id doesn't matter, and
-    neither do further columns of any name.
+    A language claims a text if its posterior is ``least`` or more; letterless, null and empty texts are
+    ``und`` with 0. Each row is judged by its own text: what else shares its doc_id
+    doesn't matter, and neither do further columns of any name.
     """
-    rejected = _identified(docs, buckets, key_of_text()).where(F.col("lang_pred") == UNDETERMINED).select(*KEY).distinct()
+    unclaimed = (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)
+    if wanted is not None:
+        unclaimed |= ~F.col("lang_pred").isin(wanted)
+    rejected = _identified(docs, buckets, key_of_text()).where(unclaimed).select(*KEY).distinct()
     # Written first: its size is then known, and where it is small the texts need no exchange to meet it.
     gone = Scratch(docs.sparkSession, "langid-gone").write(rejected)
     return whole_rows(docs).join(gone, KEY, "left_anti").select("k_row.*")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import KEY, Scratch, arrow_map, key_of_text, marked, whole_rows
@@ -109,6 +109,15 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None
     return out
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of those numbers (sorted, distinct), in one pass: what lies between each two is a slice."""
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get(gone, k - 1) + 1)
+    end = lambda k, lines: F.when(k == F.size(gone), F.size(lines)).otherwise(F.get(gone, k))
+    between = lambda lines: F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, start(k) + 1, end(k, lines) - start(k)))
+    # The array of one element binds the lines, so that they are split once.
+    return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.flatten(between(lines)), "\n")), F.lit(0))
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """The rows of ``docs`` without the deleted lines; those left without a word are dropped if lines were deleted.
 
@@ -119,7 +128,6 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, long_words: int | None =
     rows = marked(whole_rows(docs), gone)
     joined = rows.where("k_maybe").join(gone, KEY, "left")
     text = F.col("k_row.text")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, n: ~F.array_contains("lines", n)), "\n")
-    out = joined.withColumn("k_kept", F.when(F.col("lines").isNull(), text).otherwise(kept)).where(F.col("lines").isNull() | F.col("k_kept").rlike(r"\S"))
+    out = joined.withColumn("k_kept", F.when(F.col("lines").isNull(), text).otherwise(without_lines(text, F.col("lines")))).where(F.col("lines").isNull() | F.col("k_kept").rlike(r"\S"))
     changed = out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])
     return rows.where("not k_maybe").select("k_row.*").union(changed)

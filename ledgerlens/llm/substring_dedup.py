@@ -134,12 +134,26 @@ def repeats(docs: DataFrame, run_chars: int = RUN_CHARS, mask_bits: int = MASK_B
     return out
 
 
+def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
+    """What lies between the spans, which are in order and apart, and after the last."""
+    if text is None or spans is None:
+        return text
+    parts, at = [], 0
+    for s in spans:
+        parts.append(text[at : s["start"]])
+        at = s["end"]
+    return "".join([*parts, text[at:]])
+
+
 def deduplicate(docs: DataFrame, **settings: int) -> DataFrame:
     """The rows of ``docs`` with the repeated runs cut out of the very texts they were found in; further columns may have any name."""
     spans = repeats(docs, **settings).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     joined = whole_rows(docs).join(Scratch(docs.sparkSession, "substring-spans").write(spans), KEY, "left")
     text = F.col("k_row.text")
-    # What lies between the spans, and after the last.
-    kept = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("out"), s["end"].cast("int").alias("at")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = joined.withColumn("k_kept", F.when(F.col("spans").isNull(), text).otherwise(kept))
+
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([without_spans(t.as_py(), s.as_py()) for t, s in zip(texts, spans)], pa.string())
+
+    out = joined.withColumn("k_kept", kept(text.cast("string"), "spans"))
     return out.select(*[F.col("k_kept").alias(c) if c == "text" else F.col("k_row").getField(c).alias(c) for c in docs.columns])
