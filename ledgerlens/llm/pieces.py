@@ -412,6 +412,7 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = True) -> Da
                         yield _encoded(whole.column(0), done, with_ids)
         finally:  # the worker goes on to other tasks
             m.forget()
+            whole = part = cuts = table = row = done = None  # noqa: F841  (what they hold is freed before memory is given back)
             if collecting:
                 gc.enable()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -49,18 +50,26 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("k_row"), *key_of_text())
 
 
-#: Bits of the hash that name a word of the bitmap: at most 2^17 words of 64 bits, 2 MB.
-_WORD_BITS = 17
+#: A key has 16 bits of the bitmap, in words of 64; it has at least 2^10 words, and at most 2^21 (some 100 MB where they are sent to).
+_KEY_BITS, _LEAST_WORDS, _MOST_WORDS = 4, 10, 21
 
 
-def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``k_maybe``, which is false only if no row of ``keys`` has the same KEY.
+def word_bits(keys: int) -> int:
+    """Bits of the hash that name a word of the bitmap of so many keys."""
+    return min(_MOST_WORDS, max(_LEAST_WORDS, max(keys, 1).bit_length() + _KEY_BITS - 6))
 
-    Keys set bits of a bitmap of fixed size, which is broadcast, so that rows that can't
-    match stay out of the exchange of a join that follows. With very many keys all rows
-    are marked and the join moves them all; its result is the same.
+
+def marked(rows: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
+    """``rows`` with ``k_maybe``, which is false only if no row of ``keys``, a written table, has the same KEY.
+
+    Keys set bits of a bitmap that is broadcast, so that rows that can't match stay out of
+    the exchange of a join that follows. It grows with the keys: one row in 16 at most is
+    marked for nothing, up to 8 million keys; from there on its size stays, and so more
+    are, half of them at 90 million. What is marked for nothing is moved by the join, whose result is the same.
+    ``most``: the bits of a word's name at most, for tests.
     """
-    word, bit = f"shiftrightunsigned(k_text, {64 - _WORD_BITS})", "cast(k_text & 63 as int)"
+    bits_of_word = word_bits(keys.count()) if most is None else most
+    word, bit = f"shiftrightunsigned(k_text, {64 - bits_of_word})", "cast(k_text & 63 as int)"
     bits = keys.groupBy(F.expr(word).alias("k_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("k_bits"))
     joined = rows.withColumn("k_word", F.expr(word)).join(F.broadcast(bits), "k_word", "left")
     return joined.withColumn("k_maybe", F.expr(f"coalesce(bit_get(k_bits, {bit}) = 1, false)")).drop("k_word", "k_bits")
@@ -88,13 +97,36 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the system, where its C library keeps it otherwise: workers go on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of at most ARROW_ROWS rows (the session's setting is lowered to that)."""
+    """``mapInArrow`` in batches of at most ARROW_ROWS rows (the session's setting is lowered to that); a task's freed memory is given back at its end."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= ARROW_ROWS:
         conf.set(key, str(ARROW_ROWS))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Bytes of a batch that go to a Python worker at once in the pipeline; a single longer text is one batch.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of an Arrow batch, not only its rows: buffers on both sides stay small where long texts lie side by side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

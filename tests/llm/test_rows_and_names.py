@@ -1,10 +1,14 @@
 """Rows that share a doc_id, rows without one, and columns whose names clash with the operators' own."""
 
+import math
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import langid, line_dedup, mixing, secrets, simhash, substring_dedup, topk
-from ledgerlens.llm.shared import KEY, key_of_text, marked
+from ledgerlens.llm.shared import KEY, key_of_text, marked, word_bits
 
 RUN = "first repeated line here\nsecond repeated line here\nthird repeated line here"
 LONG = " ".join(f"word{k}" for k in range(60))
@@ -69,17 +73,81 @@ def test_top_k_of_empty_vectors_and_repeated_queries(spark):
     assert [tuple(r) for r in topk.top_k(only, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 5, 0)]
 
 
+def test_top_k_with_components_of_any_size(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e308, -1e308]), (2, [0.5, 0.25]), (3, [-131072.0, 131071.5]), (50, [3.0, -2.0]), (7, [99999.25, 0.0]), (8, [float("inf"), 0.0])]
+    whole = lambda x: max(-(1 << 25), min(1 << 25, math.floor(256 * x)))
+    kept = {i: [whole(x) for x in v] for i, v in rows if i not in (1, 8)}
+    kept[1] = [1 << 25, -(1 << 25)]
+    want = []
+    for q in (0, 50):
+        scored = sorted(((-sum(a * b for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()) == want
+
+
 def test_secrets_of_equal_rows(spark):
     df = frame(spark, [(1, "token=abcdef1", "en", "a"), (1, "token=abcdef1", "en", "a"), (None, None, None, None)])
     assert sorted(str(r.spans) for r in secrets.find_secrets(df).collect()) == ["", "assign:0:13", "assign:0:13"]
 
 
-def test_marks_miss_no_key(spark):
+@pytest.mark.parametrize("most", [None, 1])
+def test_marks_miss_no_key(spark, tmp_path, most):
     rows = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id % 4000) as text").select("doc_id", *key_of_text())
     for keep in (1, 97, 10**9):
         keys = rows.where(F.col("doc_id") % keep == 0)
-        got = marked(rows, keys).select("doc_id", "k_maybe", "k_text").collect()
+        got = marked(rows, keys, most).select("doc_id", "k_maybe", "k_text").collect()
         hashes = {r.k_text for r in keys.collect()}
         assert len(got) == 5000 and all(r.k_maybe for r in got if r.k_text in hashes)
-        assert sum(r.k_maybe for r in got) <= sum(r.k_text in hashes for r in got) + 20
+        if most is None:
+            assert sum(r.k_maybe for r in got) <= sum(r.k_text in hashes for r in got) * 1.0 + 350
     assert not any(r.k_maybe for r in marked(rows, rows.limit(0)).collect())
+
+
+def test_bitmaps_grow_with_their_keys_up_to_a_bound():
+    assert [word_bits(n) for n in (0, 1000, 100_000, 8_000_000, 10**9)] == [10, 10, 15, 21, 21]
+    assert all((1 << word_bits(n)) * 64 >= 16 * n for n in range(1, 8_000_000, 99_991))
+
+
+def test_stages_give_the_same_with_a_bitmap_that_is_full(spark, monkeypatch):
+    rows = [(k, f"{RUN}\nown line {k} of it\n{LONG if k % 3 == 0 else ''}", "en", "a") for k in range(40)] + [(100 + k, f"single text number {k} " * 20, "en", "b") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    results = lambda: [sorted(tuple(r) for r in stage(df).collect()) for stage in (line_dedup.deduplicate, simhash.keep_one)]
+    plain = results()
+    for module in (line_dedup, simhash):
+        monkeypatch.setattr(module, "marked", lambda rows, keys: marked(rows, keys, 1))
+    assert results() == plain
+
+
+def test_lines_of_a_very_long_text_go_in_one_pass(spark):
+    """80,000 repeated lines in one row: each line is looked up once, not against all deleted ones."""
+    repeated = "\n".join(f"repeated line {k} of a text" for k in range(80_000))
+    df = spark.createDataFrame([(1, repeated, "en", "a"), (2, f"before\n{repeated}\nafter", "en", "a")], "doc_id long, text string, lang string, source string")
+    began = time.time()
+    out = {r.doc_id: r.text for r in line_dedup.deduplicate(df).collect()}
+    assert out == {1: repeated, 2: "before\nafter"} and time.time() - began < 60
+
+
+def test_lines_between_the_deleted_ones(spark):
+    rows = [("a\nb\nc", [0]), ("a\nb\nc", [1]), ("a\nb\nc", [2]), ("a\nb\nc\n", [0, 1, 2]), ("a\n\nb\n", [1]), ("a", [0]), ("a\nb\nc\nd", [0, 2]), ("\n\n", [1])]
+    df = spark.createDataFrame(rows, "text string, gone array<int>")
+    want = ["\n".join(line for n, line in enumerate(t.split("\n")) if n not in g) for t, g in rows]
+    assert [r[0] for r in df.select(line_dedup.without_lines(F.col("text"), F.col("gone"))).collect()] == want
+
+
+def test_cuts_of_long_texts_are_linear():
+    for n in (50_000, 100_000):
+        text = "\n".join(map(str, range(n)))
+        began = time.time()
+        spans = [{"start": k, "end": k + 1} for k in range(0, len(text), 2)]
+        assert substring_dedup.without_spans(text, spans) == text[1::2] and time.time() - began < 4
+    assert substring_dedup.without_spans(None, []) is None and substring_dedup.without_spans("ab", []) == "ab"
+
+
+def test_only_wanted_and_claimed_languages_stay(spark):
+    rng = random.Random(1)
+    words = {"en": ["the", "of", "and", "with", "this"], "de": ["und", "der", "nicht", "auch", "eine"]}
+    rows = [(k, " ".join(rng.choices(words[lang], k=30)), lang, "a") for k, lang in enumerate(["en", "de"] * 30)] + [(100, "12 34", "en", "a"), (101, None, "de", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stay = lambda **x: sorted(r.doc_id for r in langid.keep_identified(df, **x).collect())
+    assert stay() == list(range(60)) and stay(wanted=["de"]) == list(range(1, 60, 2)) and stay(wanted=[]) == [] and stay(least=1.01) == []
