@@ -12,6 +12,7 @@ table's k-th can't be below, so it sends at most k bins a query, whatever its si
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,15 @@ SCALE = 256
 BLOCK, QUERY_BLOCK, FINER = 4096, 1024, 4096
 #: Sums of products below this are exact in float64.
 _EXACT = float(1 << 53)
-#: Integer components beyond this are set to it, so that scores of 4,096 dimensions fit a long.
-MOST = 1 << 25
+
+
+def most(dim: int) -> int:
+    """Integer components beyond this are set to it: all scores of that many dimensions are at most 2^61 then."""
+    return isqrt((1 << 61) // max(dim, 1))
 
 
 def quantized(vectors: Iterator, scale: int = SCALE) -> list[np.ndarray | None]:
-    """floor(scale * x) of each component as double, at most MOST either way; None for vectors that are null or hold null or non-finite components."""
+    """floor(scale * x) of each component as double, at most ``most(dim)`` either way; None for vectors that are null or hold null or non-finite components."""
     out = []
     for v in vectors:
         if v is None or any(x is None for x in v):
@@ -39,7 +43,7 @@ def quantized(vectors: Iterator, scale: int = SCALE) -> list[np.ndarray | None]:
             continue
         x = np.array(v, dtype=np.float64)
         with np.errstate(over="ignore"):
-            out.append(np.clip(np.floor(scale * x), -MOST, MOST) if np.isfinite(x).all() else None)
+            out.append(np.clip(np.floor(scale * x), -most(len(x)), most(len(x))) if np.isfinite(x).all() else None)
     return out
 
 
@@ -84,7 +88,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, bl
     ``table(vec_id, embedding)``. Vectors that are null, or hold null or non-finite
     components, and rows without an id take no part; a query meets only vectors of its
     own dimension, an empty one those that are empty too (score 0); of rows that repeat a
-    query's id the one with the smallest embedding is the query. Components beyond MOST / scale count as that. Rows other than the query's own are those with another vec_id;
+    query's id the one with the smallest embedding is the query. Components beyond most(dim) / scale (741,455 for 64
+    dimensions) count as that. Rows other than the query's own are those with another vec_id;
     repeated rows are candidates each. No query or no candidate: no rows.
     """
     spark = table.sparkSession

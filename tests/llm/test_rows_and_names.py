@@ -75,9 +75,10 @@ def test_top_k_of_empty_vectors_and_repeated_queries(spark):
 
 def test_top_k_with_components_of_any_size(spark):
     rows = [(0, [1e16, 1.0]), (1, [1e308, -1e308]), (2, [0.5, 0.25]), (3, [-131072.0, 131071.5]), (50, [3.0, -2.0]), (7, [99999.25, 0.0]), (8, [float("inf"), 0.0])]
-    whole = lambda x: max(-(1 << 25), min(1 << 25, math.floor(256 * x)))
+    top = topk.most(2)
+    whole = lambda x: max(-top, min(top, math.floor(256 * x)))
     kept = {i: [whole(x) for x in v] for i, v in rows if i not in (1, 8)}
-    kept[1] = [1 << 25, -(1 << 25)]
+    kept[1] = [top, -top]
     want = []
     for q in (0, 50):
         scored = sorted(((-sum(a * b for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q))
