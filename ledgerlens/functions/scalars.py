@@ -66,7 +66,8 @@ def json_text(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.format_string("%.0f%%", c * 100)
+    """Whole percents, halves to even, as printf writes them."""
+    return F.format_string("%.0f%%", F.rint(c * 100))
 
 
 def draw(*key: object) -> int:

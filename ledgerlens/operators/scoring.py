@@ -43,7 +43,7 @@ def account_scores(scored: DataFrame, patterns: DataFrame, anomaly: DataFrame, f
     """Each account of ``scored``: ``0.6 pattern + 0.4 anomaly``, capped at 100 and rounded to 1, with reasons and velocity."""
     ps, ano, ptr = F.coalesce("pattern_score", F.lit(0.0)), F.col("anomaly"), F.col("pass_through_ratio")
     none = F.array().cast("array<string>")
-    more = F.array_compact(F.array(F.when(ano >= 90, F.format_string("unusual velocity (anomaly %.0f of 100): %.0f payments, %.0f in an hour", ano, F.col("txn_count"), F.col("peak_burst_rate"))), F.when(ptr > 0.9, F.concat(F.lit("passes on "), percent(ptr)))))
+    more = F.array_compact(F.array(F.when(ano >= 90, F.format_string("unusual velocity (anomaly %.0f of 100): %.0f payments, %.0f in an hour", F.rint(ano), F.col("txn_count"), F.col("peak_burst_rate"))), F.when(ptr > 0.9, F.concat(F.lit("passes on "), percent(ptr)))))
     reasons = F.concat(F.coalesce("reasons", none), more)
     return (
         scored.select("account").join(features, "account").join(anomaly, "account").join(patterns, "account", "left")
