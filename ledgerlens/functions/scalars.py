@@ -65,6 +65,12 @@ def json_text(c: Column) -> Column:
     return F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
 
 
+def rounded(c: str | Column, places: int) -> Column:
+    """A double to so many places, half up after it is scaled, as SQL's round does; ``F.round`` rounds its shortest decimal text instead."""
+    scale = 10.0**places
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale) / scale
+
+
 def percent(c: Column) -> Column:
     """Whole percents, halves to even, as printf writes them."""
     return F.format_string("%.0f%%", F.rint(c * 100))

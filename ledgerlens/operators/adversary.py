@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings, Thresholds
-from ..functions.scalars import draw, micros
+from ..functions.scalars import draw, micros, rounded
 from ..session import Staging, at_once
 from .delta import NARROW, hits_with
 from .graph import accounts as account_table
@@ -67,7 +67,7 @@ def scheme_grid_table(spark, grid: list[Scheme] | None = None) -> DataFrame:
 
 def friction_table(schemes: DataFrame) -> DataFrame:
     cost = 2 * F.col("hop_delay_hours") + 0.05 + 0.05 * F.col("n_decoys") + 2 * F.col("fee_pct") + 2 * F.col("n_splits")
-    return schemes.withColumn("friction", F.round(cost / 6.05, 2))
+    return schemes.withColumn("friction", rounded(cost / 6.05, 2))
 
 
 def scheme_edges(p: Scheme, scheme_id: int, source: str, target: str, amount: float, bank_of: dict, pool: list[str], seed: int = 42, base_time: datetime = BASE_TIME, banks: tuple[str, ...] = Settings().banks) -> list[tuple]:

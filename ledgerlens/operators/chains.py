@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
-from ..functions.scalars import MINUTE
+from ..functions.scalars import MINUTE, rounded
 from ..session import Staging
 from .graph import induced
 
@@ -49,9 +49,9 @@ def chain_hits(paths: DataFrame, part: list[str]) -> DataFrame:
     best = F.row_number().over(W.partitionBy(*part, "members").orderBy(F.desc(F.size("path")), F.col("times")[0], "txns"))
     ranked = paths.withColumn("members", F.array_sort(F.array_distinct("path"))).withColumn("best", best).where("best = 1")
     t0, t1, a0, a1 = F.col("times")[0], F.element_at("times", -1), F.col("amounts")[0], F.element_at("amounts", -1)
-    gaps = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.round((F.col("times")[i] - F.col("times")[i - 1]) / MINUTE, 1))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: rounded((F.col("times")[i] - F.col("times")[i - 1]) / MINUTE, 1))
     return ranked.select(
         *part, F.lit("mule_chain").alias("type"), F.col("path").alias("accounts"), F.col("path")[0].alias("origin"), F.element_at("path", -1).alias("terminal"),
-        F.col("txns").alias("txn_ids"), t0.alias("start_us"), t1.alias("end_us"), F.size("times").alias("length"), F.round((t1 - t0) / MINUTE, 1).alias("total_delay_min"),
-        F.round(a0, 2).alias("amount_in"), F.round(a1, 2).alias("amount_out"), F.when(a0 != 0, F.round(a1 / a0, 4)).otherwise(0.0).alias("retention"), gaps.alias("hop_delays_min"),
+        F.col("txns").alias("txn_ids"), t0.alias("start_us"), t1.alias("end_us"), F.size("times").alias("length"), rounded((t1 - t0) / MINUTE, 1).alias("total_delay_min"),
+        rounded(a0, 2).alias("amount_in"), rounded(a1, 2).alias("amount_out"), F.when(a0 != 0, rounded(a1 / a0, 4)).otherwise(0.0).alias("retention"), gaps.alias("hop_delays_min"),
     )

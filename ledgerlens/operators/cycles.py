@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
-from ..functions.scalars import HOUR
+from ..functions.scalars import HOUR, rounded
 from ..session import Staging
 from .graph import induced
 
@@ -75,6 +75,6 @@ def cycle_hits(closed: DataFrame, part: list[str]) -> DataFrame:
     ranked = hits.withColumn("members", members).withColumn("ratio", ratio).withColumn("best", best).where("best = 1")
     return ranked.select(
         *part, F.lit("cycle").alias("type"), "accounts", F.col("accounts")[0].alias("origin"), "txn_ids", "start_us", "end_us",
-        F.round("ratio", 4).alias("retention"), F.round((F.col("end_us") - F.col("start_us")) / HOUR, 2).alias("window_hours"),
-        (F.size("accounts") - 1).alias("length"), F.round("amount_start", 2).alias("amount_start"), F.round("amount_end", 2).alias("amount_end"),
+        rounded("ratio", 4).alias("retention"), rounded((F.col("end_us") - F.col("start_us")) / HOUR, 2).alias("window_hours"),
+        (F.size("accounts") - 1).alias("length"), rounded("amount_start", 2).alias("amount_start"), rounded("amount_end", 2).alias("amount_end"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import json_text, number_text
+from ..functions.scalars import json_text, number_text, rounded
 
 ZERO = "0" * 64
 
@@ -25,7 +25,7 @@ def records(rings: DataFrame, e: DataFrame) -> DataFrame:
         F.lit(',"score":'), number_text(F.col("score")), F.lit(',"type":'), json_text(F.col("type")), F.lit(',"window":['), json_text(_time(F.col("start_us"))), F.lit(","), json_text(_time(F.col("end_us"))), F.lit("]}"),
     )
     txn = F.concat(
-        F.lit('{"amount":'), number_text(F.round("amount", 2)), F.lit(',"channel":'), json_text(F.col("channel")), F.lit(',"dst":'), json_text(F.col("dst").cast("string")), F.lit(',"kind":"txn","src":'), json_text(F.col("src").cast("string")),
+        F.lit('{"amount":'), number_text(rounded("amount", 2)), F.lit(',"channel":'), json_text(F.col("channel")), F.lit(',"dst":'), json_text(F.col("dst").cast("string")), F.lit(',"kind":"txn","src":'), json_text(F.col("src").cast("string")),
         F.lit(',"time":'), json_text(_time(F.col("us"))), F.lit(',"txn_id":'), json_text(F.col("txn_id").cast("string")), F.lit("}"),
     )
     ids = rings.select("ring_id", F.posexplode("txn_ids").alias("pos", "txn_id")).join(e, "txn_id").groupBy("ring_id").agg(F.array_sort(F.collect_list(F.struct("pos", txn.alias("r")))).alias("t"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings, Thresholds
-from ..functions.scalars import amount_bucket, bucket_rank, hashed_account
+from ..functions.scalars import amount_bucket, bucket_rank, hashed_account, rounded
 from ..session import Staging
 from ..sources.ledger import per_bank
 from .hits import all_hits
@@ -29,7 +29,7 @@ def build_signals(hits: DataFrame, settings: Settings | None = None) -> DataFram
     amount = F.coalesce(*[F.when(F.col(c) != 0, F.col(c)) for c in ("amount_start", "amount_in", "total_amount")], F.lit(0.0))
     s = hits.select("*", F.posexplode("accounts").alias("pos", "account_id")).select(
         "bank", hashed_account(acc, salt).alias("hashed_id"), F.col("type").alias("pattern_type"), direction.alias("direction"), "start_us", "end_us",
-        amount_bucket(amount).alias("amount_bucket"), F.round(F.least(F.lit(100.0), 50 + 50 * x), 1).alias("pattern_score"), "account_id", "hit_id", "pos",
+        amount_bucket(amount).alias("amount_bucket"), rounded(F.least(F.lit(100.0), 50 + 50 * x), 1).alias("pattern_score"), "account_id", "hit_id", "pos",
     )
     return s.withColumn("signal_id", F.concat_ws(":", "bank", "hit_id", F.col("pos").cast("string"))).drop("pos")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
-from ..functions.scalars import DAY, money, percent
+from ..functions.scalars import DAY, money, percent, rounded
 from .graph import endpoints
 
 DAYS = 90
@@ -21,25 +21,25 @@ def fingerprints(e: DataFrame) -> DataFrame:
     base = pairs.groupBy("account").agg(
         F.sum("c").alias("n_txns"),
         F.count("*").alias("counterparty_diversity"),
-        F.round(F.sum(F.when(F.col("c") >= 2, F.col("c")).otherwise(0)) / F.sum("c"), 3).alias("repeat_counterparty_ratio"),
-        F.round(F.sum(F.when(F.col("c") >= 3, F.col("c")).otherwise(0)) / F.sum("c"), 3).alias("periodic_fraction"),
+        rounded(F.sum(F.when(F.col("c") >= 2, F.col("c")).otherwise(0)) / F.sum("c"), 3).alias("repeat_counterparty_ratio"),
+        rounded(F.sum(F.when(F.col("c") >= 3, F.col("c")).otherwise(0)) / F.sum("c"), 3).alias("periodic_fraction"),
         F.coalesce(F.sum("i"), zero).cast("double").alias("in_sum"),
         F.coalesce(F.sum("o"), zero).cast("double").alias("out_sum"),
     )
     gap = F.col("us") - F.lag("us").over(W.partitionBy("account").orderBy("us", "txn_id"))
     into = act.where("direction = 'in'").select("account", (gap / 1e6).alias("gap")).groupBy("account").agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
-    cv_in = into.select("account", F.round(F.when((F.col("n") < 3) | (F.col("m") == 0), 1.0).otherwise(F.col("s") / F.col("m")), 3).alias("cv_inter_arrival"))
+    cv_in = into.select("account", rounded(F.when((F.col("n") < 3) | (F.col("m") == 0), 1.0).otherwise(F.col("s") / F.col("m")), 3).alias("cv_inter_arrival"))
     first = act.groupBy("account").agg(F.min("us").alias("t0"))
     per_day = act.join(first, "account").groupBy("account", F.expr(f"(us - t0) div {DAY}").alias("day")).agg(F.count("*").alias("c"))
     length = F.greatest(F.lit(DAYS), F.max("day") + 1)
-    daily = per_day.groupBy("account").agg(F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("c") * F.col("c")) / length - F.pow(F.sum("c") / length, 2))) / (F.sum("c") / length), 3).alias("daily_volume_cv"))
-    ptr = F.when(F.col("in_sum") > 0, F.round(F.col("out_sum") / F.col("in_sum"), 3))
-    ior = F.when((F.col("in_sum") > 0) & (F.col("out_sum") > 0), F.round(F.col("in_sum") / F.col("out_sum"), 3))
+    daily = per_day.groupBy("account").agg(rounded(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("c") * F.col("c")) / length - F.pow(F.sum("c") / length, 2))) / (F.sum("c") / length), 3).alias("daily_volume_cv"))
+    ptr = F.when(F.col("in_sum") > 0, rounded(F.col("out_sum") / F.col("in_sum"), 3))
+    ior = F.when((F.col("in_sum") > 0) & (F.col("out_sum") > 0), rounded(F.col("in_sum") / F.col("out_sum"), 3))
     return (
         base.join(cv_in, "account", "left")
         .join(daily, "account")
         .select(
-            "account", "n_txns", "counterparty_diversity", F.coalesce("cv_inter_arrival", F.lit(1.0)).alias("cv_inter_arrival"), "daily_volume_cv", "repeat_counterparty_ratio", "periodic_fraction", ptr.alias("pass_through_ratio"), ior.alias("in_out_ratio"), F.round("in_sum", 2).alias("in_sum"), F.round("out_sum", 2).alias("out_sum")
+            "account", "n_txns", "counterparty_diversity", F.coalesce("cv_inter_arrival", F.lit(1.0)).alias("cv_inter_arrival"), "daily_volume_cv", "repeat_counterparty_ratio", "periodic_fraction", ptr.alias("pass_through_ratio"), ior.alias("in_out_ratio"), rounded("in_sum", 2).alias("in_sum"), rounded("out_sum", 2).alias("out_sum")
         )
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..config import DEFAULTS, Thresholds
+from ..functions.scalars import rounded
 from ..session import Staging, at_once
 from .chains import detect_chains
 from .cycles import detect_cycles
@@ -91,7 +92,7 @@ def similar_sets(items: DataFrame, least: float) -> DataFrame:
     side = lambda name: classes.select(F.col("c").alias(name), F.col("s").alias(f"s_{name}"), F.col("members").alias(f"members_{name}"))
     j = F.size(F.array_intersect("s_a", "s_b"))
     j = j / (F.size("s_a") + F.size("s_b") - j)
-    return met.join(side("a"), "a").join(side("b"), "b").where(j >= least).select("a", "b", "members_a", "members_b", F.round(j, 6).alias("jaccard"))
+    return met.join(side("a"), "a").join(side("b"), "b").where(j >= least).select("a", "b", "members_a", "members_b", rounded(j, 6).alias("jaccard"))
 
 
 def candidate_matches(detected: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
@@ -130,7 +131,7 @@ def prf(detected: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     p = F.when(F.col("nd") > 0, F.col("tp") / F.col("nd")).otherwise(0.0)
     r = F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).otherwise(0.0)
     f = F.when(F.col("tp") > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return m.select("type", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"), F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f, 3).alias("f1"))
+    return m.select("type", "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"), rounded(p, 3).alias("precision"), rounded(r, 3).alias("recall"), rounded(f, 3).alias("f1"))
 
 
 def decoy_alarms(decoys: DataFrame, hits: DataFrame) -> DataFrame:

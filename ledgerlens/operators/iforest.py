@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import draw
+from ..functions.scalars import draw, rounded
 from ..session import Staging
 from .scan import is_small, running
 
@@ -55,7 +55,7 @@ def grow(x: np.ndarray, tree: int, seed: int) -> list[tuple]:
 
 
 def _features() -> list[Column]:
-    return [F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c) for c in FEATURES]
+    return [rounded(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c) for c in FEATURES]
 
 
 def average_path_of(n: Column) -> Column:

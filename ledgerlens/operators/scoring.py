@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percent
+from ..functions.scalars import percent, rounded
 
 #: Points of membership.
 CYCLE, CHAIN_MIDDLE, CHAIN_END, COLLECTOR, DEPOSITOR = 40.0, 30.0, 20.0, 55.0, 25.0
@@ -48,7 +48,7 @@ def account_scores(scored: DataFrame, patterns: DataFrame, anomaly: DataFrame, f
     return (
         scored.select("account").join(features, "account").join(anomaly, "account").join(patterns, "account", "left")
         .select(
-            "account", F.round(F.least(F.lit(100.0), 0.6 * ps + 0.4 * ano), 1).alias("score"), F.round(ps, 1).alias("pattern_score"), F.round(ano, 1).alias("anomaly_score"),
+            "account", rounded(F.least(F.lit(100.0), 0.6 * ps + 0.4 * ano), 1).alias("score"), rounded(ps, 1).alias("pattern_score"), rounded(ano, 1).alias("anomaly_score"),
             F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("velocity outlier without a pattern"))).alias("reasons"), F.struct(*[c for c in features.columns if c != "account"]).alias("velocity"),
         )
     )
@@ -57,10 +57,11 @@ def account_scores(scored: DataFrame, patterns: DataFrame, anomaly: DataFrame, f
 def ring_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """Hits with ``score``: half the highest member score, 0.3 of the mean member anomaly, 20, and a bonus by type; unscored members don't count."""
     member = hits.select("hit_id", F.explode(F.array_distinct("accounts")).alias("account")).join(scores.select("account", F.col("score").alias("s"), F.col("anomaly_score").alias("a")), "account")
-    agg = member.groupBy("hit_id").agg(F.max("s").alias("top"), F.avg("a").alias("mean"))
+    # Added as decimals: a mean of doubles depends on their order, and a score at the edge of two roundings with it.
+    agg = member.groupBy("hit_id").agg(F.max("s").alias("top"), (F.sum(F.col("a").cast("decimal(20,9)")).cast("double") / F.count("a")).alias("mean"))
     bonus = F.when(F.col("type") == "smurfing", 10 * F.col("structuring_score")).when(F.col("type") == "cycle", 100 * (1 - F.col("retention"))).otherwise(10 * F.least(F.col("retention"), F.lit(1.0)))
     raw = 0.5 * F.coalesce("top", F.lit(0.0)) + 0.3 * F.coalesce("mean", F.lit(0.0)) + 20 + bonus
-    return hits.join(agg, "hit_id", "left").withColumn("score", F.round(F.least(F.lit(100.0), raw), 1)).drop("top", "mean")
+    return hits.join(agg, "hit_id", "left").withColumn("score", rounded(F.least(F.lit(100.0), raw), 1)).drop("top", "mean")
 
 
 def rings(scored_hits: DataFrame, accounts: DataFrame) -> DataFrame:

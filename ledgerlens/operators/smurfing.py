@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
-from ..functions.scalars import DAY, money
+from ..functions.scalars import DAY, money, rounded
 from .scan import is_small, running
 
 
@@ -55,7 +55,7 @@ def detect_smurfing(e: DataFrame, allowed: DataFrame | None = None, th: Threshol
     first = F.min(F.struct((-F.col("n")).alias("fewer"), (-F.col("score")).alias("lower"), "us", "txn_id", "n", "score", "total"))
     best = windows(e, allowed, th, part).groupBy(*key).agg(first.alias("w")).select(*key, F.col("w.us").alias("end_us"), "w.n", "w.score", "w.total")
     inside = deposits(e, allowed, th, part_).select(*key, "src", "us", "txn_id").join(best, key).where(f"us between end_us - {int(th.smurf_window_days * DAY)} and end_us")
-    hit = inside.groupBy(*key).agg(F.array_sort(F.collect_set("src")).alias("depositors"), F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id"))), lambda s: s["txn_id"]).alias("txn_ids"), F.min("us").alias("start_us"), F.first("end_us").alias("end_us"), F.first("n").alias("n_deposits"), F.round(F.first("score"), 3).alias("structuring_score"), F.first("total").cast("double").alias("total_amount"))
+    hit = inside.groupBy(*key).agg(F.array_sort(F.collect_set("src")).alias("depositors"), F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id"))), lambda s: s["txn_id"]).alias("txn_ids"), F.min("us").alias("start_us"), F.first("end_us").alias("end_us"), F.first("n").alias("n_deposits"), rounded(F.first("score"), 3).alias("structuring_score"), F.first("total").cast("double").alias("total_amount"))
     out = e.select(*part_, F.col("src").alias("c"), F.col("dst").alias("to"), "us", "txn_id", "amount").join(hit.select(*part_, F.col("dst").alias("c"), "start_us", "total_amount"), [*part_, "c"])
     since = out.groupBy(*part_, "c", "to").agg(F.min(F.struct("us", "txn_id")).alias("since"))
     paid = out.where((F.col("us") >= F.col("start_us")) & (F.col("amount") >= F.col("total_amount") * 0.3)).join(since, [*part_, "c", "to"])
@@ -64,6 +64,6 @@ def detect_smurfing(e: DataFrame, allowed: DataFrame | None = None, th: Threshol
     accounts = F.array_sort(F.array_distinct(F.concat("depositors", F.array_compact(F.array("dst", F.col("p.to"))))))
     return joined.select(
         *part_, F.lit("smurfing").alias("type"), F.col("dst").alias("collector"), accounts.alias("accounts"), "depositors", "txn_ids", "start_us", "end_us", "n_deposits",
-        F.size("depositors").alias("n_contributors"), "structuring_score", "total_amount", F.round((F.col("end_us") - F.col("start_us")) / DAY, 2).alias("window_days"),
-        F.col("p.txn_id").alias("consolidation_txn"), F.col("p.to").alias("consolidation_to"), F.round("p.amount", 2).alias("consolidation_amount"), F.col("p.us").alias("consolidation_us"),
+        F.size("depositors").alias("n_contributors"), "structuring_score", "total_amount", rounded((F.col("end_us") - F.col("start_us")) / DAY, 2).alias("window_days"),
+        F.col("p.txn_id").alias("consolidation_txn"), F.col("p.to").alias("consolidation_to"), rounded("p.amount", 2).alias("consolidation_amount"), F.col("p.us").alias("consolidation_us"),
     )

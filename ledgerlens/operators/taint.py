@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import rounded
 from ..session import Staging
 from .scan import is_small, running
 
@@ -87,8 +88,8 @@ def trace(e: DataFrame, txn_id=None, account=None, since_us: int | None = None,
     else:
         seed = first_inflows(e.where(F.col("dst") == F.lit(account)), since_us)
     nodes, ends, lost = _follow(e, seed, max_depth, min_taint)
-    terminals = ends.groupBy("holder").agg(F.round(F.sum("rest"), 2).alias("amount")).orderBy(F.desc("amount"), "holder")
-    return Trace(nodes.drop("root"), terminals, lost.agg(F.coalesce(F.round(F.sum("d"), 2), F.lit(0.0)).alias("dropped")))
+    terminals = ends.groupBy("holder").agg(rounded(F.sum("rest"), 2).alias("amount")).orderBy(F.desc("amount"), "holder")
+    return Trace(nodes.drop("root"), terminals, lost.agg(F.coalesce(rounded(F.sum("d"), 2), F.lit(0.0)).alias("dropped")))
 
 
 def trace_roots(e: DataFrame, roots: DataFrame, max_depth: int = 6, min_taint: float = 1.0) -> Trace:
@@ -99,8 +100,8 @@ def trace_roots(e: DataFrame, roots: DataFrame, max_depth: int = 6, min_taint: f
     unknown ones have no rows.
     """
     nodes, ends, lost = _follow(e, e.join(roots.select("txn_id").distinct(), "txn_id", "left_semi"), max_depth, min_taint)
-    terminals = ends.groupBy("root", "holder").agg(F.round(F.sum("rest"), 2).alias("amount"))
-    return Trace(nodes, terminals, lost.groupBy("root").agg(F.round(F.sum("d"), 2).alias("dropped")))
+    terminals = ends.groupBy("root", "holder").agg(rounded(F.sum("rest"), 2).alias("amount"))
+    return Trace(nodes, terminals, lost.groupBy("root").agg(rounded(F.sum("d"), 2).alias("dropped")))
 
 
 def first_inflows(e: DataFrame, since_us: int) -> DataFrame:
@@ -140,14 +141,14 @@ def _follow(e: DataFrame, seed: DataFrame, max_depth: int, min_taint: float) ->
         nodes = nodes.unionByName(level)
         if level.isEmpty():
             break
-    shown = nodes.select(root, "bundle", "parent", "depth", "txn_id", "src", "dst", "us", F.round("amount", 2).alias("amount"), F.round("taint", 2).alias("taint"), F.round("fraction", 4).alias("fraction")).orderBy("root", "depth", "us", "bundle")
+    shown = nodes.select(root, "bundle", "parent", "depth", "txn_id", "src", "dst", "us", rounded("amount", 2).alias("amount"), rounded("taint", 2).alias("taint"), rounded("fraction", 4).alias("fraction")).orderBy("root", "depth", "us", "bundle")
     return shown, ends, lost
 
 
 def totals(t: Trace) -> DataFrame:
-    return t.nodes.agg(F.round(F.sum("taint"), 2).alias("total_taint"), F.count("*").alias("n_nodes"), F.max("depth").alias("depth"))
+    return t.nodes.agg(rounded(F.sum("taint"), 2).alias("total_taint"), F.count("*").alias("n_nodes"), F.max("depth").alias("depth"))
 
 
 def flow_links(t: Trace) -> DataFrame:
     """Links between accounts by depth, as a flow diagram draws them."""
-    return t.nodes.groupBy("depth", "src", "dst").agg(F.round(F.sum("taint"), 2).alias("taint"), F.count("*").alias("n"))
+    return t.nodes.groupBy("depth", "src", "dst").agg(rounded(F.sum("taint"), 2).alias("taint"), F.count("*").alias("n"))

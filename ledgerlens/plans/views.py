@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import risk_band
+from ..functions.scalars import risk_band, rounded
 from ..operators import evidence, graph, taint, velocity
 from ..operators.scan import is_small, running
 from . import cases
@@ -145,7 +145,7 @@ def replay(e: DataFrame, k: int) -> DataFrame:
 def rolling_detection(frontier: DataFrame) -> DataFrame:
     """Detection rate of the 7 schemes around each, by cost."""
     w = W.orderBy("friction", "scheme_id").rowsBetween(-3, 3)  # the grid's rows
-    return frontier.select("scheme_id", "friction", F.round(F.avg(F.col("detected").cast("int")).over(w), 4).alias("rate"))
+    return frontier.select("scheme_id", "friction", rounded(F.avg(F.col("detected").cast("int")).over(w), 4).alias("rate"))
 
 
 def cheapest_evaders(frontier: DataFrame, k: int = 6) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .config import DEFAULTS
-from .functions.scalars import amount_bucket, hashed_account, risk_band
+from .functions.scalars import amount_bucket, hashed_account, risk_band, rounded
 from .operators import adversary, evidence, federation, fingerprint, graph, hits, iforest, scan, scoring, taint, velocity
 from .operators.chains import detect_chains
 from .operators.cycles import detect_cycles
@@ -110,7 +110,7 @@ flow AS (SELECT account, CAST(sum(CAST(amount AS DECIMAL(18,2))) FILTER (directi
 
 @query(_VEL + " SELECT account, txn_count, round(txns_per_hour, 6) AS txns_per_hour FROM tph")
 def txns_per_hour(spark, d):
-    return velocity.txns_per_hour(events_ledger(spark, d)).withColumn("txns_per_hour", F.round("txns_per_hour", 6))
+    return velocity.txns_per_hour(events_ledger(spark, d)).withColumn("txns_per_hour", rounded("txns_per_hour", 6))
 
 
 @query(_VEL + " SELECT * FROM burst")
@@ -120,13 +120,13 @@ def peak_burst_rate(spark, d):
 
 @query(_VEL + " SELECT account, round(median_hold_min, 4) AS median_hold_min FROM hold")
 def median_hold_time(spark, d):
-    return velocity.median_hold(events_ledger(spark, d)).withColumn("median_hold_min", F.round("median_hold_min", 4))
+    return velocity.median_hold(events_ledger(spark, d)).withColumn("median_hold_min", rounded("median_hold_min", 4))
 
 
 @query(_VEL + " SELECT account, CAST(txn_count AS DOUBLE) AS txn_count, round(txns_per_hour, 4) AS txns_per_hour, CAST(peak_burst_rate AS DOUBLE) AS peak_burst_rate, round(coalesce(CASE WHEN i > 0 THEN coalesce(o, 0) / i END, 0), 4) AS pass_through_ratio, round(coalesce(median_hold_min, -1), 4) AS median_hold_min, round(coalesce(i / n, 0), 4) AS amount_mean, round(coalesce(amount_max, 0), 4) AS amount_max FROM tph JOIN burst USING (account) JOIN flow USING (account) LEFT JOIN hold USING (account)")
 def velocity_features(spark, d):
     v = velocity.velocity_features(events_ledger(spark, d))
-    return v.select("account", *[c if c in ("txn_count", "peak_burst_rate") else F.round(c, 4).alias(c) for c in v.columns if c != "account"])
+    return v.select("account", *[c if c in ("txn_count", "peak_burst_rate") else rounded(c, 4).alias(c) for c in v.columns if c != "account"])
 
 
 @query(" SELECT account, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS bucket, count(*) AS n FROM act GROUP BY 1, 2")
@@ -217,7 +217,7 @@ def dedup_hits(spark, d):
 @query()
 def isolation_forest(spark, d):
     """The anomaly of every account, grown and walked over all of them."""
-    return iforest.anomaly(velocity.velocity_features(events_ledger(spark, d))).withColumn("raw", F.round("raw", 9))
+    return iforest.anomaly(velocity.velocity_features(events_ledger(spark, d))).withColumn("raw", rounded("raw", 9))
 
 
 @query(" SELECT account, 100.0 * (row_number() OVER (ORDER BY v, account) - 1) / greatest(count(*) OVER () - 1, 1) AS anomaly FROM (SELECT account, max(amount) AS v FROM act GROUP BY 1)")
@@ -277,7 +277,7 @@ def clean_pool_asof(spark, d):
     """Balance of the receivers of the 50 largest payments just as they arrive: an as-of aggregate."""
     e = events_ledger(spark, d)
     top = e.orderBy(F.desc("amount"), "txn_id").limit(50).select(F.col("txn_id").alias("bundle"), F.col("dst").alias("holder"), F.col("us").alias("at"), F.col("amount").alias("own"))
-    return taint.clean_pool(e, top, scan.is_small(e)).join(top, "bundle").select(F.col("bundle").alias("txn_id"), "holder", F.round("clean", 2).alias("clean"))
+    return taint.clean_pool(e, top, scan.is_small(e)).join(top, "bundle").select(F.col("bundle").alias("txn_id"), "holder", rounded("clean", 2).alias("clean"))
 
 
 @query(" SELECT account, substr(sha256(unhex(opad) || unhex(sha256(unhex(ipad) || encode(CAST(account AS VARCHAR))))), 1, 16) AS hashed_id, bucket FROM (SELECT account, max(amount) AS m, CASE WHEN max(amount) < 1000 THEN '<1k' WHEN max(amount) < 10000 THEN '1k-10k' WHEN max(amount) < 100000 THEN '10k-100k' ELSE '100k+' END AS bucket FROM act GROUP BY 1), (SELECT '" + "".join(f"{b ^ 0x36:02x}" for b in SALT.encode().ljust(64, b"\0")) + "' AS ipad, '" + "".join(f"{b ^ 0x5C:02x}" for b in SALT.encode().ljust(64, b"\0")) + "' AS opad)")
@@ -397,7 +397,7 @@ def cheapest_evaders(spark, d):
 def benchmark_rollup(spark, d):
     """Mean and sample deviation by two keys and pooled over one: the shape of the benchmark's aggregation."""
     e = events_ledger(spark, d)
-    return e.groupingSets([["channel", "bank_src"], ["bank_src"]], "channel", "bank_src").agg(F.round(F.avg("amount"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("amount"), F.lit(0.0)), 4).alias("std"), F.count("*").alias("n"))
+    return e.groupingSets([["channel", "bank_src"], ["bank_src"]], "channel", "bank_src").agg(rounded(F.avg("amount"), 4).alias("mean"), rounded(F.coalesce(F.stddev_samp("amount"), F.lit(0.0)), 4).alias("std"), F.count("*").alias("n"))
 
 
 @query(" SELECT txn_id, row_number() OVER (ORDER BY us, txn_id) AS seq FROM edges QUALIFY seq <= 100")
@@ -431,7 +431,7 @@ def generated_ledger(spark, d):
 
 @query(_VEL + " SELECT account, round(CASE WHEN i > 0 THEN coalesce(o, 0) / i END, 4) AS pass_through_ratio FROM flow")
 def pass_through(spark, d):
-    return velocity.flows(events_ledger(spark, d)).select("account", F.round("pass_through_ratio", 4).alias("pass_through_ratio"))
+    return velocity.flows(events_ledger(spark, d)).select("account", rounded("pass_through_ratio", 4).alias("pass_through_ratio"))
 
 
 @query(" SELECT txn_id, src, dst, amount FROM edges WHERE txn_id = 42")
@@ -484,7 +484,7 @@ def account_quality(spark, d):
     e = events_ledger(spark, d)
     flagged = scoring.pattern_scores(hits.all_hits(e, None, TH)).where("pattern_score >= 50")
     q = hits.account_prf(flagged, graph.endpoints(e).select("account").where("account % 3 = 0"))
-    return q.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return q.select(*[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 _SCORES = (
@@ -519,7 +519,7 @@ def ring_scores(spark, d):
 def chain_velocity(spark, d):
     e = events_ledger(spark, d)
     v = velocity.chain_velocity(e, detect_chains(e, None, TH).select(path_text(F.col("accounts")).alias("chain_id"), "accounts"))
-    return v.select("chain_id", F.round("median_delay_min", 3).alias("median_delay_min"), F.round("total_delay_min", 3).alias("total_delay_min"), "n")
+    return v.select("chain_id", rounded("median_delay_min", 3).alias("median_delay_min"), rounded("total_delay_min", 3).alias("total_delay_min"), "n")
 
 
 @query()
@@ -531,7 +531,7 @@ def lever_grid(spark, d):
 @query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
 def sparkline(spark, d):
     a = graph.endpoints(events_ledger(spark, d)).groupBy("account").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "txn_id", "direction", "amount"))), lambda s: s["amount"]).alias("sparkline"))
-    return views.sparkline(a).select("account", F.posexplode("scaled").alias("pos", "scaled")).withColumn("scaled", F.round("scaled", 6))
+    return views.sparkline(a).select("account", F.posexplode("scaled").alias("pos", "scaled")).withColumn("scaled", rounded("scaled", 6))
 
 
 _LOCAL = """, pb AS (SELECT bank_src AS bank, * FROM edges UNION ALL SELECT bank_dst, * FROM edges WHERE bank_dst <> bank_src),
@@ -596,4 +596,4 @@ def chain_fans(spark, d):
 @query(", s AS (SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY us, txn_id, direction) - 1 AS pos, min(amount) OVER (PARTITION BY account) AS lo, max(amount) OVER (PARTITION BY account) AS hi FROM act) SELECT account, CAST(pos AS INTEGER) AS pos, round(CASE WHEN hi > lo THEN (amount - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM s")
 def account_sparklines(spark, d):
     """The scaled series of every account, a row a payment and no array of all of them."""
-    return views.scaled_series(events_ledger(spark, d)).withColumn("scaled", F.round("scaled", 6))
+    return views.scaled_series(events_ledger(spark, d)).withColumn("scaled", rounded("scaled", 6))
