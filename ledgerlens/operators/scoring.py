@@ -54,9 +54,13 @@ def account_scores(scored: DataFrame, patterns: DataFrame, anomaly: DataFrame, f
     )
 
 
-def ring_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
-    """Hits with ``score``: half the highest member score, 0.3 of the mean member anomaly, 20, and a bonus by type; unscored members don't count."""
-    member = hits.select("hit_id", F.explode(F.array_distinct("accounts")).alias("account")).join(scores.select("account", F.col("score").alias("s"), F.col("anomaly_score").alias("a")), "account")
+def ring_scores(hits: DataFrame, scores: DataFrame, repeats: bool = False) -> DataFrame:
+    """Hits with ``score``: half the highest member score, 0.3 of the mean member anomaly, 20, and a bonus by type; unscored members don't count.
+
+    ``repeats``: an account that is in a hit twice (a payment to itself) counts twice in the mean.
+    """
+    names = F.col("accounts") if repeats else F.array_distinct("accounts")
+    member = hits.select("hit_id", F.explode(names).alias("account")).join(scores.select("account", F.col("score").alias("s"), F.col("anomaly_score").alias("a")), "account")
     # Added as decimals: a mean of doubles depends on their order, and a score at the edge of two roundings with it.
     agg = member.groupBy("hit_id").agg(F.max("s").alias("top"), (F.sum(F.col("a").cast("decimal(20,9)")).cast("double") / F.count("a")).alias("mean"))
     bonus = F.when(F.col("type") == "smurfing", 10 * F.col("structuring_score")).when(F.col("type") == "cycle", 100 * (1 - F.col("retention"))).otherwise(10 * F.least(F.col("retention"), F.lit(1.0)))

@@ -512,7 +512,7 @@ def scores_by_largest_payment(spark, d):
 def ring_scores(spark, d):
     """Scores of all hits from those account scores."""
     found, scores = _scored(spark, d)
-    return scoring.ring_scores(found, scores).select("type", "start_us", "end_us", F.size("accounts").alias("n_accounts"), "score")
+    return scoring.ring_scores(found, scores, repeats=True).select("type", "start_us", "end_us", F.size("accounts").alias("n_accounts"), "score")
 
 
 @query(_CHAINS + ", mem AS (SELECT array_to_string(path, ',') AS chain_id, unnest(path) AS account FROM chains), del AS (SELECT chain_id, (u - t) / 60000000 AS x FROM mem JOIN (SELECT dst AS account, min(us) AS t FROM edges GROUP BY 1) USING (account) JOIN (SELECT src AS account, min(us) AS u FROM edges GROUP BY 1) USING (account) WHERE u >= t) SELECT chain_id, round(median(x), 3) AS median_delay_min, round(sum(x), 3) AS total_delay_min, count(*) AS n FROM del GROUP BY 1", recursive=True)

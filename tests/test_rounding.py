@@ -35,3 +35,10 @@ def test_ring_scores_round_alike_in_any_order(spark):
     rows = [(f"h{n}", "mule_chain", list(p), 1.0, None) for n, p in enumerate(permutations(of))]
     hits = spark.createDataFrame(rows, "hit_id string, type string, accounts array<string>, retention double, structuring_score double")
     assert {r.score for r in scoring.ring_scores(hits, table).collect()} == {45.4}
+
+
+def test_an_account_that_is_in_a_hit_twice(spark):
+    table = spark.createDataFrame([("a", 10.0, 0.0), ("b", 10.0, 60.0)], "account string, score double, anomaly_score double")
+    hit = _chains(spark, ["a", "a", "b"])
+    assert scoring.ring_scores(hit, table).first().score == 44.0  # 5 + 0.3 x 30 + 20 + 10
+    assert scoring.ring_scores(hit, table, repeats=True).first().score == 41.0  # 5 + 0.3 x 20 + 20 + 10
