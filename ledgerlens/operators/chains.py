@@ -20,8 +20,14 @@ def detect_chains(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
     share. A path meets only payments in the two time slots, as long as the delay, that
     can hold its next hop, so a busy account is dealt out over time. ``max_frontier``: stop, without that level, once a level is larger.
     """
-    part_ = list(part)
     staging = Staging(e.sparkSession, "chains")
+    return staging.keep(chain_hits(chain_paths(e, allowed, th, part, max_frontier, staging), list(part)))
+
+
+def chain_paths(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds = DEFAULTS, part: tuple[str, ...] = (), max_frontier: int | None = None, staging: Staging | None = None) -> DataFrame:
+    """All chains that ``detect_chains`` picks from, ``path, tail, times, amounts, txns``; several of a set of accounts."""
+    part_ = list(part)
+    staging = staging or Staging(e.sparkSession, "chains")
     delay = int(th.chain_max_delay_min * MINUTE)
     narrow = staging.write(induced(e, allowed, part_).select(*part_, "src", "dst", "us", "amount", "txn_id"))
     step = narrow.select(*part_, F.col("src").alias("tail"), F.col("dst").alias("e_dst"), F.col("us").alias("e_us"), F.col("amount").alias("e_amount"), F.col("txn_id").alias("e_txn"), F.expr(f"us div {delay + 1}").alias("slot"))
@@ -40,8 +46,7 @@ def detect_chains(e: DataFrame, allowed: DataFrame | None = None, th: Thresholds
             break
         if hops >= th.chain_min_length:
             found = paths if found is None else found.unionByName(paths)
-    hits = found if found is not None else paths.where("false")
-    return staging.keep(chain_hits(hits, part_))
+    return found if found is not None else paths.where("false")
 
 
 def chain_hits(paths: DataFrame, part: list[str]) -> DataFrame:
