@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -72,22 +75,38 @@ def jaccard(a, b):
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def parity_words(mean: float) -> int:
+    """Words of 64 bits, a power of two from 8 to 64, for some six bits an item of a set of mean size: unrelated sets differ in most of their items' bits then."""
+    return min(64, max(8, 1 << max(0, ceil(log2(max(mean, 1.0) * 6 / 64)))))
+
+
 def similar_sets(items: DataFrame, least: float) -> DataFrame:
     """``a, b, members_a, members_b, jaccard`` of ``items(account, item)``: pairs of different item sets that are at least that similar.
 
     Accounts with the same set are one class, named by the smallest. Sets that similar
     share an item among the rarest ``n - ceil(least * n) + 1`` of each, so classes meet
-    only at those, and only if their sizes allow it; whole sets are compared once a pair.
+    only at those, and only if their sizes allow it. Where they meet, two bounds let a pair
+    go: at its first common item, what is left of each set must hold the whole overlap; and
+    the parities of the sets' hashed items differ in no more bits than the sets do in items
+    (Sandes et al. 2017). Only pairs that pass both are moved; their whole sets are compared
+    once. Neither bound drops a pair that is similar enough.
     """
     sets = items.distinct().groupBy("account").agg(F.array_sort(F.collect_list("item")).alias("s"))
     classes = Staging(items.sparkSession, "sets").write(sets.groupBy("s").agg(F.min("account").alias("c"), F.count("*").alias("members")).withColumn("n", F.size("s")))
     flat = classes.select("c", "n", F.explode("s").alias("item"))
     often = flat.groupBy("item").agg(F.count("*").alias("often"))
     rare = F.row_number().over(W.partitionBy("c").orderBy("often", "item"))
+    words = parity_words(classes.agg(F.avg("n")).first()[0] or 0.0)
+    bit = F.pmod(F.xxhash64("item"), F.lit(64 * words))
+    parity = [F.bit_xor(F.when(F.floor(bit / 64) == w, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(item), {64 * words}) % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
+    parities = flat.groupBy("c").agg(*parity)
     # The product is lowered a little: a prefix one longer does no harm, one shorter would.
-    prefix = flat.join(often, "item").withColumn("k", rare).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("c", "n", "item")
+    prefix = flat.join(often, "item").withColumn("k", rare).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).join(parities, "c").select("c", "n", "k", "item", *[f"w{w}" for w in range(words)])
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = (F.col("x.n") >= F.col("y.n") * least) & (F.col("y.n") >= F.col("x.n") * least)
+    both, share = F.col("x.n") + F.col("y.n"), least / (1 + least)  # the overlap is ``share`` of both sizes at least
+    fits &= F.least(F.col("x.n") - F.col("x.k"), F.col("y.n") - F.col("y.k")) + 1 >= both * share - 1e-6
+    fits &= reduce(Column.__add__, [F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(words)]) <= both * (1 - 2 * share) + 1e-6
     met = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.c") < F.col("y.c")) & fits).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     side = lambda name: classes.select(F.col("c").alias(name), F.col("s").alias(f"s_{name}"), F.col("members").alias(f"members_{name}"))
     j = F.size(F.array_intersect("s_a", "s_b"))

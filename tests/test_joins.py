@@ -50,3 +50,17 @@ def test_similar_sets_match_all_pairs(spark, least):
     assert {tuple(r) for r in found.collect()} == expected
     assert found.count() == len(expected)
     assert hits.similar_sets(found.select(F.col("a").alias("account"), F.col("b").alias("item")).limit(0), least).count() == 0
+
+
+def test_unrelated_sets_that_meet_are_not_moved(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {k: {rng.randrange(3000) for _ in range(60)} for k in range(300)}
+    for k in range(0, 300, 10):  # similar to the next one, some just about
+        sets[k + 1] = set(sorted(sets[k])[: rng.choice([24, 30, 45])]) | {rng.randrange(3000) for _ in range(30)}
+    df = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "account long, item long")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.25 * len(sets[a] | sets[b])}
+    moved = []
+    plain = type(df).distinct
+    monkeypatch.setattr(type(df), "distinct", lambda self: moved.append(self) or plain(self))
+    assert {(r.a, r.b) for r in hits.similar_sets(df, 0.25).collect()} == want and len(want) >= 20
+    assert moved[-1].columns == ["a", "b"] and plain(moved[-1]).count() <= 3 * len(want)
